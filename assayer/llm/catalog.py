@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import sharding, url_filter
+from . import bpe, sharding, url_filter
 
 QUERIES = {
     "op5_jump_sharding": sharding.query,
+    "op6_pair_index_bpe": bpe.query,
     "op10_url_language_ratio": url_filter.query,
 }
 
