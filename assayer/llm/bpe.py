@@ -9,7 +9,7 @@ pair always has a higher rank than its maker, each rank is applied once, and the
 is that of merging every word by its lowest rank again and again.
 
 Every document stays in the task that reads it: there is no shuffle, a lost task is just
-run again, and memory is bounded by the chunk (CHUNK_CHARS, or one text if longer).
+run again, and memory is bounded by the chunk (CHUNK_BYTES, or one text if longer).
 
 Defined cases: a null text is the empty text, which has no ids; the special token's
 string inside a text becomes the special id, as the tokenizers library does by default;
@@ -26,14 +26,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from .shared import chunks
+
 #: The published pre-tokenisation pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CHUNK_CHARS = 24_000_000
+CHUNK_BYTES = 24_000_000
 #: A tokenizer file of more bytes is refused, as it is sent to every executor.
 MAX_TOKENIZER_BYTES = 64_000_000
 
@@ -185,23 +186,6 @@ def encode_texts(tokenizer: Tokenizer, texts: list[str | None]) -> Iterator[np.n
         yield gathered(flat, starts[at], counts[at])
 
 
-def chunks(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.Table]:
-    """Batches put together or cut so that each has about `most` characters."""
-    held, size = [], 0
-    for batch in batches:
-        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-        first = 0
-        for i, n in enumerate(sizes.tolist()):
-            size += n
-            if size >= most:
-                yield pa.Table.from_batches([*held, batch.slice(first, i + 1 - first)])
-                held, size, first = [], 0, i + 1
-        if first < batch.num_rows:
-            held.append(batch.slice(first))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def read_tokenizer(path: str) -> str:
     with open(path, encoding="utf-8") as f:
         file = f.read(MAX_TOKENIZER_BYTES + 1)
@@ -217,7 +201,7 @@ def _mapped(df: DataFrame, text: str, tokenizer_path: str, added: dict[str, tupl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = None
-        for table in chunks(batches, text, CHUNK_CHARS):
+        for table in chunks(batches, text, CHUNK_BYTES):
             tokenizer = tokenizer or Tokenizer(file.value)
             rows = [row(tokenizer, ids) for ids in encode_texts(tokenizer, table.column(text).to_pylist())]
             for i, (name, (_, arrow)) in enumerate(added.items()):

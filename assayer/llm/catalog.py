@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, html_text, sharding, url_filter
+from . import bpe, html_text, sharding, toxicity, url_filter
 
 QUERIES = {
     "op5_jump_sharding": sharding.query,
     "op6_pair_index_bpe": bpe.query,
+    "op7_naive_bayes_toxicity": toxicity.query,
     "op8_block_rules_html": html_text.query,
     "op10_url_language_ratio": url_filter.query,
 }

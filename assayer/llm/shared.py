@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import string
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,3 +37,20 @@ def settled(df: DataFrame) -> DataFrame:
 def held_out(doc_id: Column, folds: int, fold: int) -> Column:
     """Whether a row belongs to the fold that is kept from learning."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds == fold
+
+
+def chunks(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.Table]:
+    """Batches put together or cut so that each has about `most` bytes in a column of texts."""
+    held, size = [], 0
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        first = 0
+        for i, n in enumerate(sizes.tolist()):
+            size += n
+            if size >= most:
+                yield pa.Table.from_batches([*held, batch.slice(first, i + 1 - first)])
+                held, size, first = [], 0, i + 1
+        if first < batch.num_rows:
+            held.append(batch.slice(first))
+    if held:
+        yield pa.Table.from_batches(held)
