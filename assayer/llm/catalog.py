@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, html_text, sharding, toxicity, url_filter
+from . import bpe, decontaminate, html_text, sharding, simhash, toxicity, url_filter
 
 QUERIES = {
+    "op2_pivot_simhash": simhash.query,
+    "op3_simhash_decontamination": decontaminate.query,
     "op5_jump_sharding": sharding.query,
     "op6_pair_index_bpe": bpe.query,
     "op7_naive_bayes_toxicity": toxicity.query,
@@ -13,6 +15,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op3_simhash_decontamination": decontaminate.ORACLE_SQL,
     "op5_jump_sharding": sharding.ORACLE_SQL,
     "op10_url_language_ratio": url_filter.ORACLE_SQL,
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import string
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -20,6 +20,16 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
 
 
+def words_of(text: Column) -> Column:
+    """The words of a text, A-Z lower-cased; none for a null."""
+    return F.filter(F.split(lower_ascii(F.coalesce(text, F.lit(""))), SPACES), lambda w: w != "")
+
+
+def bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value worked out once, however often `then` uses it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def settled(df: DataFrame) -> DataFrame:
     """df written to the checkpoint folder that the cluster shares, and read back from there.
 
