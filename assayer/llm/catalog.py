@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, html_text, sharding, simhash, toxicity, url_filter
+from . import bpe, decontaminate, html_text, neighbours, sharding, simhash, toxicity, url_filter
 
 QUERIES = {
     "op2_pivot_simhash": simhash.query,
     "op3_simhash_decontamination": decontaminate.query,
+    "op4_projected_neighbours": neighbours.query,
     "op5_jump_sharding": sharding.query,
     "op6_pair_index_bpe": bpe.query,
     "op7_naive_bayes_toxicity": toxicity.query,
