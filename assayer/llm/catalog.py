@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, html_text, neighbours, sharding, simhash, toxicity, url_filter
+from . import bpe, decontaminate, html_text, language_model, neighbours, sharding, simhash, toxicity, url_filter
 
 QUERIES = {
     "op2_pivot_simhash": simhash.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_pair_index_bpe": bpe.query,
     "op7_naive_bayes_toxicity": toxicity.query,
     "op8_block_rules_html": html_text.query,
+    "op9_context_tree_weighting": language_model.query,
     "op10_url_language_ratio": url_filter.query,
 }
 
