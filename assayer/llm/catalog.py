@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, html_text, language_model, neighbours, sharding, simhash, toxicity, url_filter
+from . import bpe, decontaminate, html_text, language_model, license_scan, neighbours, sharding, simhash, toxicity, url_filter
 
 QUERIES = {
+    "op1_license_scan": license_scan.query,
     "op2_pivot_simhash": simhash.query,
     "op3_simhash_decontamination": decontaminate.query,
     "op4_projected_neighbours": neighbours.query,

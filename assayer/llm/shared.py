@@ -64,3 +64,13 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterato
             held.append(batch.slice(first))
     if held:
         yield pa.Table.from_batches(held)
+
+
+#: Beyond so many keys, rows to leave out are found by a shuffle, not a broadcast.
+BROADCAST_KEYS = 2_000_000
+
+
+def without(docs: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """docs without the rows whose key is in keys; rows with a null key stay."""
+    keys = settled(keys.select(key).distinct())
+    return docs.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, key, "left_anti")
