@@ -4,3 +4,18 @@ from __future__ import annotations
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def register(name: str, oracle: str | None = None):
+    """Decorator: file a query under its operator's id, with its twin."""
+
+    def put(f):
+        QUERIES[name] = f
+        if oracle:
+            ORACLES[name] = oracle
+        return f
+
+    return put
+
+
+from . import claim_queries, matrix_queries, score_queries, snapshot_queries  # noqa: E402, F401
