@@ -18,4 +18,4 @@ def register(name: str, oracle: str | None = None):
     return put
 
 
-from . import claim_queries, closure_queries, matrix_queries, registry_queries, score_queries, snapshot_queries  # noqa: E402, F401
+from . import claim_queries, closure_queries, log_queries, matrix_queries, registry_queries, score_queries, snapshot_queries, source_queries  # noqa: E402, F401
