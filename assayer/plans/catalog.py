@@ -18,4 +18,14 @@ def register(name: str, oracle: str | None = None):
     return put
 
 
-from . import claim_queries, closure_queries, log_queries, matrix_queries, registry_queries, score_queries, snapshot_queries, source_queries  # noqa: E402, F401
+from . import (  # noqa: E402
+    claim_queries,  # noqa: F401
+    closure_queries,  # noqa: F401
+    log_queries,  # noqa: F401
+    matrix_queries,  # noqa: F401
+    registry_queries,  # noqa: F401
+    score_queries,  # noqa: F401
+    snapshot_queries,  # noqa: F401
+    source_queries,  # noqa: F401
+)
+from . import stream_queries  # noqa: E402, F401  # after the batch queries, whose SQL it shares

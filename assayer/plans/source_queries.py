@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from assayer.functions import columns as C
-from assayer.sources import artifacts
+from assayer.operators import logs
+from assayer.sources import artifacts, sinks
+from assayer.streaming.sessions import shared_folder
 
 from . import views as V
 from .catalog import register
@@ -126,3 +128,34 @@ def prj07(spark, d):
     required = F.array_join(F.array_sort(F.array(*[F.lit(s) for s, _, r in V.RUBRIC if r])), ", ")
     who = F.array_join(F.array_sort(F.collect_list("candidate_key")), ", ")
     return V.newest_orders(spark, d).groupBy("task_key").agg(F.concat(F.lit("Task "), F.first(F.col("task_key").cast("string")), F.lit(": answer "), required, F.lit(" for "), who).alias("prompt"))
+
+
+@register("snk01_publish_once", sql("SELECT task_key, candidate_key, reward FROM cells", "cells"))
+def snk01(spark, d):
+    where = f"{shared_folder(spark)}/report"
+    report = V.cells(spark, d).select("task_key", "candidate_key", "reward")
+    sinks.publish(report, where, "candidate_key")
+    return spark.read.parquet(where).select("task_key", F.col("candidate_key").cast("string").alias("candidate_key"), "reward")
+
+
+@register("snk03_history_export", sql("SELECT at_, label, allowed FROM decisions", "decisions"))
+def snk03(spark, d):
+    where = f"{shared_folder(spark)}/history"
+    sinks.export_history(V.decisions(spark, d), where)
+    return spark.read.schema("at bigint, label string, allowed boolean").json(where).withColumnRenamed("at", "at_")
+
+
+@register("src05_file_trees", "SELECT count(DISTINCT o_orderpriority) AS files FROM orders")
+def src05(spark, d):
+    where = f"{shared_folder(spark)}/tree"
+    V.table(spark, d, "orders").groupBy("o_orderpriority").agg(F.count(F.lit(1)).cast("string").alias("n")).repartition("o_orderpriority").write.partitionBy("o_orderpriority").text(where)
+    found = artifacts.tree(spark, where).filter(F.col("path").endswith(".txt") & (F.length("content") > 0))
+    return found.agg(F.countDistinct(F.regexp_extract("path", "^([^/]*)/", 1)).alias("files"))
+
+
+@register("src11_result_logs", "SELECT count(*) FILTER (event_id % 2 = 0) AS pass, count(*) FILTER (event_id % 2 = 1) AS fail FROM events")
+def src11(spark, d):
+    where = f"{shared_folder(spark)}/logs"
+    V.table(spark, d, "events").select(F.concat(F.when(F.col("event_id") % 2 == 0, "PASS t").otherwise("FAIL t"), "event_id")).write.text(where)
+    tally = logs.result_tally(artifacts.lines(spark, where).withColumn("all", F.lit(1)), "all", "line")
+    return tally.select("pass", "fail")
