@@ -37,7 +37,7 @@ BITS = 20
 #: Least size of a log-count ratio, and of a count, that keeps an n-gram.
 LEAST_RATIO, LEAST_COUNT = 1.0, 3
 STEPS, RATE, SHRINK = 80, 0.1, 1e-5
-CHUNK_BYTES = 4_000_000
+CHUNK_BYTES = 1_000_000
 SAMPLE_TASKS = 12
 
 
