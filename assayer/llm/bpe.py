@@ -34,7 +34,7 @@ from .shared import chunks
 
 #: The published pre-tokenisation pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CHUNK_BYTES = 24_000_000
+CHUNK_BYTES = 10_000_000
 #: A tokenizer file of more bytes is refused, as it is sent to every executor.
 MAX_TOKENIZER_BYTES = 64_000_000
 
@@ -88,9 +88,9 @@ class Tokenizer:
         if not n or not len(self.pairs):
             return symbols, sizes
         ends = np.cumsum(sizes)
-        after = np.arange(1, n + 1)
+        after = np.arange(1, n + 1, dtype=np.int32)
         after[ends[sizes > 0] - 1] = -1
-        before = np.arange(-1, n - 1)
+        before = np.arange(-1, n - 1, dtype=np.int32)
         before[(ends - sizes)[sizes > 0]] = -1
         index: dict[int, list[np.ndarray]] = {}
         heap: list[int] = []
@@ -111,7 +111,7 @@ class Tokenizer:
                     index[rank] = [part]
                     heapq.heappush(heap, rank)
 
-        put(np.flatnonzero(after >= 0))
+        put(np.flatnonzero(after >= 0).astype(np.int32))
         while heap:
             rank = heapq.heappop(heap)
             parts = index.pop(rank)
