@@ -138,12 +138,12 @@ ks AS (SELECT DISTINCT k FROM ig),
 dp AS (SELECT doc_id, k, w, unnest(range(greatest(len(w) - k + 1, 0))) AS pos FROM d, ks),
 dg AS (SELECT doc_id, k, pos, array_to_string(w[pos + 1 : pos + k], ' ') AS g FROM dp),
 win AS (SELECT DISTINCT doc_id, item_id, dg.pos - ig.pos AS start, n, size AS item_size FROM dg JOIN ig USING (g, k)),
-cut AS (SELECT doc_id, item_id, greatest(start, 0) AS start, n, item_size, w[greatest(start, 0) + 1 : least(start + n, len(w))] AS w FROM win JOIN d USING (doc_id)),
+cut AS (SELECT doc_id, item_id, start, n, item_size, w[greatest(start, 0) + 1 : least(start + n, len(w))] AS w FROM win JOIN d USING (doc_id)),
 wp AS (SELECT * EXCLUDE w, greatest(len(w) - {SHINGLE - 1}, 1) AS size, w, unnest(range(greatest(len(w) - {SHINGLE - 1}, 1))) AS pos FROM cut),
 wg AS (SELECT doc_id, item_id, start, n, item_size, size, array_to_string(w[pos + 1 : pos + {SHINGLE}], ' ') AS g, count(*) AS c FROM wp GROUP BY ALL),
 ic AS (SELECT item_id, g, count(*) AS c FROM ig GROUP BY ALL),
 common AS (SELECT doc_id, item_id, start, n, item_size, size, sum(least(wg.c, ic.c)) AS b FROM wg JOIN ic USING (item_id, g) GROUP BY ALL),
 s AS (SELECT doc_id, item_id, start, n, b::DOUBLE / (size + item_size - b)::DOUBLE AS similarity FROM common)
-SELECT doc_id, item_id, start::INT AS start, n::INT AS n_words, similarity FROM s WHERE similarity >= {SIMILAR}
-QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) = 1
+SELECT doc_id, item_id, greatest(start, 0)::INT AS start, n::INT AS n_words, similarity FROM s WHERE similarity >= {SIMILAR}
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, greatest(start, 0)) = 1
 """
