@@ -2,8 +2,10 @@
 
 Features say whether a text has a character n-gram (3 to 5 characters of the lower-cased
 text, hashed to 2^20 buckets). Each is scaled by the log ratio of its smoothed counts in
-toxic and other texts; n-grams that are about as frequent in both are left out. Logistic
-regression is fitted on the scaled features.
+toxic and other texts; n-grams whose ratio is less than LEAST_SIGMA of its standard errors
+from even are left out. Logistic regression is fitted on the scaled features, its weights
+shrunk towards their mean, so that an n-gram that the sample has seldom still counts by its
+ratio.
 
 The classifier is fitted on at most SAMPLE labelled training rows, those with the
 smallest hash of their id; counting is spread over tasks, and the fit sees just the chosen
@@ -11,8 +13,8 @@ n-grams of the sample. Scoring sees every row and its whole text, in the task th
 it, without a shuffle; the model (4 MB) is sent to the executors.
 
 Defined cases: a null text is the empty text and gets the score of the intercept alone;
-if the sample has just one class, every score is that class's share of it, and 0.5 if it
-has no rows; several labels of one id count as toxic if one of them does; rows with a
+if the sample has just one class, or no telling n-gram, every score is the smoothed share of
+toxic rows in it, 0.5 if it has no rows; several labels of one id count as toxic if one of them does; rows with a
 null label are not learnt from; equal rows get equal scores, one each; an empty table
 gives no rows; other columns are carried along.
 """
@@ -34,9 +36,9 @@ FOLDS, HELD_OUT_FOLD = 5, 0
 SAMPLE = 12_000
 SHORTEST, LONGEST = 3, 5
 BITS = 20
-#: Least size of a log-count ratio, and of a count, that keeps an n-gram.
-LEAST_RATIO, LEAST_COUNT = 1.0, 3
-STEPS, RATE, SHRINK = 80, 0.1, 1e-5
+#: An n-gram is kept if its log-count ratio is so many of its standard errors from even.
+LEAST_SIGMA = 3.0
+STEPS, RATE, SHRINK, FIRST_WEIGHT = 150, 0.1, 1e-3, 0.05
 CHUNK_BYTES = 1_000_000
 SAMPLE_TASKS = 12
 
@@ -71,12 +73,12 @@ def features(texts: list[str | None], wanted: np.ndarray | None = None) -> tuple
 def fit(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, labels: np.ndarray, width: int) -> tuple[np.ndarray, float]:
     """Weights and intercept of logistic regression, by full-batch adaptive gradient steps."""
     n = len(labels)
-    weights, bias = np.zeros(width), float(np.log(labels.mean() / (1 - labels.mean())))
+    weights, bias = np.full(width, FIRST_WEIGHT), float(np.log(labels.mean() / (1 - labels.mean())))
     seen, seen_bias = np.full(width, 1e-8), 1e-8
     for _ in range(STEPS):
         z = np.bincount(rows, weights=values * weights[columns], minlength=n) + bias
         error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels
-        slope = np.bincount(columns, weights=values * error[rows], minlength=width) / n + SHRINK * weights
+        slope = np.bincount(columns, weights=values * error[rows], minlength=width) / n + SHRINK * (weights - weights.mean())
         seen += slope * slope
         seen_bias += error.mean() ** 2
         weights -= RATE * slope / np.sqrt(seen)
@@ -97,9 +99,10 @@ def trained(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     try:
         totals = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
         toxic, other = totals.get(1, 0), totals.get(0, 0)
+        share = (toxic + 0.5) / (toxic + other + 1)
+        by_share = np.zeros(1 << BITS), float(np.log(share / (1 - share)))
         if not toxic or not other:
-            share = (toxic + 0.5) / (toxic + other + 1)
-            return np.zeros(1 << BITS), float(np.log(share / (1 - share)))
+            return by_share
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums = np.zeros((2, 1 << BITS), np.int64)
@@ -114,9 +117,12 @@ def trained(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
         counts = sample.mapInArrow(count, "bucket long, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).persist()
         sums = counts.agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.count(F.lit(1)).alias("k")).first()
         ratio = F.log((F.col("n1") + 1) / F.lit(sums["n1"] + sums["k"])) - F.log((F.col("n0") + 1) / F.lit(sums["n0"] + sums["k"]))
+        error = F.sqrt(1 / (F.col("n1") + 1) + 1 / (F.col("n0") + 1))
         # At most 2^20 rows, by the number of buckets.
-        chosen = counts.select("bucket", ratio.alias("r")).filter((F.abs("r") >= LEAST_RATIO) & (F.col("n0") + F.col("n1") >= LEAST_COUNT)).toArrow()
+        chosen = counts.select("bucket", ratio.alias("r"), "n0", "n1").filter(F.abs("r") >= LEAST_SIGMA * error).toArrow()
         counts.unpersist()
+        if not len(chosen):
+            return by_share
         ratios = np.zeros(1 << BITS)
         ratios[chosen.column("bucket").to_numpy()] = chosen.column("r").to_numpy()
         place = np.full(1 << BITS, -1, np.int64)
