@@ -230,30 +230,43 @@ def test_language_model_compresses_held_out_rows(spark):
     assert rows["bits_per_byte"].max() < 4 and rows["bits_per_byte"].mean() < 3.2
 
 
-def test_pipeline(spark):
+def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
-    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
-    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SMALL}/labels.parquet").collect()}
-    kept = docs
-    ids = [r.doc_id for r in docs.collect()]
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        kept = corpus_pipeline.settled(stage(spark, kept, SMALL))
-        assert kept.columns == docs.columns
-        now = [r.doc_id for r in kept.collect()]
-        assert set(now) <= set(ids) and len(now) == len(set(now)) and now
-        if name == "toxicity":
-            gone = set(ids) - set(now)
-            toxic = {i for i in ids if labels.get(i)}
-            assert len(toxic & gone) >= 0.8 * len(toxic) and sum(labels.get(i) == 0 for i in gone) <= 0.01 * len(ids)
-        if name == "benchmark decontamination":
-            items = [r.text for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
-            texts = {r.doc_id: r.text for r in docs.collect()}
-            holds = {i for i in ids if any(x in texts[i] for x in items)}
-            assert not holds & set(now) and set(ids) - set(now) <= {i for i in ids if i not in now}
-        ids = now
-    final = corpus_pipeline.run(spark, SMALL).collect()
-    assert sorted(r.doc_id for r in final) == sorted(ids)
+    rng = random.Random(1)
+    words = lambda n: [rng.choice(["table", "green", "walk", "river", "stone", "letter"]) + rng.choice("abcdefgh") + rng.choice("xyz") for _ in range(n)]
+    texts = [words(60) for _ in range(400)]
+    for i in range(0, 400, 4):
+        texts[i][rng.randrange(60)] = rng.choice(["moronic", "idiotas"])
+    items = [words(20) for _ in range(3)]
+    texts[101][30:50] = items[1]
+    texts[202][10:30] = items[2]
+    texts += [texts[5], texts[5][:-1] + ["changed"], texts[8]]
+    rows = [(i, " ".join(t), "en", "src", 1) for i, t in enumerate(texts)] + [(900, "", "en", "src", 0), (901, None, "en", "src", 0)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    benchmark(spark, tmp_path, [(i, " ".join(t)) for i, t in enumerate(items)])
+    kept, ids = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        columns = kept.columns
+        kept = corpus_pipeline.settled(stage(spark, kept, str(tmp_path)))
+        assert kept.columns == columns
+        ids.append(sorted(r.doc_id for r in kept.collect()))
+    toxic = {i for i in range(400) if i % 4 == 0} | {402}
+    assert len(set(ids[0]) & toxic) <= 2 and len(set(ids[0])) >= 403 - len(toxic)
+    prints = {r.doc_id: r.component_id for r in near_groups(spark, tmp_path, ids[0])}
+    assert ids[1] == sorted(i for i in ids[0] if prints[i] == i) and 400 not in ids[1] and 901 not in ids[1] and 900 in ids[1]
+    assert set(ids[1]) - set(ids[2]) == {101, 202} & set(ids[1])
+    final = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in final) == ids[2] and all(len(r.ids_sha256) == 64 for r in final)
+
+
+def near_groups(spark, folder, ids):
+    """Groups of near-duplicates among these documents."""
+    from assayer.llm import simhash
+
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    return simhash.near_duplicates(docs.filter(docs["doc_id"].isin(ids))).collect()
 
 
 def test_pipeline_keeps_one_of_repeated_rows(spark):
