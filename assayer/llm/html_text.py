@@ -40,8 +40,9 @@ LOOSE = frozenset("p li dt dd tr td th option html body".split())
 #: Elements whose content is never text of the article.
 BOILER_TAGS = frozenset("nav header footer aside form menu dialog button select option iframe object svg canvas audio video map fieldset".split())
 MAIN_TAGS = frozenset(["article", "main"])
+#: Whole words of a class or id; a wrapper that says that it has, or lacks, such a part is none.
 BOILER_NAME = regex.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notices?|alert|popup|modal|overlay|newsletter|subscribe|sidebar|side|widget|menu|nav\w*|"
+    r"(?:^|[\s_-])(?<!(?:has|with|no|without|show|hide)[_-])(?:ads?|adverts?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notices?|alert|popup|modal|overlay|newsletter|subscribe|sidebar|side|widget|menu|nav\w*|"
     r"breadcrumbs?|masthead|header|footer|foot|copyright|legal|share|sharing|social|related|recommend\w*|comments?|respond|replies|reply|disqus|login|signup|search|pagination|pager|toolbar|skip)(?:$|[\s_\d-])",
     regex.I,
 )
@@ -55,6 +56,7 @@ TOKEN = regex.compile(
     r"|[^<]+|<",
     regex.I | regex.S,
 )
+MAIN_NAME = regex.compile(r"(?:^|\s)(?:content|main|article|post|entry|story)(?:[_-]?(?:body|content|text|main))?(?:$|\s)", regex.I)
 NAMES = regex.compile(r"\b(class|id|role|hidden|aria-hidden)\b\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", regex.I)
 WORD = regex.compile(r"\w+")
 
@@ -90,6 +92,15 @@ def _is_boiler(tag: str, attrs: str, in_main: bool) -> bool:
     return False
 
 
+def _is_main(tag: str, attrs: str) -> bool:
+    if tag in MAIN_TAGS:
+        return True
+    if tag not in ("div", "section", "td") or not attrs:
+        return False
+    named = [(name.lower(), next((v for v in values if v), "")) for name, *values in NAMES.findall(attrs)]
+    return any((n == "role" and v.lower() == "main") or (n in ("class", "id") and MAIN_NAME.search(v) is not None) for n, v in named)
+
+
 def blocks_of(page: str) -> list[Block]:
     """The blocks with text, in page order."""
     found: list[Block] = []
@@ -152,7 +163,7 @@ def blocks_of(page: str) -> list[Block]:
             boiler = _is_boiler(tag, m["attrs"], main > 0)
             stack.append((tag, boiler, main))
             boilers += boiler
-            if tag in MAIN_TAGS:
+            if not boiler and _is_main(tag, m["attrs"]):
                 mains += 1
                 main = mains
         cut()

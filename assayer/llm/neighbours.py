@@ -33,7 +33,8 @@ PROJECTED, SEED = 8, 42
 CONFIDENCE = 0.95
 BLOCK_ROWS = 32_768
 LEAF = 64
-QUERIES_AT_ONCE = 4096
+#: As many as BLOCK_ROWS: queries are 1 in 100, so sending parts to blocks and blocks to parts cost about the same.
+QUERIES_AT_ONCE = 32_768
 
 
 def chi_square_cdf(x: np.ndarray, degrees: int) -> np.ndarray:

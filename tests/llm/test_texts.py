@@ -103,6 +103,7 @@ def page(body):
     (page(f"<div class=ad>Buy the best of it now.</div><article><p>a &amp;lt; b&nbsp;&eacute;\n c<br>d {PROSE}</p></article>"), f"a &lt; b é c d {PROSE}"[:-1]),
     (page(f"<article><p>{PROSE}<script>var t='</p>'</script><b>bold</b>er<!-- x --> end</p><form><p>{PROSE}</p></form></article>"), f"{PROSE}bolder end"),
     (page("<article><p>Only a short one.</p></article>"), "Only a short one."),
+    (page(f"<div class='wrap has-sidebar'><div id=content><h2>Short</h2><p>{PROSE}</p></div><div class='left-sidebar'><p>{PROSE}</p></div><div id='sidebar-2'><p>{PROSE}</p></div></div>"), f"Short {PROSE}"[:-1]),
     (page(f"<ul><li><a href=a>{PROSE}</a></li></ul><p>{PROSE}</p>"), PROSE[:-1]),
     (page(f"<p>{PROSE}</p><div class='cookie-notice'><p>{PROSE}</p></div><section class='comments'><article><p>{PROSE}</p></article></section>"), PROSE[:-1]),
 ])
