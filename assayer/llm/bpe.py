@@ -14,7 +14,7 @@ run again, and memory is bounded by the chunk (CHUNK_BYTES, or one text if longe
 Defined cases: a null text is the empty text, which has no ids; the special token's
 string inside a text becomes the special id, as the tokenizers library does by default;
 equal rows get equal results, one each; an empty table gives no rows; all other columns
-are carried along, whatever their names.
+are carried along, but one with a result's name gives way to it.
 """
 
 from __future__ import annotations

@@ -11,7 +11,7 @@ Each page is judged in the task that reads it; there is no shuffle.
 Defined cases: a null or empty page, or one without main text, gives the empty text;
 broken markup is read as browsers do, an unclosed tag or comment ending with the page;
 equal rows get equal texts, one each; an empty table gives no rows; all other columns
-are carried along.
+are carried along, but one with a result's name gives way to it.
 """
 
 from __future__ import annotations
