@@ -2,8 +2,8 @@
 
 Features say whether a text has a character n-gram (3 to 5 characters of the lower-cased
 text, hashed to 2^20 buckets). Each is scaled by the log ratio of its smoothed counts in
-toxic and other texts; n-grams whose ratio is less than LEAST_SIGMA of its standard errors
-from even are left out. Logistic regression is fitted on the scaled features, its weights
+toxic and other texts; n-grams whose ratio is small (LEAST_RATIO), or less than LEAST_SIGMA of
+its standard errors from even, are left out. Logistic regression is fitted on the scaled features, its weights
 shrunk towards their mean, so that an n-gram that the sample has seldom still counts by its
 ratio.
 
@@ -16,7 +16,7 @@ Defined cases: a null text is the empty text and gets the score of the intercept
 if the sample has just one class, or no telling n-gram, every score is the smoothed share of
 toxic rows in it, 0.5 if it has no rows; several labels of one id count as toxic if one of them does; rows with a
 null label are not learnt from; equal rows get equal scores, one each; an empty table
-gives no rows; other columns are carried along.
+gives no rows; other columns are carried along, but one with a result's name gives way to it.
 """
 
 from __future__ import annotations
@@ -36,8 +36,8 @@ FOLDS, HELD_OUT_FOLD = 5, 0
 SAMPLE = 12_000
 SHORTEST, LONGEST = 3, 5
 BITS = 20
-#: An n-gram is kept if its log-count ratio is so many of its standard errors from even.
-LEAST_SIGMA = 3.0
+#: An n-gram is kept if its log-count ratio is at least so large, and so many of its standard errors from even.
+LEAST_RATIO, LEAST_SIGMA = 1.0, 3.0
 STEPS, RATE, SHRINK, FIRST_WEIGHT = 150, 0.1, 1e-3, 0.05
 CHUNK_BYTES = 1_000_000
 SAMPLE_TASKS = 12
@@ -119,7 +119,7 @@ def trained(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
         ratio = F.log((F.col("n1") + 1) / F.lit(sums["n1"] + sums["k"])) - F.log((F.col("n0") + 1) / F.lit(sums["n0"] + sums["k"]))
         error = F.sqrt(1 / (F.col("n1") + 1) + 1 / (F.col("n0") + 1))
         # At most 2^20 rows, by the number of buckets.
-        chosen = counts.select("bucket", ratio.alias("r"), "n0", "n1").filter(F.abs("r") >= LEAST_SIGMA * error).toArrow()
+        chosen = counts.select("bucket", ratio.alias("r"), "n0", "n1").filter((F.abs("r") >= LEAST_RATIO) & (F.abs("r") >= LEAST_SIGMA * error)).toArrow()
         counts.unpersist()
         if not len(chosen):
             return by_share
