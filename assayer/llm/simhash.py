@@ -53,7 +53,11 @@ def fingerprint(text: str | None) -> int:
     k = min(SHINGLE, len(words))
     starts = [0, *(e + 1 for e in ends[: len(words) - k])]
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[k - 1 :], strict=True)], np.uint64)
+    return majority(np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[k - 1 :], strict=True)], np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of a text whose shingles have these hashes."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), BITS_AT_ONCE):
         part = hashes[i : i + BITS_AT_ONCE].view(np.uint8).reshape(-1, 8)

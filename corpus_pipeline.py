@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import bpe, decontaminate, simhash, toxicity
+from assayer.llm import bpe, decontaminate, overlap, toxicity
 from assayer.llm.shared import settled, without
 
 
@@ -22,8 +22,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group; one row of it."""
-    rows = settled(simhash.near_duplicates(docs).filter("doc_id is not null").groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("stays"), F.count(F.lit(1)).alias("n")))
+    """The document with the smallest id of each group of texts that share 0.8 or more of their 5-word shingles; one row of it."""
+    rows = settled(overlap.near_duplicates(docs).filter("doc_id is not null").groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("stays"), F.count(F.lit(1)).alias("n")))
     kept = without(docs, rows.filter(~F.col("stays")), "doc_id")
     repeated = rows.filter(F.col("stays") & (F.col("n") > 1))
     if repeated.isEmpty():
