@@ -2,14 +2,15 @@
 
 Features say whether a text has a character n-gram (3 to 5 characters of the lower-cased
 text, hashed to 2^20 buckets). Each is scaled by the log ratio of its smoothed counts in
-toxic and other texts; n-grams whose ratio is small (LEAST_RATIO), or less than LEAST_SIGMA of
-its standard errors from even, are left out. Logistic regression is fitted on the scaled features, its weights
+toxic and other texts; n-grams whose ratio is less than LEAST_SIGMA of its standard errors
+from even are left out. Logistic regression is fitted on the scaled features, its weights
 shrunk towards their mean, so that an n-gram that the sample has seldom still counts by its
 ratio.
 
 The classifier is fitted on at most SAMPLE labelled training rows, those with the
 smallest hash of their id; counting is spread over tasks, and the fit sees just the chosen
-n-grams of the sample. Scoring sees every row and its whole text, in the task that reads
+n-grams of the sample. These stay with the executors: each step of the fit sends the weights
+out and adds up the tasks' gradients, so the driver holds no row of the sample. Scoring sees every row and its whole text, in the task that reads
 it, without a shuffle; the model (4 MB) is sent to the executors.
 
 Defined cases: a null text is the empty text and gets the score of the intercept alone;
@@ -36,11 +37,13 @@ FOLDS, HELD_OUT_FOLD = 5, 0
 SAMPLE = 12_000
 SHORTEST, LONGEST = 3, 5
 BITS = 20
-#: An n-gram is kept if its log-count ratio is at least so large, and so many of its standard errors from even.
-LEAST_RATIO, LEAST_SIGMA = 1.0, 3.0
+#: An n-gram is kept if its log-count ratio is so many of its standard errors from even.
+LEAST_SIGMA = 3.0
 STEPS, RATE, SHRINK, FIRST_WEIGHT = 150, 0.1, 1e-3, 0.05
 CHUNK_BYTES = 1_000_000
 SAMPLE_TASKS = 12
+#: So many rows of the sample are unpacked at a time.
+ROWS_AT_ONCE = 128
 
 
 def grams(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -70,20 +73,52 @@ def features(texts: list[str | None], wanted: np.ndarray | None = None) -> tuple
     return found >> BITS, found & ((1 << BITS) - 1)
 
 
-def fit(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, labels: np.ndarray, width: int) -> tuple[np.ndarray, float]:
-    """Weights and intercept of logistic regression, by full-batch adaptive gradient steps."""
-    n = len(labels)
-    weights, bias = np.full(width, FIRST_WEIGHT), float(np.log(labels.mean() / (1 - labels.mean())))
-    seen, seen_bias = np.full(width, 1e-8), 1e-8
+def gradient(batch: pa.RecordBatch, scales: np.ndarray, weights: np.ndarray, bias: float) -> tuple[np.ndarray, float]:
+    """The sums over rows (toxic, places) of the slope of each weight and of the intercept."""
+    slope, slope_bias = np.zeros(len(weights)), 0.0
+    scaled = scales * weights
+    for i in range(0, batch.num_rows, ROWS_AT_ONCE):
+        part = batch.slice(i, ROWS_AT_ONCE)
+        per = [np.frombuffer(p, np.int32) for p in part.column("places").to_pylist()]
+        columns = np.concatenate(per)
+        rows = np.repeat(np.arange(len(per)), [len(p) for p in per])
+        z = np.bincount(rows, weights=scaled[columns], minlength=len(per)) + bias
+        error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - part.column("toxic").to_numpy()
+        slope += np.bincount(columns, weights=error[rows], minlength=len(weights))
+        slope_bias += error.sum()
+    return slope * scales, float(slope_bias)
+
+
+def fit(picked: DataFrame, scales: np.ndarray, toxic: int, other: int) -> tuple[np.ndarray, float]:
+    """Weights and intercept of logistic regression, by full-batch adaptive gradient steps; a step is a job over the rows (toxic, places)."""
+    n, context = toxic + other, picked.sparkSession.sparkContext
+    weights, bias = np.full(len(scales), FIRST_WEIGHT), float(np.log(toxic / other))
+    seen, seen_bias = np.full(len(scales), 1e-8), 1e-8
+    shared = context.broadcast(scales)
     for _ in range(STEPS):
-        z = np.bincount(rows, weights=values * weights[columns], minlength=n) + bias
-        error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels
-        slope = np.bincount(columns, weights=values * error[rows], minlength=width) / n + SHRINK * (weights - weights.mean())
+        now = context.broadcast((weights, bias))
+
+        def sums(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
+            slope, slope_bias = np.zeros(len(shared.value)), 0.0
+            for batch in batches:
+                more = gradient(batch, shared.value, *now.value)
+                slope += more[0]
+                slope_bias += more[1]
+            yield pa.RecordBatch.from_arrays([pa.array([slope.tobytes()], pa.binary()), pa.array([slope_bias])], ["slope", "bias"])
+
+        parts = picked.mapInArrow(sums, "slope binary, bias double").toArrow()
+        now.destroy()
+        slope = np.zeros(len(scales))
+        for one in parts.column("slope"):
+            slope += np.frombuffer(one.as_buffer(), float)
+        slope = slope / n + SHRINK * (weights - weights.mean())
+        slope_bias = sum(parts.column("bias").to_pylist()) / n
         seen += slope * slope
-        seen_bias += error.mean() ** 2
-        weights -= RATE * slope / np.sqrt(seen)
-        bias -= RATE * error.mean() / np.sqrt(seen_bias)
-    return weights, bias
+        seen_bias += slope_bias**2
+        weights = weights - RATE * slope / np.sqrt(seen)
+        bias -= RATE * slope_bias / np.sqrt(seen_bias)
+    shared.destroy()
+    return weights, float(bias)
 
 
 def sampled(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -119,29 +154,28 @@ def trained(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
         ratio = F.log((F.col("n1") + 1) / F.lit(sums["n1"] + sums["k"])) - F.log((F.col("n0") + 1) / F.lit(sums["n0"] + sums["k"]))
         error = F.sqrt(1 / (F.col("n1") + 1) + 1 / (F.col("n0") + 1))
         # At most 2^20 rows, by the number of buckets.
-        chosen = counts.select("bucket", ratio.alias("r"), "n0", "n1").filter((F.abs("r") >= LEAST_RATIO) & (F.abs("r") >= LEAST_SIGMA * error)).toArrow()
+        chosen = counts.select("bucket", ratio.alias("r"), "n0", "n1").filter(F.abs("r") >= LEAST_SIGMA * error).orderBy("bucket").toArrow()
         counts.unpersist()
         if not len(chosen):
             return by_share
-        ratios = np.zeros(1 << BITS)
-        ratios[chosen.column("bucket").to_numpy()] = chosen.column("r").to_numpy()
-        place = np.full(1 << BITS, -1, np.int64)
+        place = np.full(1 << BITS, -1, np.int32)
         place[chosen.column("bucket").to_numpy()] = np.arange(len(chosen))
-        wanted = docs.sparkSession.sparkContext.broadcast(place >= 0)
+        places = docs.sparkSession.sparkContext.broadcast(place)
 
         def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            wanted = places.value >= 0
             for table in chunks(batches, "text", CHUNK_BYTES):
-                text, bucket = features(table.column("text").to_pylist(), wanted.value)
-                per = np.split(bucket.astype(np.int32), np.searchsorted(text, np.arange(1, table.num_rows)))
-                yield pa.RecordBatch.from_arrays([table.column("doc_id").combine_chunks(), table.column("toxic").combine_chunks(), pa.array([p.tobytes() for p in per], pa.binary())], ["doc_id", "toxic", "buckets"])
-
-        picked = sample.mapInArrow(pick, "doc_id long, toxic int, buckets binary").toArrow().sort_by("doc_id")
+                text, bucket = features(table.column("text").to_pylist(), wanted)
+                per = np.split(places.value[bucket], np.searchsorted(text, np.arange(1, table.num_rows)))
+                yield pa.RecordBatch.from_arrays([table.column("toxic").combine_chunks(), pa.array([p.tobytes() for p in per], pa.binary())], ["toxic", "places"])
+
+        picked = sample.sortWithinPartitions("doc_id").mapInArrow(pick, "toxic int, places binary").persist()
+        try:
+            weights, bias = fit(picked, chosen.column("r").to_numpy(), toxic, other)
+        finally:
+            picked.unpersist()
     finally:
         sample.unpersist()
-    per = [np.frombuffer(b, np.int32) for b in picked.column("buckets").to_pylist()]
-    columns = np.concatenate(per)
-    rows = np.repeat(np.arange(len(per)), [len(p) for p in per])
-    weights, bias = fit(rows, place[columns], ratios[columns], picked.column("toxic").to_numpy().astype(float), len(chosen))
     scaled = np.zeros(1 << BITS)
     scaled[chosen.column("bucket").to_numpy()] = weights * chosen.column("r").to_numpy()
     return scaled, bias
