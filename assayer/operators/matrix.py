@@ -76,3 +76,18 @@ def wide(cells: DataFrame, candidates: list[str]) -> DataFrame:
 def newest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     rn = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return df.withColumn("_rn", rn).filter("_rn = 1").drop("_rn")
+
+
+def numbered(rows: DataFrame, key: str) -> DataFrame:
+    """rows with `pos`, their place from 1 in the order of a numeric key that no two rows share.
+
+    Rows are dealt out by ranges of the key between quantiles; a row's place in its range and
+    the sizes of the ranges before give its place, so no task sees all rows.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = rows.agg(F.percentile_approx(key, [i / n for i in range(1, n)] or [0.5], 10_000)).first()[0] or []
+    ranged = rows.withColumn("_range", F.size(F.filter(F.array(*map(F.lit, sorted(set(bounds)))), lambda b: b < F.col(key))) if bounds else F.lit(0))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).select("_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(key))
+    return ranged.withColumn("pos", place).join(F.broadcast(offsets), "_range").select(*rows.columns, (F.col("pos") + F.col("_before")).cast("long").alias("pos"))

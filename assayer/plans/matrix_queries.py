@@ -106,10 +106,7 @@ def agg27(spark, d):
 
 @register("srt01_task_order", sql("SELECT task_key, row_number() OVER (ORDER BY task_key) AS pos FROM (SELECT task_key FROM cells GROUP BY 1) QUALIFY pos <= 100", "cells"))
 def srt01(spark, d):
-    from pyspark.sql import Window
-
-    first = V.cells(spark, d).select("task_key").distinct().orderBy("task_key").limit(100)
-    return first.withColumn("pos", F.row_number().over(Window.orderBy("task_key")).cast("long"))
+    return matrix.numbered(V.cells(spark, d).select("task_key").distinct(), "task_key")
 
 
 @register("srt02_candidate_order", sql("SELECT candidate_key, count(*) AS n FROM cells GROUP BY 1 ORDER BY 1", "cells"))
