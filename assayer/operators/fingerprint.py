@@ -45,6 +45,18 @@ def escapes(changed: DataFrame, policies: DataFrame, keys: list[str]) -> DataFra
     return changed.join(policies, keys).filter(~C.writable(F.col("path"), F.col("writable"))).select(*changed.columns)
 
 
+def identity_verdicts(subjects: DataFrame, pins: DataFrame, after: DataFrame, key: str) -> DataFrame:
+    """(key, state, moved) of every subject: not_applicable without pins, error if a pinned path
+    is gone, fail if one has another id, else pass; moved paths in order.
+
+    pins are (key, path, before_id), after (key, path, after_id).
+    """
+    rows = pins.join(after, [key, "path"], "left").withColumn("_moved", F.coalesce(F.col("after_id") != F.col("before_id"), F.lit(False)))
+    listed = F.array_sort(F.collect_list(F.when(F.col("_moved"), F.col("path"))))
+    found = rows.groupBy(key).agg(F.when(F.bool_or(F.col("after_id").isNull()), "error").when(F.bool_or("_moved"), "fail").otherwise("pass").alias("state"), F.array_join(listed, ",").alias("moved"))
+    return subjects.select(key).distinct().join(found, key, "left").select(key, F.coalesce("state", F.lit("not_applicable")).alias("state"), F.coalesce("moved", F.lit("")).alias("moved"))
+
+
 def map_digest(rows: DataFrame, key: str, path: str, value: str) -> DataFrame:
     """(key, digest) of the canonical map path -> value; the digest of an empty map where there are no paths."""
     entries = F.array_sort(F.collect_list(F.when(F.col(path).isNotNull(), F.struct(F.col(path).alias("k"), F.col(value).alias("v")))))

@@ -109,10 +109,10 @@ def jn20(spark, d):
 @register("agg15_identity_verdict", sql("""SELECT snapshot, CASE WHEN bool_or(gone) THEN 'error' WHEN bool_or(moved) THEN 'fail' ELSE 'pass' END AS state, coalesce(string_agg(path, ',' ORDER BY path) FILTER (moved), '') AS moved FROM (
 SELECT f.snapshot, f.path, d.text IS NULL AS gone, coalesce(d.text <> f.text, false) AS moved FROM files f LEFT JOIN drifted d USING (snapshot, path) WHERE f.doc_id % 40 < 3) GROUP BY 1""", "files", "drifted"))
 def agg15(spark, d):
-    pins = V.files(spark, d).filter("doc_id % 40 < 3").select("snapshot", "path", C.content_id("task", F.col("text")).alias("before_id"))
+    files = V.files(spark, d)
+    pins = files.select("snapshot", "path", C.content_id("task", F.col("text")).alias("before_id"))
     after = V.drifted(spark, d).select("snapshot", "path", C.content_id("task", F.col("text")).alias("after_id"))
-    rows = pins.join(after, ["snapshot", "path"], "left").withColumn("moved", F.coalesce(F.col("after_id") != F.col("before_id"), F.lit(False)))
-    return rows.groupBy("snapshot").agg(F.when(F.bool_or(F.col("after_id").isNull()), "error").when(F.bool_or("moved"), "fail").otherwise("pass").alias("state"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("moved"), F.col("path")))), ",").alias("moved"))
+    return fingerprint.identity_verdicts(files.select("snapshot"), pins, after, "snapshot")
 
 
 @register("sca03_lf_normalise", sql("SELECT path, sha256(text) AS normal FROM files", "files"))
