@@ -15,7 +15,8 @@ the table. Equal vectors of a block are one point of its tree, with all their id
 
 Defined cases: vectors that are null, zero, of another length than most vectors, or with null or non-finite components take no part, as queries or candidates;
 ties go to the smaller vec_id; a query gets all candidates if there are fewer than TOP; a
-vec_id that occurs several times is one query a row and never its own candidate; an empty
+vec_id that occurs several times is one query a row and never its own candidate, and equal
+query rows are searched once and get equal results, one set each; an empty
 table gives no rows; columns of the input other than the two named are not looked at.
 """
 
@@ -118,7 +119,7 @@ def _usable(vectors: pd.Series, width: int) -> np.ndarray:
 
 def _searched(data: pd.DataFrame, queries: pd.DataFrame, width: int, ratio: float) -> pd.DataFrame:
     """The nearest of a block for each query."""
-    none = pd.DataFrame({"query_id": [], "query_key": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "query_key": "int64", "vec_id": "int64", "score": "float64"})
+    none = pd.DataFrame({"query_id": [], "query_key": [], "copies": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "query_key": "int64", "copies": "int64", "vec_id": "int64", "score": "float64"})
     data, queries = data[_usable(data["vector"], width)], queries[_usable(queries["vector"], width)]
     if data.empty or queries.empty:
         return none
@@ -127,23 +128,29 @@ def _searched(data: pd.DataFrame, queries: pd.DataFrame, width: int, ratio: floa
     by_id = np.argsort(ids, kind="stable")
     everything, ids = everything[by_id], ids[by_id]
     vectors, kind = np.unique(everything, axis=0, return_inverse=True)
-    members = np.split(np.argsort(kind, kind="stable"), np.cumsum(np.bincount(kind))[:-1])
+    sizes = np.bincount(kind)
+    members = np.split(np.argsort(kind, kind="stable"), np.cumsum(sizes)[:-1])
     matrix = np.random.default_rng(SEED).standard_normal((width, PROJECTED))
     points = vectors @ matrix
     tree = KdTree(points)
     out = []
-    for query_id, key, q in zip(queries["vec_id"], queries["query_key"], np.stack(queries["vector"].to_list()).astype(float), strict=True):
-        rows, d = search(tree, points, vectors, q, q @ matrix, ratio, TOP + 1)
-        near = np.argsort(d, kind="stable")[: TOP + 1]
+    for query_id, key, copies, q in zip(queries["vec_id"], queries["query_key"], queries["copies"], np.stack(queries["vector"].to_list()).astype(float), strict=True):
+        # Points that hold no rows but the query's own count neither as found nor as enough.
+        own, n = np.unique(kind[np.searchsorted(ids, query_id) : np.searchsorted(ids, query_id, side="right")], return_counts=True)
+        own = own[n == sizes[own]]
+        rows, d = search(tree, points, vectors, q, q @ matrix, ratio, TOP + max(1, len(own)))
+        others = ~np.isin(rows, own)
+        rows, d = rows[others], d[others]
+        if not len(rows):
+            continue
+        near = np.argsort(d, kind="stable")[:TOP]
         last = d[near[-1]]
         near = np.flatnonzero(d <= last)
         near = near[np.argsort(d[near], kind="stable")]
-        same = [members[rows[r]][: TOP + 1] for r in near]
+        same = [m[ids[m] != query_id][:TOP] for m in (members[rows[r]] for r in near)]
         found, dist = np.concatenate(same), np.repeat(np.sqrt(d[near]), [len(m) for m in same])
-        own = ids[found] == query_id
-        found, dist = found[~own], dist[~own]
         best = np.lexsort((ids[found], dist))[:TOP]
-        out.append(pd.DataFrame({"query_id": query_id, "query_key": key, "vec_id": ids[found[best]], "score": dist[best]}))
+        out.append(pd.DataFrame({"query_id": query_id, "query_key": key, "copies": copies, "vec_id": ids[found[best]], "score": dist[best]}))
     return pd.concat(out) if out else none
 
 
@@ -156,7 +163,7 @@ def nearest(df: DataFrame, key: str = "vec_id", vector: str = "embedding") -> Da
     blocks = max(1, -(-count // BLOCK_ROWS))
     ratio = least_ratio()
     data = rows.withColumn("block", F.pmod(F.xxhash64("vec_id", "vector"), F.lit(blocks)).cast("int"))
-    queries = rows.filter(F.col("vec_id") % EVERY == 0).withColumn("query_key", F.xxhash64("vec_id", "vector"))
+    queries = rows.filter(F.col("vec_id") % EVERY == 0).groupBy("vec_id", "vector").agg(F.count(F.lit(1)).alias("copies")).withColumn("query_key", F.xxhash64("vec_id", "vector"))
     parts = max(1, -(-count // EVERY // QUERIES_AT_ONCE))
     # A block is searched by each part of the queries in a task of its own.
     data = data.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
@@ -165,9 +172,9 @@ def nearest(df: DataFrame, key: str = "vec_id", vector: str = "embedding") -> Da
     def run(d: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         return _searched(d, q, width, ratio)
 
-    found = data.groupBy("block", "part").cogroup(queries.groupBy("block", "part")).applyInPandas(run, "query_id long, query_key long, vec_id long, score double")
+    found = data.groupBy("block", "part").cogroup(queries.groupBy("block", "part")).applyInPandas(run, "query_id long, query_key long, copies long, vec_id long, score double")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "query_key").orderBy("score", "vec_id")))
-    return ranked.filter(F.col("rank") <= TOP).select("query_id", "rank", "vec_id", "score")
+    return ranked.filter(F.col("rank") <= TOP).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("query_id", "rank", "vec_id", "score")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
