@@ -40,3 +40,31 @@ def id_literals(texts: DataFrame, key: str, text: str) -> DataFrame:
     """(key, literal): content-derived ids written out in a text."""
     kinds = "|".join(C.ID_KINDS)
     return texts.select(key, F.explode(F.regexp_extract_all(text, F.lit(rf"\b((?:{kinds})-[0-9a-f]{{6,64}})\b"), F.lit(1))).alias("literal"))
+
+
+#: Words of a quote that are looked up together.
+ANCHOR = 3
+
+
+def _grams(text: Column) -> Column:
+    """Hashes of the runs of ANCHOR words."""
+    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    spans = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - ANCHOR), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(ANCHOR)]))
+    return F.get(F.transform(F.array(words), lambda w: F.when(F.size(w) >= ANCHOR, spans(w)).otherwise(F.array().cast("array<bigint>"))), F.lit(0))
+
+
+def located(texts: DataFrame, quotes: DataFrame, key: str, item: str) -> DataFrame:
+    """(key, item) of texts that hold a quote (item, quote) word for word, a row for each text's row.
+
+    A quote's words but the first and last are whole words of a text that holds it, so one
+    run of them, the one with the least hash, is met by an equi-join over hashes; only texts
+    with that run are read again and searched. Quotes of fewer than ANCHOR + 2 words say too
+    little and are left out.
+    """
+    grams = _grams(F.col("quote"))
+    inner = F.slice(grams, F.lit(2), F.greatest(F.size(grams) - 2, F.lit(0)))
+    anchored = quotes.select(item, "quote", F.array_min(inner).alias("gram")).filter("gram is not null")
+    rows = texts.select(key, "text", F.xxhash64(key, "text").alias("_row"))
+    runs = rows.select("_row", F.explode(F.array_distinct(_grams(F.col("text")))).alias("gram"))
+    pairs = runs.join(anchored.select(item, "gram"), "gram").select("_row", item).distinct()
+    return rows.join(pairs, "_row").join(anchored.select(item, "quote"), item).filter(F.contains("text", "quote")).select(key, item)

@@ -25,6 +25,15 @@ def unbound(refs: DataFrame, verified: DataFrame, key: str, fields: list[str], c
     return refs.join(v, key).filter(wrong).select(*refs.columns, F.lit(code).alias("code"))
 
 
+def with_subject(tasks: DataFrame, subjects: DataFrame, split: str) -> DataFrame:
+    """tasks with the one subject (split, snapshot_id) that all tasks of their split share, and a code where there is none.
+
+    Subjects are a row a split; Spark broadcasts them while they are small.
+    """
+    joined = tasks.join(subjects.select(split, "snapshot_id"), split, "left")
+    return joined.select(*tasks.columns, "snapshot_id", F.when(F.col("snapshot_id").isNull(), "SUBJECT_MISSING").alias("code"))
+
+
 def replayed(recorded: DataFrame, derived: DataFrame, keys: list[str], value: str) -> DataFrame:
     """(keys, agrees): recorded values against derived ones, key sets included."""
     r = recorded.select(*keys, F.col(value).alias("_r"), F.lit(True).alias("_in_r"))

@@ -7,17 +7,39 @@ from pyspark.sql import functions as F
 
 from assayer.functions import columns as C
 
+from .matrix import placed
+
+#: So many entries of a set are hashed into one node of its tree.
+NODE = 10_000
+
 
 def rolled_up(files: DataFrame, keys: list[str], kind: str, fields: list[str]) -> DataFrame:
     """(keys, id): one id for each set of files, whatever the order of their rows.
 
     Fields of the files are hashed in the order of the first one. A set's hashes meet in
-    one row, as the id is one hash over all of them.
+    one row, as the id is one hash over all of them. A row holds 2 GB at most, with some
+    150 bytes an entry thus 10 million files; tree_rolled_up has no such bound.
     """
     listed = F.array_sort(F.collect_list(F.struct(*fields)))
     return files.groupBy(*keys).agg(C.content_id(kind, F.to_json(listed)).alias("id"))
 
 
+def tree_rolled_up(files: DataFrame, keys: list[str], kind: str, fields: list[str], node: int = NODE) -> DataFrame:
+    """(keys, id, n): one id for each set of files of any size, whatever the order of their rows.
+
+    Entries are numbered in the order of the fields. Each run of `node` of them is one hash,
+    and the id is a hash over these in order; runs are cut by place, so the id does not
+    depend on how rows are dealt out. A task sees a range of a set, and a set's row one
+    hash for each run.
+    """
+    runs = placed(files.select(*keys, *fields), keys, fields).withColumn("_run", F.expr(f"(pos - 1) div {int(node)}"))
+    listed = F.array_sort(F.collect_list(F.struct("pos", *fields)))
+    entries = F.transform(listed, lambda e: F.struct(*[e[f].alias(f) for f in fields]))
+    nodes = runs.groupBy(*keys, "_run").agg(F.sha2(F.to_json(entries).cast("binary"), 256).alias("_hash"), F.count(F.lit(1)).alias("_n"))
+    hashes = F.transform(F.array_sort(F.collect_list(F.struct("_run", "_hash"))), lambda x: x["_hash"])
+    return nodes.groupBy(*keys).agg(C.content_id(kind, F.to_json(hashes)).alias("id"), F.sum("_n").alias("n"))
+
+
 def reconciled(manifest: DataFrame, found: DataFrame, keys: list[str], fields: dict[str, str]) -> DataFrame:
     """(keys, outcome): full outer comparison of a manifest with what is found.
 
@@ -46,15 +68,22 @@ def escapes(changed: DataFrame, policies: DataFrame, keys: list[str]) -> DataFra
 
 
 def identity_verdicts(subjects: DataFrame, pins: DataFrame, after: DataFrame, key: str) -> DataFrame:
-    """(key, state, moved) of every subject: not_applicable without pins, error if a pinned path
-    is gone, fail if one has another id, else pass; moved paths in order.
+    """(key, state, n_moved, first_moved) of every subject: not_applicable without pins, error if
+    a pinned path is gone, fail if one has another id, else pass.
 
-    pins are (key, path, before_id), after (key, path, after_id).
+    pins are (key, path, before_id), after (key, path, after_id). The moved paths themselves
+    are rows of pinned(); a verdict has their number and the first of them.
     """
-    rows = pins.join(after, [key, "path"], "left").withColumn("_moved", F.coalesce(F.col("after_id") != F.col("before_id"), F.lit(False)))
-    listed = F.array_sort(F.collect_list(F.when(F.col("_moved"), F.col("path"))))
-    found = rows.groupBy(key).agg(F.when(F.bool_or(F.col("after_id").isNull()), "error").when(F.bool_or("_moved"), "fail").otherwise("pass").alias("state"), F.array_join(listed, ",").alias("moved"))
-    return subjects.select(key).distinct().join(found, key, "left").select(key, F.coalesce("state", F.lit("not_applicable")).alias("state"), F.coalesce("moved", F.lit("")).alias("moved"))
+    moved = F.col("state") == "fail"
+    found = pinned(pins, after, key).groupBy(key).agg(
+        F.when(F.bool_or(F.col("state") == "error"), "error").when(F.bool_or(moved), "fail").otherwise("pass").alias("_state"), F.count_if(moved).alias("_n"), F.min(F.when(moved, F.col("path"))).alias("first_moved"))
+    return subjects.select(key).distinct().join(found, key, "left").select(key, F.coalesce("_state", F.lit("not_applicable")).alias("state"), F.coalesce("_n", F.lit(0)).alias("n_moved"), "first_moved")
+
+
+def pinned(pins: DataFrame, after: DataFrame, key: str) -> DataFrame:
+    """(key, path, state) of every pin: error if its path is gone, fail if it has another id, else pass."""
+    state = F.when(F.col("after_id").isNull(), "error").when(F.col("after_id") != F.col("before_id"), "fail").otherwise("pass")
+    return pins.join(after, [key, "path"], "left").select(key, "path", state.alias("state"))
 
 
 def map_digest(rows: DataFrame, key: str, path: str, value: str) -> DataFrame:

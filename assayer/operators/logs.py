@@ -42,6 +42,44 @@ def illegal_transitions(states: DataFrame, session: str, seq: str, state: str, l
     return states.withColumn("before", before).filter(F.col("before").isNotNull() & ~ok).select(session, seq, "before", state)
 
 
+def session_answers(actions: DataFrame, session: str = "session_id", seq: str = "seq") -> DataFrame:
+    """actions (session, seq, action) with `answer` and the `state` that they find.
+
+    Actions are start, finalize, finalized, finalize_failed (how the claimed work ended) and
+    close. A session is started once; one call claims its finalization; it cannot be closed
+    while that runs, and closing forgets it. Refused actions change nothing: SESSION_UNKNOWN
+    (not started, or closed; a close of such is `nothing`), SESSION_STATE, SESSION_BUSY.
+
+    Every rule asks what came before in the session, so one sort by session and seq serves
+    all of them.
+    """
+    past = Window.partitionBy(session).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
+    is_ = lambda *names: F.col("action").isin(*names)
+    df = actions
+    steps = [
+        ("started", lambda: is_("start")),
+        # Before any accepted close and any claim, the first of the two wins.
+        ("ended", lambda: F.col("_started") & is_("finalize", "close")),
+        ("claimed", lambda: F.col("_started") & is_("finalize") & ~F.col("_ended")),
+        ("settled", lambda: F.col("_claimed") & is_("finalized", "finalize_failed")),
+        ("closed", lambda: (F.col("_started") & is_("close") & ~F.col("_ended")) | (F.col("_settled") & is_("close"))),
+    ]
+    for name, event in steps:
+        df = df.withColumn(f"_{name}", F.coalesce(F.max(event()).over(past), F.lit(False)))
+    failed = F.last(F.when(F.col("_claimed") & ~F.col("_settled") & is_("finalized", "finalize_failed"), F.col("action")), ignorenulls=True).over(past)
+    df = df.withColumn("_outcome", failed)
+    gone = ~F.col("_started") | F.col("_closed")
+    state = F.when(~F.col("_started"), "none").when(F.col("_closed"), "closed").when(F.col("_settled"), F.col("_outcome")).when(F.col("_claimed"), "finalizing").otherwise("started")
+    answer = (
+        F.when(is_("start"), F.when(F.col("_started"), "SESSION_STATE").otherwise("accepted"))
+        .when(gone, F.when(is_("close"), "nothing").otherwise("SESSION_UNKNOWN"))
+        .when(is_("finalize"), F.when(F.col("_claimed"), "SESSION_STATE").otherwise("accepted"))
+        .when(is_("finalized", "finalize_failed"), F.when(F.col("_claimed") & ~F.col("_settled"), "accepted").otherwise("SESSION_STATE"))
+        .when(is_("close"), F.when(F.col("_claimed") & ~F.col("_settled"), "SESSION_BUSY").otherwise("accepted"))
+    )
+    return df.withColumn("state", state).withColumn("answer", answer).select(*actions.columns, "state", "answer")
+
+
 def retries(calls: DataFrame, session: str = "session_id") -> DataFrame:
     """calls (session, seq, key, finishes) with `answer`.
 
@@ -72,6 +110,8 @@ def cheapest(offers: DataFrame, request: str) -> DataFrame:
 
 def memoised(requests: DataFrame, key: str = "key") -> DataFrame:
     """requests with `cost` 0 and tier `memo` where an earlier one of the same key crystallised."""
-    earlier = Window.partitionBy(key).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    hit = F.coalesce(F.max(F.col("crystallises").cast("int")).over(earlier), F.lit(0)) == 1
-    return requests.withColumn("_hit", hit).withColumn("tier", F.when(F.col("_hit"), "memo").otherwise(F.col("tier"))).withColumn("cost", F.when(F.col("_hit"), 0).otherwise(F.col("cost"))).drop("_hit")
+    # The first one of each key is a minimum, added up before its shuffle; a join, unlike a window, splits a frequent key.
+    first = requests.filter("crystallises").groupBy(F.col(key).alias("_key")).agg(F.min("at").alias("_first"))
+    hit = F.coalesce(F.col("at") > F.col("_first"), F.lit(False))
+    joined = requests.join(first, F.col(key).eqNullSafe(F.col("_key")), "left").withColumn("_hit", hit)
+    return joined.withColumn("tier", F.when(F.col("_hit"), "memo").otherwise(F.col("tier"))).withColumn("cost", F.when(F.col("_hit"), 0).otherwise(F.col("cost"))).select(*requests.columns)

@@ -28,7 +28,10 @@ def tests_verdict(episodes: DataFrame, runs: DataFrame, key: str) -> DataFrame:
 
 
 def policy_violations(policies: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Policies (policy, runner_profile, network) that ask for what their profile does not deliver."""
-    known = F.broadcast(profiles.select("runner_profile", F.col("network").alias("_provides"), F.col("executes").alias("_executes")))
+    """Policies (policy, runner_profile, network) that ask for what their profile does not deliver.
+
+    Profiles are a row each; Spark broadcasts them while they are small.
+    """
+    known = profiles.select("runner_profile", F.col("network").alias("_provides"), F.col("executes").alias("_executes"))
     wrong = F.when(F.col("_executes").isNull(), "unknown_profile").when(F.col("_executes") & (F.col("network") != F.col("_provides")), "network_not_provided")
     return policies.join(known, "runner_profile", "left").withColumn("code", wrong).filter("code is not null").drop("_provides", "_executes")

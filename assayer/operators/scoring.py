@@ -43,8 +43,8 @@ def _verdict(reward: Column, status: str, validity: str) -> Column:
 def score_violations(states: DataFrame, scored: DataFrame, key: str, known: tuple[str, ...] = ("pass", "fail", "not_applicable", "error")) -> DataFrame:
     """(key, signal, code): states outside the four, and signals of `scored` that an episode lacks.
 
-    states is (key, signal, state); scored is the small table of signals that a rubric
-    scores or requires.
+    states is (key, signal, state); scored has the signals that a rubric scores or requires.
+    They come from one document and are broadcast as one row of their names.
     """
     unknown = states.filter(~F.col("state").isin(*known)).select(key, "signal", F.lit("unknown_state").alias("code"))
     per = states.groupBy(key).agg(F.collect_set("signal").alias("has"))

@@ -57,9 +57,9 @@ def sca25(spark, d):
     return V.table(spark, d, "documents").select("doc_id", C.first_prose(F.col("text")).alias("line"))
 
 
-@register("quotes_located", "SELECT item_id, count(*) AS n, min(doc_id) AS first_doc FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY 1")
+@register("quotes_located", "SELECT item_id, count(*) AS n, min(doc_id) AS first_doc FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE len(list_filter(regexp_split_to_array(b.text, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')) > 4 GROUP BY 1")
 def quotes(spark, d):
-    """Quotes without a place: the small table of quotes is broadcast and searched for in each text."""
+    """Quotes without a place."""
     bench = V.table(spark, d, "benchmark").select("item_id", F.col("text").alias("quote"))
-    docs = V.table(spark, d, "documents").select("doc_id", "text")
-    return docs.join(F.broadcast(bench), F.contains("text", "quote")).groupBy("item_id").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc"))
+    found = claims.located(V.table(spark, d, "documents").select("doc_id", "text"), bench, "doc_id", "item_id")
+    return found.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc"))

@@ -73,7 +73,7 @@ def jn18(spark, d):
     return both.withColumn("outcome", F.when(C.differs(F.col("sealed"), F.col("available")), "unavailable").otherwise("same"))
 
 
-@register("jn19_plan_vs_registry", sql("SELECT episode_key, signal, 'NO_IMPLEMENTATION' AS code FROM signal_states WHERE signal IN ('s4', 's5')", "signal_states"))
+@register("jn19_plan_vs_registry", sql("SELECT episode_key, signal, 'NO_IMPLEMENTATION' AS code FROM signal_states WHERE signal > 's3'", "signal_states"))
 def jn19(spark, d):
     from .registry_queries import REGISTRY
 
@@ -103,9 +103,9 @@ def jn24(spark, d):
     return closure.dangling(needs, provided, "need", "").select("c_custkey", "need")
 
 
-@register("jn26_entrypoint_membership", "SELECT s_suppkey, entry FROM (SELECT s_suppkey, 'part/' || (s_suppkey * 13) AS entry FROM supplier) WHERE entry NOT IN (SELECT 'part/' || p_partkey FROM part)")
+@register("jn26_entrypoint_membership", "SELECT s_suppkey, entry FROM (SELECT s_suppkey, 'part/' || (s_suppkey * 21) AS entry FROM supplier) WHERE entry NOT IN (SELECT 'part/' || p_partkey FROM part)")
 def jn26(spark, d):
-    entries = V.table(spark, d, "supplier").select("s_suppkey", F.concat(F.lit("part/"), F.col("s_suppkey") * 13).alias("entry"))
+    entries = V.table(spark, d, "supplier").select("s_suppkey", F.concat(F.lit("part/"), F.col("s_suppkey") * 21).alias("entry"))
     return closure.dangling(entries, V.table(spark, d, "part").select(F.concat(F.lit("part/"), "p_partkey").alias("entry")), "entry", "").select("s_suppkey", "entry")
 
 

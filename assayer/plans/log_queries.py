@@ -94,11 +94,32 @@ def sca26(spark, d):
     return V.table(spark, d, "events").select("event_id", C.gate_verdict(e % 5).alias("verdict"), C.gate_allows(e % 7 != 0, e % 2 != 0, e % 5).alias("allowed"))
 
 
-@register("win05_session_transitions", "SELECT conv_id AS session_id, turn AS seq, b AS before, role AS state FROM (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS b FROM conversations) WHERE b IS NOT NULL AND NOT (b = 'user' AND role = 'assistant') AND NOT (b = 'assistant' AND role = 'user') AND NOT (b = 'system' AND role = 'user')")
+_ACTION = "CASE event_type WHEN 'view' THEN 'start' WHEN 'click' THEN 'finalize' WHEN 'purchase' THEN 'finalized' WHEN 'error' THEN 'finalize_failed' ELSE 'close' END"
+
+
+@register("win05_session_transitions", f"""WITH e AS (SELECT user_id * 1000 + event_id % 8 AS session_id, event_id AS seq, {_ACTION} AS action FROM events),
+s AS (SELECT session_id, min(seq) AS started FROM e WHERE action = 'start' GROUP BY 1),
+f AS (SELECT session_id, min(seq) FILTER (action = 'finalize') AS fin, min(seq) FILTER (action = 'close') AS clo FROM e JOIN s USING (session_id) WHERE seq > started GROUP BY 1),
+c AS (SELECT session_id, started, CASE WHEN fin < coalesce(clo, fin + 1) THEN fin END AS claimed, CASE WHEN clo < coalesce(fin, clo + 1) THEN clo END AS early FROM s LEFT JOIN f USING (session_id)),
+d AS (SELECT session_id, min(seq) AS settled, min_by(action, seq) AS outcome FROM e JOIN c USING (session_id) WHERE seq > claimed AND action IN ('finalized', 'finalize_failed') GROUP BY 1),
+l AS (SELECT session_id, min(seq) AS late FROM e JOIN d USING (session_id) WHERE seq > settled AND action = 'close' GROUP BY 1),
+x AS (SELECT e.*, coalesce(seq > started, false) AS st, coalesce(seq > claimed, false) AS cl, coalesce(seq > settled, false) AS se, coalesce(seq > early, false) OR coalesce(seq > late, false) AS gone, outcome
+  FROM e LEFT JOIN c USING (session_id) LEFT JOIN d USING (session_id) LEFT JOIN l USING (session_id))
+SELECT session_id, seq, action, CASE WHEN NOT st THEN 'none' WHEN gone THEN 'closed' WHEN se THEN outcome WHEN cl THEN 'finalizing' ELSE 'started' END AS state,
+CASE WHEN action = 'start' THEN CASE WHEN st THEN 'SESSION_STATE' ELSE 'accepted' END WHEN gone OR NOT st THEN CASE WHEN action = 'close' THEN 'nothing' ELSE 'SESSION_UNKNOWN' END
+WHEN action = 'finalize' THEN CASE WHEN cl THEN 'SESSION_STATE' ELSE 'accepted' END WHEN action = 'close' THEN CASE WHEN cl AND NOT se THEN 'SESSION_BUSY' ELSE 'accepted' END
+ELSE CASE WHEN cl AND NOT se THEN 'accepted' ELSE 'SESSION_STATE' END END AS answer FROM x""")
 def win05(spark, d):
+    """Events of a user are dealt out to eight sessions each."""
+    e = V.table(spark, d, "events")
+    return logs.session_answers(e.select((F.col("user_id") * 1000 + F.col("event_id") % 8).alias("session_id"), F.col("event_id").alias("seq"), F.expr(_ACTION).alias("action")))
+
+
+@register("win05_illegal_steps", "SELECT conv_id AS session_id, turn AS seq, b AS before, role AS state FROM (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS b FROM conversations) WHERE b IS NOT NULL AND NOT (b = 'user' AND role = 'assistant') AND NOT (b = 'system' AND role = 'user')")
+def win05_steps(spark, d):
+    """Turns of conversations in which an assistant may say just one thing."""
     turns = V.table(spark, d, "conversations").select(F.col("conv_id").alias("session_id"), F.struct("turn", "role", "text").alias("order"), F.col("turn").alias("seq"), F.col("role").alias("state"))
-    legal = {("user", "assistant"), ("assistant", "user"), ("system", "user")}
-    return logs.illegal_transitions(turns, "session_id", "order", "state", legal).select("session_id", F.col("order.turn").alias("seq"), "before", "state")
+    return logs.illegal_transitions(turns, "session_id", "order", "state", {("user", "assistant"), ("system", "user")}).select("session_id", F.col("order.turn").alias("seq"), "before", "state")
 
 
 _RETRIES = """SELECT session_id, seq, CASE WHEN done AND key IS NOT NULL AND key = owner THEN 'replay' WHEN done THEN 'finished' WHEN mine THEN 'proceed' ELSE 'busy' END AS answer FROM (

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from assayer.functions import columns as C
-from assayer.operators import matrix, scoring
+from assayer.operators import closure, matrix, scoring
 
 from . import views as V
 from .catalog import register
@@ -60,30 +60,36 @@ def jn13(spark, d):
     return matrix.same_task(orders.select(F.col("episode_key").alias("left_key"), (F.col("episode_key") + 1).alias("right_key")), orders)
 
 
-@register("jn14_receipt_diff", sql(f"""SELECT p.task_key, p.left_key, p.right_key, v.signal AS key, v.state AS "left", w.state AS "right" FROM ({_PAIRS}) p
-JOIN verification v ON v.episode_key = p.left_episode JOIN verification w ON w.episode_key = p.right_episode AND w.signal = v.signal WHERE v.state <> w.state""", "cells", "verification"))
+@register("jn14_receipt_diff", sql("""SELECT l.task_key, l.candidate_key AS left_key, r.candidate_key AS right_key, coalesce(a.field, b.field) AS field, coalesce(a.key, b.key) AS key, a.value AS "left", b.value AS "right"
+FROM newest_orders l JOIN newest_orders r ON l.task_key = r.task_key AND l.candidate_key < r.candidate_key
+JOIN LATERAL (SELECT unnest(['outputs', 'verification', 'verification_evidence', 'verifier_versions', 'execution_facts']) AS field) f ON true
+JOIN LATERAL (SELECT unnest(['finding', 'patch', 's1', 's2', 's3', 's4', 's5', 's6', 's7', 'os', 'arch', 'termination']) AS key) k ON true
+LEFT JOIN facts a ON a.episode_key = l.episode_key AND a.field = f.field AND a.key = k.key LEFT JOIN facts b ON b.episode_key = r.episode_key AND b.field = f.field AND b.key = k.key
+WHERE a.value IS DISTINCT FROM b.value""", "newest_orders", "facts"))
 def jn14(spark, d):
-    pairs = matrix.pairs(V.cells(spark, d))
-    maps = V.episodes(spark, d).select("episode_key", "verification")
-    both = pairs.join(maps.select(F.col("episode_key").alias("_l"), F.col("verification").alias("lv")), F.col("left.episode_key") == F.col("_l")).join(maps.select(F.col("episode_key").alias("_r"), F.col("verification").alias("rv")), F.col("right.episode_key") == F.col("_r"))
-    return both.select("task_key", F.col("left.candidate_key").alias("left_key"), F.col("right.candidate_key").alias("right_key"), F.explode(matrix.map_differences(F.col("lv"), F.col("rv"))).alias("x")).select("task_key", "left_key", "right_key", "x.*")
+    fields = ("outputs", "verification", "verification_evidence", "verifier_versions", "execution_facts")
+    cells = V.newest_orders(spark, d).join(V.records(spark, d), "episode_key", "left")
+    both = matrix.pairs(cells, fields=("candidate_key", *fields))
+    found = F.explode(matrix.field_differences(F.col("left"), F.col("right"), fields)).alias("x")
+    return both.select("task_key", F.col("left.candidate_key").alias("left_key"), F.col("right.candidate_key").alias("right_key"), found).select("task_key", "left_key", "right_key", "x.*")
 
 
 @register("agg05_batch_totals", sql(f"""SELECT (SELECT count(DISTINCT candidate_key) FROM cells) AS candidates, (SELECT count(DISTINCT task_key) FROM cells) AS tasks, (SELECT count(*) FROM cells) AS episodes,
 (SELECT count(reward) FROM cells) AS scored, (SELECT count(*) FROM ({_PAIRS}) WHERE lr IS NOT NULL AND rr IS NOT NULL) AS comparisons, (SELECT count(*) FROM ({_PAIRS}) WHERE lr IS NULL OR rr IS NULL) AS refusals""", "cells"))
 def agg05(spark, d):
-    cells = V.cells(spark, d)
-    whole = cells.agg(F.countDistinct("candidate_key").alias("candidates"), F.countDistinct("task_key").alias("tasks"), F.count(F.lit(1)).alias("episodes"), F.count("reward").alias("scored"))
-    both = F.col("left.reward").isNotNull() & F.col("right.reward").isNotNull()
-    pairs = matrix.pairs(cells).agg(F.count_if(both).alias("comparisons"), F.count_if(~both).alias("refusals"))
-    return whole.join(F.broadcast(pairs))
+    return matrix.batch_totals(V.cells(spark, d))
 
 
-@register("agg06_candidate_row", sql("SELECT candidate_key, list(episode_key ORDER BY task_key, episode_key) AS episode_keys, count(reward) AS scored, coalesce(sum(reward), 0)::BIGINT AS reward_sum FROM cells GROUP BY 1", "cells"))
+@register("agg06_candidate_row", sql("SELECT candidate_key, row_number() OVER (PARTITION BY candidate_key ORDER BY task_key, episode_key) AS pos, task_key, episode_key FROM cells", "cells"))
 def agg06(spark, d):
     return matrix.candidate_rows(V.cells(spark, d))
 
 
+@register("agg06_candidate_totals", sql("SELECT candidate_key, count(*) AS tasks, count(*) FILTER (status = 'ok') AS n_ok, count(*) FILTER (status = 'invalid') AS n_invalid, count(*) FILTER (status = 'error') AS n_error, count(reward) AS scored, coalesce(sum(reward), 0)::BIGINT AS reward_sum, avg(reward) AS reward_mean FROM cells GROUP BY 1", "cells"))
+def agg06_totals(spark, d):
+    return scoring.totals(V.cells(spark, d), "candidate_key")
+
+
 @register("agg07_matrix", sql("SELECT task_key, " + ", ".join(f"min(CASE WHEN candidate_key = 'c{i}' THEN reward END) AS c{i}" for i in range(1, 6)) + " FROM cells GROUP BY 1", "cells"))
 def agg07(spark, d):
     return matrix.wide(V.cells(spark, d), [f"c{i}" for i in range(1, 6)])
@@ -104,7 +110,7 @@ def agg27(spark, d):
     return V.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("owner"), F.col("o_orderpriority").alias("member")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
-@register("srt01_task_order", sql("SELECT task_key, row_number() OVER (ORDER BY task_key) AS pos FROM (SELECT task_key FROM cells GROUP BY 1) QUALIFY pos <= 100", "cells"))
+@register("srt01_task_order", sql("SELECT task_key, row_number() OVER (ORDER BY task_key) AS pos FROM (SELECT task_key FROM cells GROUP BY 1)", "cells"))
 def srt01(spark, d):
     return matrix.numbered(V.cells(spark, d).select("task_key").distinct(), "task_key")
 
@@ -129,7 +135,11 @@ def flt05(spark, d):
     return V.table(spark, d, "events").select("event_id", C.signal_id(F.concat("event_type", "event_id")).alias("valid"))
 
 
-@register("jn25_shared_subject", sql("SELECT task_key, n_ok FROM (SELECT DISTINCT task_key FROM cells) CROSS JOIN (SELECT count(*) FILTER (status = 'ok') AS n_ok FROM cells)", "cells"))
+@register("jn25_shared_subject", """SELECT c_custkey AS task_key, c_nationkey AS split, CASE WHEN n_regionkey <> 4 THEN 'snap-' || sha256('{"name":"' || n_name || '","region":' || n_regionkey || '}') END AS snapshot_id,
+CASE WHEN n_regionkey IS NULL OR n_regionkey = 4 THEN 'SUBJECT_MISSING' END AS code FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey""")
 def jn25(spark, d):
-    cells = V.cells(spark, d)
-    return cells.select("task_key").distinct().join(F.broadcast(scoring.totals(cells).select("n_ok")))
+    """Customers are tasks, their nation is the split; a nation's record is the tree that its tasks share."""
+    tasks = V.table(spark, d, "customer").select(F.col("c_custkey").alias("task_key"), F.col("c_nationkey").alias("split"))
+    record = C.canonical_json(F.struct(F.col("n_name").alias("name"), F.col("n_regionkey").alias("region")))
+    subjects = V.table(spark, d, "nation").filter("n_regionkey <> 4").select(F.col("n_nationkey").alias("split"), C.content_id("snap", record).alias("snapshot_id"))
+    return closure.with_subject(tasks, subjects, "split")

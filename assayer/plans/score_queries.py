@@ -110,7 +110,7 @@ def set05(spark, d):
     return per.select("episode_key", F.array_join(F.array_sort(F.array_except(required, "has")), ",").alias("missing")).filter("missing <> ''")
 
 
-@register("set06_key_set_equality", sql("SELECT episode_key, list_sort(list(signal)) = ['s1', 's2', 's3', 's4', 's5'] AS equal FROM signal_states GROUP BY 1", "signal_states"))
+@register("set06_key_set_equality", sql("SELECT episode_key, list_sort(list(signal)) = (SELECT list_sort(list(signal)) FROM rubric) AS equal FROM signal_states GROUP BY 1", "signal_states", "rubric"))
 def set06(spark, d):
     keys = F.array(*[F.lit(s) for s, _, _ in V.RUBRIC])
     return V.signal_states(spark, d).groupBy("episode_key").agg((F.array_sort(F.collect_set("signal")) == keys).alias("equal"))

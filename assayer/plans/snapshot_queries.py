@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from assayer.functions import columns as C
-from assayer.operators import fingerprint
+from assayer.operators import fingerprint, matrix
 
 from . import views as V
 from .catalog import register
@@ -24,15 +24,22 @@ def agg08(spark, d):
     return fingerprint.rolled_up(_hashed(V.files(spark, d)), ["snapshot"], "snap", ["path", "hash", "mode"])
 
 
+@register("agg08_snapshot_tree", sql(f"""SELECT snapshot, 'snap-' || sha256('[' || string_agg('"' || h || '"', ',' ORDER BY run) || ']') AS id, sum(n)::BIGINT AS n FROM (
+SELECT snapshot, (pos - 1) // 40 AS run, count(*) AS n, sha256('[' || string_agg('{{"path":"' || path || '","hash":"' || hash || '","mode":"' || mode || '"}}', ',' ORDER BY pos) || ']') AS h
+FROM (SELECT *, row_number() OVER (PARTITION BY snapshot ORDER BY path, hash, mode) AS pos FROM ({_HASHED} files)) GROUP BY 1, 2) GROUP BY 1""", "files"))
+def agg08_tree(spark, d):
+    return fingerprint.tree_rolled_up(_hashed(V.files(spark, d)), ["snapshot"], "snap", ["path", "hash", "mode"], node=40)
+
+
 @register("agg09_bundle_rollup", sql(f"""SELECT snapshot, 'bundle-' || sha256('[' || string_agg('{{"path":"' || path || '","hash":"' || hash || '"}}', ',' ORDER BY path) || ']') AS id FROM ({_HASHED} files) WHERE NOT suffix(path, '0.txt') GROUP BY 1""", "files"))
 def agg09(spark, d):
     return fingerprint.rolled_up(_hashed(V.files(spark, d)).filter(~F.col("path").endswith("0.txt")), ["snapshot"], "bundle", ["path", "hash"])
 
 
-@register("agg10_environment_rollup", """SELECT segment AS env, 'env-' || sha256('[' || string_agg('{"split":"' || split || '","tasks":"' || tasks || '"}', ',' ORDER BY split) || ']') AS id FROM (
-SELECT c_mktsegment AS segment, 'n' || c_nationkey AS split, string_agg(c_custkey::VARCHAR, ',' ORDER BY c_custkey) AS tasks FROM customer GROUP BY 1, 2) GROUP BY 1""")
+@register("agg10_environment_rollup", """SELECT env, 'env-' || sha256('[' || string_agg('{"split":"' || split || '","tasks":"' || tasks || '"}', ',' ORDER BY split) || ']') AS id FROM (
+SELECT c_mktsegment || c_custkey // 50 AS env, 'n' || c_nationkey AS split, string_agg(c_custkey::VARCHAR, ',' ORDER BY c_custkey) AS tasks FROM customer GROUP BY 1, 2) GROUP BY 1""")
 def agg10(spark, d):
-    splits = V.table(spark, d, "customer").groupBy(F.col("c_mktsegment").alias("env"), F.concat(F.lit("n"), "c_nationkey").alias("split")).agg(F.array_join(F.transform(F.array_sort(F.collect_set("c_custkey")), lambda k: k.cast("string")), ",").alias("tasks"))
+    splits = V.table(spark, d, "customer").groupBy(F.expr("concat(c_mktsegment, c_custkey div 50)").alias("env"), F.concat(F.lit("n"), "c_nationkey").alias("split")).agg(F.array_join(F.transform(F.array_sort(F.collect_set("c_custkey")), lambda k: k.cast("string")), ",").alias("tasks"))
     return fingerprint.rolled_up(splits, ["env"], "env", ["split", "tasks"])
 
 
@@ -42,11 +49,10 @@ def agg11(spark, d):
     return fingerprint.map_digest(rows, "snapshot", "path", "hash")
 
 
-@register("agg28_mode_offenders", sql(f"SELECT snapshot, count(*) AS n, string_agg(path || '=' || mode, ',' ORDER BY path) AS offenders FROM ({_HASHED} files) WHERE mode <> '0644' GROUP BY 1", "files"))
+@register("agg28_mode_offenders", sql(f"SELECT snapshot, path, mode AS observed, '0644' AS required FROM ({_HASHED} files) WHERE mode <> '0644'", "files"))
 def agg28(spark, d):
-    offenders = _hashed(V.files(spark, d)).filter("mode <> '0644'")
-    listed = F.array_sort(F.collect_list(F.struct("path", "mode")))
-    return offenders.groupBy("snapshot").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(listed, lambda x: F.concat(x["path"], F.lit("="), x["mode"])), ",").alias("offenders"))
+    """A snapshot's map from path to modes, an entry a row."""
+    return _hashed(V.files(spark, d)).filter("mode <> '0644'").select("snapshot", "path", F.col("mode").alias("observed"), F.lit("0644").alias("required"))
 
 
 _RECONCILED = f"""SELECT snapshot, path, CASE WHEN f.hash IS NULL THEN 'missing' WHEN m.hash IS NULL THEN 'extra' WHEN m.hash <> f.hash THEN 'hash' WHEN m.mode <> f.mode THEN 'mode' ELSE 'ok' END AS outcome
@@ -103,16 +109,19 @@ def jn04(spark, d):
 def jn20(spark, d):
     pins = V.files(spark, d).select("snapshot", "path", C.content_id("task", F.col("text")).alias("before_id"))
     after = V.drifted(spark, d).select("snapshot", "path", C.content_id("task", F.col("text")).alias("after_id"))
-    return pins.join(after, ["snapshot", "path"], "left").select("snapshot", "path", F.when(F.col("after_id").isNull(), "error").when(F.col("after_id") != F.col("before_id"), "fail").otherwise("pass").alias("state"))
+    return fingerprint.pinned(pins, after, "snapshot")
 
 
-@register("agg15_identity_verdict", sql("""SELECT snapshot, CASE WHEN bool_or(gone) THEN 'error' WHEN bool_or(moved) THEN 'fail' ELSE 'pass' END AS state, coalesce(string_agg(path, ',' ORDER BY path) FILTER (moved), '') AS moved FROM (
-SELECT f.snapshot, f.path, d.text IS NULL AS gone, coalesce(d.text <> f.text, false) AS moved FROM files f LEFT JOIN drifted d USING (snapshot, path) WHERE f.doc_id % 40 < 3) GROUP BY 1""", "files", "drifted"))
+@register("agg15_identity_verdict", sql("""SELECT snapshot, CASE WHEN bool_or(gone) THEN 'error' WHEN bool_or(moved) THEN 'fail' ELSE 'pass' END AS state, count(*) FILTER (moved) AS n_moved, min(path) FILTER (moved) AS first_moved FROM (
+SELECT f.snapshot, f.path, d.text IS NULL AS gone, coalesce(d.text <> f.text, false) AS moved FROM files f LEFT JOIN drifted d USING (snapshot, path)) GROUP BY 1
+UNION ALL SELECT c_mktsegment, 'not_applicable', 0, NULL FROM customer GROUP BY 1""", "files", "drifted"))
 def agg15(spark, d):
+    """Snapshots of files are pinned, those of market segments have no pins."""
     files = V.files(spark, d)
     pins = files.select("snapshot", "path", C.content_id("task", F.col("text")).alias("before_id"))
     after = V.drifted(spark, d).select("snapshot", "path", C.content_id("task", F.col("text")).alias("after_id"))
-    return fingerprint.identity_verdicts(files.select("snapshot"), pins, after, "snapshot")
+    subjects = files.select("snapshot").union(V.table(spark, d, "customer").select("c_mktsegment"))
+    return fingerprint.identity_verdicts(subjects, pins, after, "snapshot")
 
 
 @register("sca03_lf_normalise", sql("SELECT path, sha256(text) AS normal FROM files", "files"))
@@ -164,9 +173,9 @@ def flt12(spark, d):
     return V.table(spark, d, "part").select("p_partkey", mode.alias("mode")).filter(~F.col("mode").isin("0644", "0755")).withColumn("required", C.canonical_mode(F.col("mode")))
 
 
-@register("srt04_member_order", sql("SELECT snapshot, string_agg(path, ',' ORDER BY path) AS members FROM files GROUP BY 1", "files"))
+@register("srt04_member_order", sql("SELECT snapshot, path, row_number() OVER (PARTITION BY snapshot ORDER BY path) AS pos FROM files", "files"))
 def srt04(spark, d):
-    return V.files(spark, d).groupBy("snapshot").agg(F.array_join(F.array_sort(F.collect_list("path")), ",").alias("members"))
+    return matrix.placed(V.files(spark, d).select("snapshot", "path"), ["snapshot"], ["path"])
 
 
 @register("sca01_canonical_json", """SELECT o_orderkey, '{"clerk":' || coalesce('"' || o_orderpriority || '"', 'null') || ',"key":' || o_orderkey || ',"status":"' || o_orderstatus || '"}' AS canonical FROM orders""")
@@ -191,7 +200,7 @@ def prj02(spark, d):
     return V.table(spark, d, "orders").select("o_orderkey", whole.alias("x")).select("o_orderkey", C.canonical_json(F.col("x").dropFields("id")).alias("rest"))
 
 
-@register("sca22_truncate_output", sql("SELECT path, sha256(text[1:100]) AS head, length(text) > 100 AS truncated FROM files WHERE strlen(text) = length(text)", "files"))
+@register("sca22_truncate_output", sql("SELECT path, sha256(unhex(substr(hex(encode(text)), 1, 200))) AS head, strlen(text) > 100 AS truncated FROM files", "files"))
 def sca22(spark, d):
     cut = C.truncated(F.col("text").cast("binary"), 100)
     return V.files(spark, d).select("path", cut.alias("x")).select("path", F.sha2("x.content", 256).alias("head"), "x.truncated")

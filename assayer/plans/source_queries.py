@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from assayer.functions import columns as C
+from assayer.functions.folders import shared_folder
 from assayer.operators import logs
 from assayer.sources import artifacts, sinks
-from assayer.streaming.sessions import shared_folder
 
 from . import views as V
 from .catalog import register
@@ -49,11 +49,12 @@ def src03(spark, d):
     return artifacts.test_commands(docs).select("task_id", "pos", "tool")
 
 
-@register("src04_environments", "SELECT c_mktsegment AS env_id, 'n' || c_nationkey AS split, (row_number() OVER (PARTITION BY c_mktsegment, c_nationkey ORDER BY c_custkey) - 1)::INT AS pos, c_custkey::VARCHAR AS task_id FROM customer")
+@register("src04_environments", "SELECT c_mktsegment || c_custkey // 50 AS env_id, 'n' || c_nationkey AS split, (row_number() OVER (PARTITION BY c_mktsegment, c_custkey // 50, c_nationkey ORDER BY c_custkey) - 1)::INT AS pos, c_custkey::VARCHAR AS task_id FROM customer")
 def src04(spark, d):
-    splits = V.table(spark, d, "customer").groupBy("c_mktsegment", F.concat(F.lit("n"), "c_nationkey").alias("split")).agg(F.transform(F.array_sort(F.collect_list("c_custkey")), lambda k: k.cast("string")).alias("ids"))
-    envs = splits.groupBy("c_mktsegment").agg(F.map_from_entries(F.collect_list(F.struct("split", "ids"))).alias("splits"))
-    return artifacts.split_members(_json(envs, env_id="c_mktsegment", splits="splits"))
+    """Customers with neighbouring keys share an environment, so documents stay small and grow in number."""
+    splits = V.table(spark, d, "customer").groupBy(F.expr("concat(c_mktsegment, c_custkey div 50)").alias("env"), F.concat(F.lit("n"), "c_nationkey").alias("split")).agg(F.transform(F.array_sort(F.collect_list("c_custkey")), lambda k: k.cast("string")).alias("ids"))
+    envs = splits.groupBy("env").agg(F.map_from_entries(F.collect_list(F.struct("split", "ids"))).alias("splits"))
+    return artifacts.split_members(_json(envs, env_id="env", splits="splits"))
 
 
 @register("src06_traces", "SELECT 'x' || o_orderkey AS trace_id, p AS pos, o_custkey + p AS exit_code FROM orders, (VALUES (0), (1)) t(p)")
@@ -66,7 +67,7 @@ def src06(spark, d):
 @register("src07_evaluations", sql("SELECT candidate_key AS split, 't' || task_key AS task_id, status, reward::DOUBLE AS reward FROM cells", "cells"))
 def src07(spark, d):
     listed = F.collect_list(F.struct(F.concat(F.lit("t"), "task_key").alias("task_id"), F.col("episode_key").cast("string").alias("episode_id"), "status", "reward"))
-    reports = V.cells(spark, d).groupBy("candidate_key", F.col("task_key") % 16).agg(listed.alias("episodes"))
+    reports = V.cells(spark, d).groupBy("candidate_key", F.expr("task_key div 100")).agg(listed.alias("episodes"))
     return artifacts.evaluation_episodes(_json(reports, env_id="'env-1'", split="candidate_key", episodes="episodes")).select("split", "task_id", "status", "reward")
 
 
@@ -145,17 +146,26 @@ def snk03(spark, d):
     return spark.read.schema("at bigint, label string, allowed boolean").json(where).withColumnRenamed("at", "at_")
 
 
-@register("src05_file_trees", "SELECT count(DISTINCT o_orderpriority) AS files FROM orders")
+@register("src05_file_trees", """SELECT 'nation=' || c_nationkey || '/segment=' || c_mktsegment AS path, CASE WHEN c_nationkey % 7 = 0 THEN NULL ELSE sha256(string_agg(c_custkey::VARCHAR, ',' ORDER BY c_custkey) || chr(10)) END AS digest,
+CASE WHEN c_nationkey % 5 = 0 THEN NULL WHEN c_nationkey % 2 = 0 THEN '0755' ELSE '0644' END AS mode, CASE WHEN c_nationkey % 7 = 0 THEN CASE WHEN c_nationkey % 5 = 0 THEN NULL WHEN c_nationkey % 3 = 0 THEN 'link' ELSE 'absent' END WHEN c_nationkey % 5 = 0 THEN 'unlisted' WHEN c_nationkey % 3 = 0 THEN 'link' ELSE 'file' END AS state
+FROM customer GROUP BY c_nationkey, c_mktsegment HAVING NOT (c_nationkey % 7 = 0 AND c_nationkey % 5 = 0)""")
 def src05(spark, d):
+    """A tree of a file for each nation and segment, against a listing with modes and links that has some other files."""
     where = f"{shared_folder(spark)}/tree"
-    V.table(spark, d, "orders").groupBy("o_orderpriority").agg(F.count(F.lit(1)).cast("string").alias("n")).repartition("o_orderpriority").write.partitionBy("o_orderpriority").text(where)
-    found = artifacts.tree(spark, where).filter(F.col("path").endswith(".txt") & (F.length("content") > 0))
-    return found.agg(F.countDistinct(F.regexp_extract("path", "^([^/]*)/", 1)).alias("files"))
+    nation, customers = F.col("c_nationkey"), V.table(spark, d, "customer")
+    body = F.array_join(F.transform(F.array_sort(F.collect_list("c_custkey")), lambda k: k.cast("string")), ",")
+    customers.filter(nation % 7 != 0).groupBy(nation.alias("nation"), F.col("c_mktsegment").alias("segment")).agg(body.alias("value")).repartition("nation", "segment").write.partitionBy("nation", "segment").text(where)
+    # A writer names its files itself, so a file goes by its folder here.
+    found = artifacts.tree(spark, where).filter(F.col("path").endswith(".txt")).withColumn("path", F.regexp_replace("path", "/[^/]*$", ""))
+    listing = customers.filter(nation % 5 != 0).select(F.format_string("nation=%d/segment=%s", nation, "c_mktsegment").alias("path"), F.when(nation % 2 == 0, "0755").otherwise("0644").alias("mode"), (nation % 3 == 0).alias("is_link")).distinct()
+    return artifacts.listed(found, listing).select("path", F.sha2("content", 256).alias("digest"), "mode", "state")
 
 
-@register("src11_result_logs", "SELECT count(*) FILTER (event_id % 2 = 0) AS pass, count(*) FILTER (event_id % 2 = 1) AS fail FROM events")
+@register("src11_result_logs", "SELECT 'user=' || user_id AS log, count(*) FILTER (event_id % 4 = 0) AS pass, count(*) FILTER (event_id % 4 = 1) AS fail, count(*) FILTER (event_id % 4 = 2) AS skip FROM events GROUP BY 1")
 def src11(spark, d):
+    """A log of each user's events, with lines that are no results."""
     where = f"{shared_folder(spark)}/logs"
-    V.table(spark, d, "events").select(F.concat(F.when(F.col("event_id") % 2 == 0, "PASS t").otherwise("FAIL t"), "event_id")).write.text(where)
-    tally = logs.result_tally(artifacts.lines(spark, where).withColumn("all", F.lit(1)), "all", "line")
-    return tally.select("pass", "fail")
+    line = F.concat(F.expr("CASE event_id % 4 WHEN 0 THEN 'PASS t' WHEN 1 THEN 'FAIL t' WHEN 2 THEN 'SKIP t' ELSE 'PASSING t' END"), "event_id")
+    V.table(spark, d, "events").select(F.col("user_id").alias("user"), line.alias("value")).repartition("user").write.partitionBy("user").text(where)
+    rows = artifacts.lines(spark, where).withColumn("log", F.regexp_extract("path", "/([^/]*)/[^/]*$", 1))
+    return logs.result_tally(rows, "log", "line")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from assayer.operators import scoring
 
 #: (signal, weight in hundredths, required)
-RUBRIC = (("s1", 25, True), ("s2", 20, True), ("s3", 30, False), ("s4", 15, False), ("s5", 10, False))
+RUBRIC = (("s1", 25, True), ("s2", 20, True), ("s3", 20, False), ("s4", 15, False), ("s5", 10, False), ("s6", 5, False), ("s7", 5, False))
 #: (signal, state, most reward in hundredths)
 CAPS = (("s1", "fail", 25), ("s2", "fail", 25), ("s3", "fail", 40))
 
@@ -30,7 +30,7 @@ def _state(rows) -> tuple:
 
 def signal_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(episode_key, signal, state): lines of an order, folded."""
-    lines = table(spark, sf_dir, "lineitem").filter("l_linenumber <= 5")
+    lines = table(spark, sf_dir, "lineitem")
     return lines.groupBy(F.col("l_orderkey").alias("episode_key"), "l_linenumber").agg(_state(F.lit(True))[0].alias("state")).select("episode_key", F.concat(F.lit("s"), "l_linenumber").alias("signal"), "state")
 
 
@@ -43,7 +43,7 @@ def rubric(spark: SparkSession) -> DataFrame:
 
 def episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(episode_key, reward_id, tampered, verification): a total map of states; a signal without lines failed."""
-    lines = table(spark, sf_dir, "lineitem").filter("l_linenumber <= 5")
+    lines = table(spark, sf_dir, "lineitem")
     states = []
     for number in range(1, len(RUBRIC) + 1):
         state, there = _state(F.col("l_linenumber") == number)
@@ -54,6 +54,22 @@ def episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folded.select("episode_key", F.lit("r1").alias("reward_id"), (F.col("episode_key") % 50 == 0).alias("tampered"), total.alias("verification"))
 
 
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(episode_key, outputs, verification, verification_evidence, verifier_versions, execution_facts): the maps of a receipt.
+
+    An order without a status of its own leaves out its patch, and one of an even day its termination.
+    """
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("episode_key"), "o_orderstatus", "o_totalprice", "o_orderdate")
+    keep = lambda **kv: F.map_filter(F.create_map(*[x for k, v in kv.items() for x in (F.lit(k), v)]), lambda _, v: v.isNotNull())
+    outputs = keep(finding=F.concat(F.lit("f"), F.floor("o_totalprice").cast("long") % 4), patch=F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")))
+    facts = keep(os=F.when(F.col("episode_key") % 3 == 0, "darwin").otherwise("linux"), arch=F.when(F.col("episode_key") % 2 == 0, "arm64").otherwise("x86_64"), termination=F.when(F.dayofmonth("o_orderdate") % 2 != 0, "exited"))
+    states = episodes(spark, sf_dir).select("episode_key", "verification")
+    joined = orders.join(states, "episode_key", "left")
+    evidence = F.transform_values(F.map_filter("verification", lambda _, s: s != "not_applicable"), lambda k, s: F.sha2(F.concat(k, F.lit(":"), s, F.lit(":"), (F.col("episode_key") % 5).cast("string")).cast("binary"), 256))
+    versions = F.transform_values(F.map_filter("verification", lambda _, s: s != "error"), lambda k, _: F.concat(k, F.lit("@"), (F.col("episode_key") % 2).cast("string")))
+    return joined.select("episode_key", outputs.alias("outputs"), "verification", evidence.alias("verification_evidence"), versions.alias("verifier_versions"), facts.alias("execution_facts"))
+
+
 def receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(episode_key, status, validity, reward): reward in hundredths, null where it is not scored."""
     return scoring.score(episodes(spark, sf_dir), rubric(spark), "reward_id").select("episode_key", "status", "validity", "reward")
@@ -123,7 +139,7 @@ _SQL = {
     "signal_states": ((), """SELECT l_orderkey AS episode_key, concat('s', l_linenumber) AS signal,
   CASE WHEN max(CASE WHEN l_returnflag='N' AND l_linestatus='O' AND l_partkey%8=0 THEN 1 ELSE 0 END)=1 THEN 'error'
        WHEN min(l_returnflag)='A' THEN 'pass' WHEN max(l_returnflag)='R' THEN 'fail' ELSE 'not_applicable' END AS state
-  FROM lineitem WHERE l_linenumber<=5 GROUP BY l_orderkey, l_linenumber"""),
+  FROM lineitem GROUP BY l_orderkey, l_linenumber"""),
     "rubric": ((), f"SELECT * FROM (VALUES {', '.join(f"('{s}', {w}, {str(r).lower()})" for s, w, r in RUBRIC)}) t(signal, weight, required)"),
     "caps": ((), f"SELECT * FROM (VALUES {', '.join(f"('{s}', '{x}', {m})" for s, x, m in CAPS)}) t(signal, state, reward_max)"),
     "verification": (("signal_states", "rubric"), """SELECT e.episode_key, r.signal, coalesce(s.state, 'fail') AS state, r.weight, r.required
@@ -135,6 +151,14 @@ _SQL = {
   FROM (SELECT v.episode_key, bool_or(v.state = 'error') AS bad, bool_or(v.required AND v.state = 'not_applicable') AS skipped,
     sum(CASE WHEN v.state = 'pass' THEN weight ELSE 0 END)::BIGINT AS raw, min(c.reward_max)::BIGINT AS cap
     FROM verification v LEFT JOIN caps c ON c.signal = v.signal AND c.state = v.state GROUP BY 1)"""),
+    "facts": (("verification",), """SELECT o_orderkey AS episode_key, 'outputs' AS field, 'finding' AS key, 'f' || floor(o_totalprice)::BIGINT % 4 AS value FROM orders
+  UNION ALL SELECT o_orderkey, 'outputs', 'patch', o_orderstatus FROM orders WHERE o_orderstatus <> 'P'
+  UNION ALL SELECT o_orderkey, 'execution_facts', 'os', CASE WHEN o_orderkey % 3 = 0 THEN 'darwin' ELSE 'linux' END FROM orders
+  UNION ALL SELECT o_orderkey, 'execution_facts', 'arch', CASE WHEN o_orderkey % 2 = 0 THEN 'arm64' ELSE 'x86_64' END FROM orders
+  UNION ALL SELECT o_orderkey, 'execution_facts', 'termination', 'exited' FROM orders WHERE day(o_orderdate) % 2 <> 0
+  UNION ALL SELECT episode_key, 'verification', signal, state FROM verification JOIN orders ON o_orderkey = episode_key
+  UNION ALL SELECT episode_key, 'verification_evidence', signal, sha256(signal || ':' || state || ':' || episode_key % 5) FROM verification JOIN orders ON o_orderkey = episode_key WHERE state <> 'not_applicable'
+  UNION ALL SELECT episode_key, 'verifier_versions', signal, signal || '@' || episode_key % 2 FROM verification JOIN orders ON o_orderkey = episode_key WHERE state <> 'error'"""),
     "newest_orders": ((), """SELECT o_custkey AS task_key, concat('c', o_orderpriority[1]) AS candidate_key, o_orderkey AS episode_key FROM orders
   QUALIFY row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate DESC, o_orderkey DESC) = 1"""),
     "cells": (("newest_orders", "receipts"), "SELECT task_key, candidate_key, episode_key, coalesce(status, 'error') AS status, reward FROM newest_orders LEFT JOIN receipts USING (episode_key)"),

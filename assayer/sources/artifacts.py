@@ -42,6 +42,18 @@ def tree(spark: SparkSession, path: str) -> DataFrame:
     return found.select(F.replace(F.regexp_replace("path", r"^[a-z]+:/*", "/"), root, F.lit("")).alias("path"), "content")
 
 
+def listed(files: DataFrame, listing: DataFrame) -> DataFrame:
+    """(path, content, mode, state) of files (path, content) and a listing (path, mode, is_link).
+
+    Readers of binary files tell neither modes nor links, so these come from a listing.
+    state is file, link (by the listing, whether or not it leads to content), absent (listed
+    only) or unlisted (without a mode).
+    """
+    both = files.withColumn("_found", F.lit(True)).join(listing.withColumn("_listed", F.lit(True)), "path", "full")
+    state = F.when(F.col("_listed").isNull(), "unlisted").when(F.col("is_link"), "link").when(F.col("_found").isNull(), "absent").otherwise("file")
+    return both.select("path", "content", "mode", state.alias("state"))
+
+
 def parsed(documents: DataFrame, kind: str, raw: str = "raw") -> DataFrame:
     """documents with the struct `doc`."""
     return documents.withColumn("doc", F.from_json(raw, SCHEMAS[kind], {"mode": "PERMISSIVE"}))

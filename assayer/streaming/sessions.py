@@ -2,6 +2,10 @@
 
 Late data: calls carry the producer's sequence number, and rows of a session are taken in
 that order within a batch; state that nobody touches for IDLE of processing time goes.
+
+A batch that fails is tried again with its number. Sinks therefore write each batch to a
+folder of its own, named by the stream's run and the batch's number, and overwrite it: a
+second try leaves what one try leaves. `stored` reads all batches of all runs.
 """
 
 from __future__ import annotations
@@ -10,20 +14,36 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from assayer.operators import closure, fingerprint, logs, scoring
+from assayer.functions.folders import shared_folder
+from assayer.operators import closure, logs, scoring
 
 IDLE_MS = 24 * 3600 * 1000
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+def written(batch: DataFrame, path: str, run: str, number: int) -> None:
+    """A batch in its own folder, whole, however often it is tried."""
+    batch.write.mode("overwrite").parquet(f"{path}/run={run}/batch={number:09d}")
+
+
+def stored(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """Rows of all batches, with `run` and `batch` to tell them apart; none where the folder is not there yet, if the schema is given."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if schema is None or e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("run", T.StringType()), T.StructField("batch", T.IntegerType())]))
+
+
+def new_run() -> str:
+    """The name of a stream's run; a run that goes on after a failure keeps its name, as it keeps its checkpoint."""
+    return f"r{uuid.uuid4().hex}"
 
 
 def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -38,17 +58,23 @@ def drained(stream: DataFrame, sink: Callable[[DataFrame, int], None], mode: str
     stream.writeStream.outputMode(mode).option("checkpointLocation", f"{where}/checkpoint").trigger(availableNow=True).foreachBatch(sink).start().awaitTermination()
 
 
-def admitted(stream: DataFrame, key: str, body: str, expected: list[str], owned: list[str], accepted: str, refused: str) -> None:
-    """Submissions whose keys are exact go to one table, the others with what is wrong to another."""
+def admission(key: str, body: str, expected: list[str], owned: list[str], accepted: str, refused: str, run: str) -> Callable[[DataFrame, int], None]:
+    """A sink: submissions whose keys are exact go to one table, the others with what is wrong to another."""
 
-    def sink(batch: DataFrame, _: int) -> None:
+    def sink(batch: DataFrame, number: int) -> None:
         batch = batch.persist()
-        wrong = closure.key_set(batch, key, body, expected, owned)
-        wrong.write.mode("append").parquet(refused)
-        batch.join(wrong.select(key), key, "left_anti").write.mode("append").parquet(accepted)
-        batch.unpersist()
+        try:
+            wrong = closure.key_set(batch, key, body, expected, owned)
+            written(wrong, refused, run, number)
+            written(batch.join(wrong.select(key), key, "left_anti"), accepted, run, number)
+        finally:
+            batch.unpersist()
+
+    return sink
+
 
-    drained(stream, sink)
+def admitted(stream: DataFrame, key: str, body: str, expected: list[str], owned: list[str], accepted: str, refused: str) -> None:
+    drained(stream, admission(key, body, expected, owned, accepted, refused, new_run()))
 
 
 ANSWERS = T.StructType([T.StructField("session_id", T.LongType()), T.StructField("seq", T.LongType()), T.StructField("answer", T.StringType())])
@@ -126,21 +152,32 @@ def lifecycle(steps: DataFrame, legal: set[tuple[str, str]] = logs.TRANSITIONS,
     return steps.groupBy("session_id").applyInPandasWithState(step, STEPS, LAST, "append", _timeout(idle_ms))
 
 
-def published(stream: DataFrame, path: str, key: str, content: str) -> None:
-    """Rows by content id, once each, however often a batch is tried again."""
-    spark = stream.sparkSession
+def publication(path: str, conflicts: str, key: str, content: str, run: str) -> Callable[[DataFrame, int], None]:
+    """A sink: rows by id, once each; rows of an id that is there with other content go to `conflicts`.
+
+    Of rows with one id in a batch the one with the least content counts. What other
+    batches have published is known; what an earlier try of this batch wrote is not.
+    """
 
-    def sink(batch: DataFrame, _: int) -> None:
-        once = batch.dropDuplicates([key])
+    def sink(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        before = stored(spark, path, batch.schema).filter(~((F.col("run") == run) & (F.col("batch") == number)))
+        first = batch.groupBy(key).agg(F.min(content).alias("_first"))
+        # One row an id on either side, so conflicts are found by joins and no window.
+        known = before.select(F.col(key).alias("_key"), F.col(content).alias("_known"))
+        held = batch.join(first, key).join(known, F.col(key) == F.col("_key"), "left").persist()
         try:
-            known = spark.read.parquet(path)
-        except Exception as e:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            known = batch.limit(0)
-        fingerprint.appended(known, once, key, content)[0].write.mode("append").parquet(path)
+            other = ~F.col(content).eqNullSafe(F.when(F.col("_key").isNotNull(), F.col("_known")).otherwise(F.col("_first")))
+            written(held.filter(other).select(*batch.columns).distinct(), conflicts, run, number)
+            written(held.filter(F.col("_key").isNull() & F.col(content).eqNullSafe(F.col("_first"))).select(*batch.columns).dropDuplicates([key]), path, run, number)
+        finally:
+            held.unpersist()
+
+    return sink
+
 
-    drained(stream, sink)
+def published(stream: DataFrame, path: str, conflicts: str, key: str, content: str) -> None:
+    drained(stream, publication(path, conflicts, key, content, new_run()))
 
 
 def running_totals(episodes: DataFrame, *keys: str) -> DataFrame:
@@ -153,17 +190,17 @@ def counters(decisions: DataFrame) -> DataFrame:
     return logs.gate_counts(decisions, "label")
 
 
-def kept(path: str, mode: str = "append") -> Callable[[DataFrame, int], None]:
-    """A sink that appends batches to a Parquet table, or keeps the last whole result under its batch's number."""
+def kept(path: str, run: str) -> Callable[[DataFrame, int], None]:
+    """A sink that keeps every batch; of a complete-mode stream the last one is the result."""
 
     def sink(batch: DataFrame, number: int) -> None:
-        batch.write.mode("append" if mode == "append" else "overwrite").parquet(path if mode == "append" else f"{path}/{number:09d}")
+        written(batch, path, run, number)
 
     return sink
 
 
 def last_result(spark: SparkSession, path: str) -> DataFrame:
     """What the last batch of a complete-mode stream kept."""
-    rows = spark.read.option("recursiveFileLookup", True).parquet(path).withColumn("_batch", F.regexp_extract(F.col("_metadata.file_path"), r"/(\d{9})/[^/]*$", 1))
-    newest = rows.agg(F.max("_batch").alias("_newest"))
-    return rows.join(F.broadcast(newest), F.col("_batch") == F.col("_newest")).drop("_batch", "_newest")
+    rows = stored(spark, path)
+    newest = rows.agg(F.max("batch").alias("_newest"))
+    return rows.join(F.broadcast(newest), F.col("batch") == F.col("_newest")).drop("run", "batch", "_newest")
