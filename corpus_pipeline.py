@@ -3,7 +3,9 @@ ones that hold benchmark items go, and the rest is encoded.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept.
 Documents are told apart by doc_id; rows without one are judged by their text where a
-stage allows that and are kept by the others.
+stage allows that and are kept by the others. Columns besides doc_id and text are carried
+along, whatever their names; of rows with one id the first one in the order of its columns
+stays (maps do not count).
 """
 
 from __future__ import annotations
@@ -18,7 +20,10 @@ from assayer.llm.shared import settled, without
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    return toxicity.scored(docs, labels).filter(F.col("predicted") == 0).select(*docs.columns)
+    # Other columns go by names that no result of the classifier has.
+    named = {c: c if c in ("doc_id", "text") else f"_kept_{i}" for i, c in enumerate(docs.columns)}
+    scored = toxicity.scored(docs.select(*[docs[c].alias(n) for c, n in named.items()]), labels)
+    return scored.filter(F.col("predicted") == 0).select(*[F.col(n).alias(c) for c, n in named.items()])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +34,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     if repeated.isEmpty():
         return kept
     others = [c for c in docs.columns if c != "doc_id"]
-    single = kept.join(repeated.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*others)).alias("row")).select("doc_id", "row.*")
+    ordered = [c for c in others if not any(t in docs.schema[c].dataType.simpleString() for t in ("map<", "variant"))]
+    single = kept.join(repeated.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*others), F.struct(*ordered)).alias("row")).select("doc_id", "row.*")
     return without(kept, repeated, "doc_id").unionByName(single).select(*docs.columns)
 
 
