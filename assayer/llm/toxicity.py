@@ -10,14 +10,16 @@ ratio.
 The classifier is fitted on at most SAMPLE labelled training rows, those with the
 smallest hash of their id; counting is spread over tasks, and the fit sees just the chosen
 n-grams of the sample. These stay with the executors: each step of the fit sends the weights
-out and adds up the tasks' gradients, so the driver holds no row of the sample. Scoring sees every row and its whole text, in the task that reads
-it, without a shuffle; the model (4 MB) is sent to the executors.
+out and adds up the tasks' gradients, so the driver holds no row of the sample. Scoring sees
+every row and its whole text, in the task that reads it, without a shuffle; the model (4 MB)
+is sent to the executors.
 
 Defined cases: a null text is the empty text and gets the score of the intercept alone;
 if the sample has just one class, or no telling n-gram, every score is the smoothed share of
-toxic rows in it, 0.5 if it has no rows; several labels of one id count as toxic if one of them does; rows with a
-null label are not learnt from; equal rows get equal scores, one each; an empty table
-gives no rows; other columns are carried along, but one with a result's name gives way to it.
+toxic rows in it, 0.5 if it has no rows; several labels of one id count as toxic if one of
+them does; rows with a null label are not learnt from; of several texts of one id the least
+is learnt from; equal rows get equal scores, one each; an empty table gives no rows; other
+columns are carried along, but one with a result's name gives way to it.
 """
 
 from __future__ import annotations
@@ -39,7 +41,8 @@ SHORTEST, LONGEST = 3, 5
 BITS = 20
 #: An n-gram is kept if its log-count ratio is so many of its standard errors from even.
 LEAST_SIGMA = 3.0
-STEPS, RATE, SHRINK, FIRST_WEIGHT = 150, 0.1, 1e-3, 0.05
+#: Few steps, as more of them fit the sample alone.
+STEPS, MEMORY, SHRINK, FIRST_WEIGHT, FIRST_STEP, LEAST_STEP = 15, 10, 1e-3, 0.05, 0.1, 1e-3
 CHUNK_BYTES = 1_000_000
 SAMPLE_TASKS = 12
 #: So many rows of the sample are unpacked at a time.
@@ -73,52 +76,78 @@ def features(texts: list[str | None], wanted: np.ndarray | None = None) -> tuple
     return found >> BITS, found & ((1 << BITS) - 1)
 
 
-def gradient(batch: pa.RecordBatch, scales: np.ndarray, weights: np.ndarray, bias: float) -> tuple[np.ndarray, float]:
-    """The sums over rows (toxic, places) of the slope of each weight and of the intercept."""
-    slope, slope_bias = np.zeros(len(weights)), 0.0
+def gradient(batch: pa.RecordBatch, scales: np.ndarray, weights: np.ndarray, bias: float) -> np.ndarray:
+    """The sums over rows (toxic, places) of the slope of each weight, of the intercept's, and of the loss."""
+    out = np.zeros(len(weights) + 2)
     scaled = scales * weights
     for i in range(0, batch.num_rows, ROWS_AT_ONCE):
         part = batch.slice(i, ROWS_AT_ONCE)
-        per = [np.frombuffer(p, np.int32) for p in part.column("places").to_pylist()]
+        per = [np.frombuffer(p.as_buffer(), np.int32) for p in part.column("places")]
         columns = np.concatenate(per)
         rows = np.repeat(np.arange(len(per)), [len(p) for p in per])
         z = np.bincount(rows, weights=scaled[columns], minlength=len(per)) + bias
-        error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - part.column("toxic").to_numpy()
-        slope += np.bincount(columns, weights=error[rows], minlength=len(weights))
-        slope_bias += error.sum()
-    return slope * scales, float(slope_bias)
+        toxic = part.column("toxic").to_numpy()
+        error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - toxic
+        out[:-2] += np.bincount(columns, weights=error[rows], minlength=len(weights))
+        out[-2] += error.sum()
+        out[-1] += (np.logaddexp(0, z) - toxic * z).sum()
+    out[:-2] *= scales
+    return out
 
 
 def fit(picked: DataFrame, scales: np.ndarray, toxic: int, other: int) -> tuple[np.ndarray, float]:
-    """Weights and intercept of logistic regression, by full-batch adaptive gradient steps; a step is a job over the rows (toxic, places)."""
+    """Weights and intercept of logistic regression; each step is a job over the rows (toxic, places).
+
+    Quasi-Newton steps (limited memory, MEMORY of them) with halving until the loss falls
+    enough. The driver holds MEMORY vectors of the weights' length, at most 2^20.
+    """
     n, context = toxic + other, picked.sparkSession.sparkContext
-    weights, bias = np.full(len(scales), FIRST_WEIGHT), float(np.log(toxic / other))
-    seen, seen_bias = np.full(len(scales), 1e-8), 1e-8
     shared = context.broadcast(scales)
-    for _ in range(STEPS):
-        now = context.broadcast((weights, bias))
 
-        def sums(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
-            slope, slope_bias = np.zeros(len(shared.value)), 0.0
+    def loss_and_slope(x: np.ndarray) -> tuple[float, np.ndarray]:
+        now = context.broadcast(x)
+
+        def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(len(now.value) + 1)
             for batch in batches:
-                more = gradient(batch, shared.value, *now.value)
-                slope += more[0]
-                slope_bias += more[1]
-            yield pa.RecordBatch.from_arrays([pa.array([slope.tobytes()], pa.binary()), pa.array([slope_bias])], ["slope", "bias"])
+                total += gradient(batch, shared.value, now.value[:-1], float(now.value[-1]))
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
 
-        parts = picked.mapInArrow(sums, "slope binary, bias double").toArrow()
+        parts = picked.mapInArrow(sums, "sums binary").toArrow()
         now.destroy()
-        slope = np.zeros(len(scales))
-        for one in parts.column("slope"):
-            slope += np.frombuffer(one.as_buffer(), float)
-        slope = slope / n + SHRINK * (weights - weights.mean())
-        slope_bias = sum(parts.column("bias").to_pylist()) / n
-        seen += slope * slope
-        seen_bias += slope_bias**2
-        weights = weights - RATE * slope / np.sqrt(seen)
-        bias -= RATE * slope_bias / np.sqrt(seen_bias)
+        total = np.zeros(len(x) + 1)
+        for one in parts.column("sums"):
+            total += np.frombuffer(one.as_buffer(), float)
+        total /= n
+        apart = x[:-1] - x[:-1].mean()
+        slope = total[:-1]
+        slope[:-1] += SHRINK * apart
+        return float(total[-1] + SHRINK / 2 * (apart @ apart)), slope
+
+    x = np.append(np.full(len(scales), FIRST_WEIGHT), np.log(toxic / other))
+    loss, slope = loss_and_slope(x)
+    moves: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(STEPS):
+        step, kept = slope.copy(), []
+        for s, y in reversed(moves):
+            kept.append((s @ step) / (s @ y))
+            step -= kept[-1] * y
+        step *= (moves[-1][0] @ moves[-1][1]) / (moves[-1][1] @ moves[-1][1]) if moves else min(1.0, FIRST_STEP / max(np.abs(step).max(), 1e-12))
+        for (s, y), k in zip(moves, reversed(kept), strict=True):
+            step += s * (k - (y @ step) / (s @ y))
+        size = 1.0
+        while True:
+            next_x = x - size * step
+            next_loss, next_slope = loss_and_slope(next_x)
+            if next_loss <= loss - 1e-4 * size * (slope @ step) or size < LEAST_STEP:
+                break
+            size /= 2
+        s, y = next_x - x, next_slope - slope
+        if s @ y > 1e-12:
+            moves = [*moves, (s, y)][-MEMORY:]
+        x, loss, slope = next_x, next_loss, next_slope
     shared.destroy()
-    return weights, float(bias)
+    return x[:-1], float(x[-1])
 
 
 def sampled(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -130,7 +159,7 @@ def sampled(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def trained(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     """The weight of each bucket (its ratio is in it) and the intercept."""
-    sample = sampled(docs, labels).repartition(SAMPLE_TASKS, "doc_id").persist()
+    sample = sampled(docs, labels).repartition(SAMPLE_TASKS).persist()
     try:
         totals = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
         toxic, other = totals.get(1, 0), totals.get(0, 0)
