@@ -2,7 +2,7 @@
 
 Two texts are linked if the Jaccard similarity of their shingle sets is LEAST or more;
 documents are grouped by links between links. Every link is confirmed on the whole sets;
-SimHash and sketches only propose pairs.
+SimHash with its pivot tables and sketches only propose pairs.
 
 Pairs come in two rounds. The first is linear: SimHash links of the 5-word shingles, and
 in each group that shares a band of the min-hash sketch, the pairs with the group's least
@@ -11,9 +11,12 @@ compares all sketches across components, in parts of GROUP, so a large group of
 is mostly one component before its pairs are looked at. A pair at similarity 0.8 shares
 none of BANDS bands of ROWS minima with a chance of 3 in a million, and less above.
 
-Equal shingle sets meet once. Defined cases: a null text is the empty text; texts without
-words are linked to each other; texts of fewer than five words have one shingle; a null
-doc_id belongs to its text's group but is never its smallest; an empty table gives no rows.
+Equal shingle sets meet once, as one node. Only pairs whose sketches are alike get the sets
+of their shingles; a text is hashed again for that, so sets are never held for all texts.
+
+Defined cases: a null text is the empty text; texts without words are linked to each
+other; texts of fewer than five words have one shingle; a null doc_id belongs to its text's
+group but is never its smallest; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,6 +36,7 @@ from .shared import chunks, settled
 SHINGLE, SEED = 5, 42
 #: 4 of 5: whole numbers, so that pairs at just 0.8 are linked.
 LEAST = (4, 5)
+#: A band is ROWS minima of 16 bits, one whole number.
 BANDS, ROWS = 24, 4
 #: Pairs whose sketches agree in fewer places are not looked at: five standard errors below 0.8.
 LIKELY = 57
@@ -41,6 +45,7 @@ CHUNK_BYTES = 1_000_000
 _RANDOM = np.random.default_rng(SEED)
 FACTORS = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SHIFTS = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+_B = [f"b{i}" for i in range(BANDS)]
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -55,13 +60,15 @@ def shingles(text: str | None) -> np.ndarray:
 
 
 def sketches(hashes: list[np.ndarray]) -> np.ndarray:
-    """The least of each of BANDS * ROWS rehashes of every text's shingles."""
+    """The least of each of BANDS * ROWS rehashes of every text's shingles, ROWS of them in one whole number."""
     flat = np.concatenate(hashes)
     starts = np.cumsum([0, *map(len, hashes[:-1])])
-    out = np.empty((len(hashes), BANDS * ROWS), np.uint32)
+    out = np.empty((len(hashes), BANDS * ROWS), np.uint16)
     for i, (factor, shift) in enumerate(zip(FACTORS, SHIFTS, strict=True)):
-        out[:, i] = np.minimum.reduceat(((flat * factor + shift) >> np.uint64(32)).astype(np.uint32), starts)
-    return out
+        # The least by all 64 bits; its lower bits are as good as random.
+        least = np.minimum.reduceat(flat * factor + shift, starts)
+        out[:, i] = (least * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)
+    return out.view(np.int64)
 
 
 def kind_of(hashes: np.ndarray) -> str:
@@ -73,16 +80,17 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for table in chunks(batches, "text", CHUNK_BYTES):
         if not table.num_rows:
             continue
-        hashes = [shingles(t) for t in table.column("text").to_pylist()]
-        fps = [simhash.majority(h) for h in hashes]
-        columns = [pa.array([kind_of(h) for h in hashes]), pa.array([s.tobytes() for s in sketches(hashes)], pa.binary()), pa.array(np.array(fps, np.uint64).view(np.int64))]
-        yield pa.RecordBatch.from_arrays([*(table.column(c).combine_chunks() for c in ("doc_id", "text_key")), *columns], ["doc_id", "text_key", "kind", "sketch", "fp"])
+        hashes = [shingles(t.as_py()) for t in table.column("text")]
+        fps = np.array([simhash.majority(h) for h in hashes], np.uint64).view(np.int64)
+        sketch = sketches(hashes)
+        columns = [pa.array([kind_of(h) for h in hashes]), pa.array(fps), *(pa.array(np.ascontiguousarray(sketch[:, i])) for i in range(BANDS))]
+        yield pa.RecordBatch.from_arrays([*(table.column(c).combine_chunks() for c in ("doc_id", "text_key")), *columns], ["doc_id", "text_key", "kind", "fp", *_B])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for table in chunks(batches, "text", CHUNK_BYTES):
-        hashes = [shingles(t) for t in table.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array([kind_of(h) for h in hashes], pa.string()), pa.array([np.unique(h).tobytes() for h in hashes], pa.binary())], ["kind", "set"])
+        hashes = [np.unique(shingles(t.as_py())) for t in table.column("text")]
+        yield pa.RecordBatch.from_arrays([table.column("node").combine_chunks(), pa.array([h.tobytes() for h in hashes], pa.binary())], ["node", "set"])
 
 
 def overlapping(a: np.ndarray, b: np.ndarray) -> bool:
@@ -96,65 +104,81 @@ def overlapping(a: np.ndarray, b: np.ndarray) -> bool:
 
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        left, right = (batch.column(c).to_pylist() for c in ("set_a", "set_b"))
-        kept = [overlapping(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(left, right, strict=True)]
+        left, right = batch.column("set_a"), batch.column("set_b")
+        kept = [overlapping(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(left, right, strict=True)]
         yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
 
+def _places(column: pa.Array) -> np.ndarray:
+    """Arrays of bands as rows of minima."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, BANDS).view(np.uint16)
+
+
+def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        alike = (_places(batch.column("sketch_a")) == _places(batch.column("sketch_b"))).sum(1) >= LIKELY
+        yield batch.select(["a", "b"]).filter(pa.array(alike))
+
+
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Groups to the pairs (a, b) of different components whose sketches are alike."""
     for batch in batches:
-        a, b = [], []
-        for group in batch.column("members").to_pylist():
-            sketch = np.stack([np.frombuffer(m["sketch"], np.uint32) for m in group])
-            root = np.unique([m["root"] for m in group], return_inverse=True)[1]
-            for i in range(len(group) - 1):
+        for members in batch.column("members"):
+            group = members.values
+            node, root = (group.field(c).to_numpy(zero_copy_only=False) for c in ("node", "root"))
+            sketch = _places(group.field("sketch"))
+            a, b = [], []
+            for i in range(len(node) - 1):
                 other = i + 1 + np.flatnonzero(root[i + 1 :] != root[i])
-                for j in other[(sketch[other] == sketch[i]).sum(1) >= LIKELY].tolist():
-                    x, y = sorted((group[i]["kind"], group[j]["kind"]))
-                    a.append(x)
-                    b.append(y)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string())], ["a", "b"])
+                found = node[other[(sketch[other] == sketch[i]).sum(1) >= LIKELY]]
+                a.append(np.minimum(found, node[i]))
+                b.append(np.maximum(found, node[i]))
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, component_id) of every row."""
     rows = docs.select(docs[key].alias("doc_id"), docs[text].alias("text"), F.xxhash64(docs[text]).alias("text_key"))
     kind = docs.schema[key].dataType.simpleString()
-    prints = settled(rows.mapInArrow(_sketched, f"doc_id {kind}, text_key long, kind string, sketch binary, fp long"))
-    kinds = settled(prints.groupBy("kind").agg(F.min("doc_id").alias("least"), F.min("text_key").alias("text_key"), F.first("sketch").alias("sketch"), F.first("fp").alias("fp")))
+    prints = settled(rows.mapInArrow(_sketched, f"doc_id {kind}, text_key long, kind string, fp long, {', '.join(f'{b} long' for b in _B)}"))
+    # One node for each set of shingles; numbered once its rows are written, so that the numbers stay.
+    kinds = settled(prints.groupBy("kind").agg(F.min("doc_id").alias("least"), F.min("text_key").alias("text_key"), F.first("fp").alias("fp"), *[F.first(b).alias(b) for b in _B])).withColumn("node", F.monotonically_increasing_id())
+    sketched = kinds.select("node", F.array(*_B).alias("sketch"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         pairs = settled(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct())
-        wanted = kinds.join(pairs.select(F.explode(F.array("a", "b")).alias("kind")).distinct(), "kind", "left_semi").select("text_key")
-        sets = settled(rows.join(wanted, "text_key", "left_semi").select("text").mapInArrow(_sets, "kind string, set binary").groupBy("kind").agg(F.first("set").alias("set")))
-        side = lambda s: sets.select(F.col("kind").alias(s), F.col("set").alias(f"set_{s}"))
-        return settled(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(_confirmed, "a string, b string"))
+        side = lambda df, s, what: df.select(F.col("node").alias(s), F.col(what).alias(f"{what}_{s}"))
+        pairs = settled(pairs.join(side(sketched, "a", "sketch"), "a").join(side(sketched, "b", "sketch"), "b").select("a", "b", "sketch_a", "sketch_b").mapInArrow(_likely, "a long, b long"))
+        wanted = kinds.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", "text_key")
+        # Texts that share a key are equal, so one of them stands for its node.
+        texts = rows.select("text_key", "text").join(wanted, "text_key").select("node", "text").mapInArrow(_sets, "node long, set binary")
+        sets = settled(texts.groupBy("node").agg(F.first("set").alias("set")))
+        return settled(pairs.join(side(sets, "a", "set"), "a").join(side(sets, "b", "set"), "b").select("a", "b", "set_a", "set_b").mapInArrow(_confirmed, "a long, b long"))
 
     def rooted(links: DataFrame) -> DataFrame:
-        roots = components(links, "a", "b")
-        return kinds.select("kind", "least", "sketch").join(roots, F.col("kind") == F.col("node"), "left").select("kind", "least", "sketch", F.coalesce("root", "kind").alias("root"))
+        roots = components(links, "a", "b").withColumnRenamed("node", "_node")
+        return kinds.select("node", "kind", "least").join(roots, F.col("node") == F.col("_node"), "left").select("node", "kind", "least", F.coalesce("root", "node").alias("root"))
 
-    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(F.substring(F.col("sketch"), i * (4 * ROWS) + 1, F.lit(4 * ROWS))))
-    keyed = kinds.select("kind", F.posexplode(bands).alias("t", "key")).repartition(n, "t", "key")
-    sizes = keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n"), F.min("kind").alias("first")).filter("n > 1")
-    shared = settled(keyed.join(sizes, ["t", "key"]))
+    keyed = kinds.select("node", F.posexplode(F.array(*_B)).alias("t", "band")).select("node", F.xxhash64("t", "band").alias("key")).repartition(n, "key")
+    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first")).filter("n > 1")
+    shared = settled(keyed.join(sizes.select("key", "first"), "key"))
 
-    heads = kinds.groupBy("fp").agg(F.min("kind").alias("head"))
+    heads = kinds.groupBy("fp").agg(F.min("node").alias("head"))
     head = lambda s: heads.select(F.col("fp").alias(s), F.col("head").alias(f"head_{s}"))
-    pairs = shared.select(F.col("first").alias("a"), F.col("kind").alias("b"))
-    pairs = pairs.union(kinds.join(heads, "fp").select("head", "kind"))
+    pairs = shared.select(F.col("first").alias("a"), F.col("node").alias("b"))
+    pairs = pairs.union(kinds.join(heads, "fp").select("head", "node"))
     pairs = pairs.union(simhash.links(kinds.select("fp").distinct()).join(head("a"), "a").join(head("b"), "b").select("head_a", "head_b"))
     links = confirmed(pairs)
 
-    members = shared.join(settled(rooted(links)).select("kind", "sketch", "root"), "kind")
-    open_groups = members.groupBy("t", "key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("all")).filter("low < high")
-    parts = open_groups.select("t", "key", F.ceil(F.col("all") / GROUP).cast("int").alias("parts"))
-    dealt = members.join(parts, ["t", "key"]).withColumn("p", F.pmod(F.xxhash64("kind"), F.col("parts").cast("long")).cast("int"))
-    dealt = dealt.select("t", "key", "kind", "root", "sketch", "p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("q"))
-    groups = dealt.groupBy("t", "key", F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")).agg(F.collect_list(F.struct("kind", "root", "sketch")).alias("members"))
-    more = confirmed(groups.select("members").mapInArrow(_across, "a string, b string"))
+    members = settled(shared.select("key", "node").join(rooted(links).select("node", "root"), "node"))
+    open_groups = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("all")).filter("low < high")
+    parts = open_groups.select("key", F.ceil(F.col("all") / GROUP).cast("int").alias("parts"))
+    dealt = members.join(parts, "key").join(sketched, "node").withColumn("p", F.pmod(F.xxhash64("node"), F.col("parts").cast("long")).cast("int"))
+    dealt = dealt.select("key", "node", "root", "sketch", "p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("q"))
+    groups = dealt.groupBy("key", F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")).agg(F.collect_list(F.struct("node", "root", "sketch")).alias("members"))
+    more = confirmed(groups.select("members").mapInArrow(_across, "a long, b long"))
 
     grouped = settled(rooted(links.union(more)).select("kind", "least", "root"))
     named = grouped.join(grouped.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("kind", "component_id")
