@@ -2,12 +2,16 @@
 
 Templates are cut into lower-cased words. Their 3-word grams are winnowed: of every
 WINDOW + 1 consecutive grams the one with the least hash is a fingerprint, so every run of
-WINDOW + GRAM words in common with a template holds one. An inverted index maps
-fingerprints to places in templates. A document's grams are looked up in it, and the hits
-of a template that begin at about the same place make a candidate, which is aligned with
-the template in a band around that place: matching words gain, differing, missing and
-added words lose. A candidate that matches COVERAGE or more of the template's words is
-reported with its span in the text; of overlapping spans the one with most words stays.
+WINDOW + GRAM words in common with a template holds one. A template so short that
+COVERAGE does not force such a run has all its grams as fingerprints, and shorter grams
+where no run of three is forced. An inverted index maps fingerprints to places in
+templates. A document's grams are looked up in it, and from each hit on the template is
+aligned with the text in a band that is as wide as the hits nearby are spread, up to the
+template's own length, and BAND words more on either side: matching words gain, differing,
+missing and added words lose, so words put in between two parts are bridged while the
+smaller part gains more than they lose. A candidate that matches COVERAGE or more of the
+template's words is reported with its span in the text; of overlapping spans the one with
+most words stays.
 
 Templates are a parameter; the index is sent to every executor, and templates of more than
 MAX_TEMPLATE_CHARS in all are refused. Documents are scanned in the task that reads them,
@@ -31,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 GRAM, WINDOW = 3, 1
-BAND_SHARE, MAX_BAND = 4, 12
+BAND_SHARE, BAND = 4, 12
 COVERAGE = 0.8
 MAX_TEMPLATE_CHARS = 20_000_000
 MATCH, MISS = 2, -1
@@ -69,12 +73,14 @@ class Index:
             words = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in WORD.findall(text.lower())]
             if words:
                 self.names.append(name)
-                self.words.append(words)
+                self.words.append(np.array(words, np.int64))
         self.places: dict[tuple[int, ...], list[tuple[int, int]]] = {}
-        for t, words in enumerate(self.words):
-            k = min(GRAM, len(words))
+        for t, words in enumerate(map(np.ndarray.tolist, self.words)):
+            run = forced_run(len(words))
+            k = min(GRAM, run)
             grams = [tuple(words[i : i + k]) for i in range(len(words) - k + 1)]
-            for i in winnowed([xxhash.xxh64_intdigest(np.array(g, np.int64).tobytes()) for g in grams]):
+            hashes = [xxhash.xxh64_intdigest(np.array(g, np.int64).tobytes()) for g in grams]
+            for i in winnowed(hashes) if run >= GRAM + WINDOW else range(len(grams)):
                 self.places.setdefault(grams[i], []).append((t, i))
         self.lengths = sorted({len(g) for g in self.places})
         self.keys = {k: np.sort(np.array([self.key(g) for g in self.places if len(g) == k], np.int64)) for k in self.lengths}
@@ -109,54 +115,85 @@ def winnowed(hashes: list[int]) -> list[int]:
     return sorted({min(range(i, i + width), key=lambda x: (hashes[x], -x)) for i in range(len(hashes) - width + 1)})
 
 
-def aligned(template: list[int], ids: list[int], start: int, band: int) -> tuple[int, int, int]:
-    """Local alignment within `band` of the diagonal that begins at `start`: (matches, first word, word after the last)."""
-    best = (0, 0, start, start)
-    width = 2 * band + 1
-    above = [(0, 0, 0)] * (width + 1)  # score, matches, first word
-    for i, word in enumerate(template):
-        row, left = [], (0, 0, 0)
-        for o in range(width):
-            j = i + start + o - band
-            if not 0 <= j < len(ids):
-                cell = (0, 0, j + 1)
-            else:
-                diagonal, up = above[o], above[o + 1]
-                base = diagonal if diagonal[0] > 0 else (0, 0, j)
-                equal = ids[j] == word
-                cell = max(
-                    (base[0] + (MATCH if equal else MISS), base[1] + equal, base[2]),
-                    (up[0] + MISS, up[1], up[2]), (left[0] + MISS, left[1], left[2]), key=lambda c: (c[0], c[1]))
-                if cell[0] <= 0:
-                    cell = (0, 0, j + 1)
-                elif equal and (cell[0], cell[1], -cell[2]) > (best[0], best[1], -best[2]):
-                    best = (cell[0], cell[1], cell[2], j + 1)
-            row.append(cell)
-            left = cell
-        above = [*row, (0, 0, 0)]
-    return best[1], best[2], best[3]
+def forced_run(n: int) -> int:
+    """The longest run of words that any text keeps which matches COVERAGE of n words, nothing put in between."""
+    missing = int(n * (1 - COVERAGE) + 1e-9)
+    return -(-(n - missing) // (missing + 1))
+
+
+_SCORE, _MATCH, _FIRST = 1 << 42, 1 << 21, (1 << 21) - 1
+
+
+def aligned(template: np.ndarray, ids: np.ndarray, start: int, low: int, high: int) -> tuple[int, int, int]:
+    """Local alignment between the diagonals start + low and start + high: (matches, first word, word after the last).
+
+    A cell is one whole number of its score, its matches and, the earlier the greater, its
+    first word; a row is worked out at once, its gaps by a running maximum.
+    """
+    width = high - low + 1
+    offset = np.arange(width)
+    slide = offset * _SCORE
+    origin = start + low
+    best, end = 0, start
+    above = _FIRST - offset
+    for i, word in enumerate(template.tolist()):
+        j = origin + i + offset
+        inside = (j >= 0) & (j < len(ids))
+        equal = inside & (ids[np.clip(j, 0, len(ids) - 1)] == word)
+        nothing = _FIRST - (j + 1 - origin)
+        cell = above + np.where(equal, MATCH * _SCORE + _MATCH, MISS * _SCORE)
+        cell[:-1] = np.maximum(cell[:-1], above[1:] + MISS * _SCORE)
+        cell = np.where(inside & (cell >= _SCORE), cell, nothing)
+        row = np.maximum.accumulate(cell + slide) - slide
+        above = np.where(inside & (row >= _SCORE), row, nothing)
+        ended = np.where(equal, above, 0)
+        at = int(np.argmax(ended))
+        if ended[at] > best:
+            best, end = int(ended[at]), int(j[at]) + 1
+    return (best >> 21) & _FIRST, origin + _FIRST - (best & _FIRST) if best else start, end
+
+
+def occurrences(template: np.ndarray, ids: np.ndarray, hits: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """(matches, first word, word after the last) of a template, from hits (its word, the text's word) in text order."""
+    n = len(template)
+    # A part too short for a hit gains no more than bridging so many words loses.
+    edge = max(2 * GRAM, min(BAND, n // BAND_SHARE))
+    own, place = (np.array(x) for x in zip(*hits, strict=True))
+    diagonal = place - own
+    wanted = np.bincount(template)
+    left = np.ones(len(hits), bool)
+    found = []
+    for k in range(len(hits)):
+        if not left[k]:
+            continue
+        start = int(diagonal[k])
+        reach = int(np.searchsorted(place, place[k] + 2 * n, side="right"))
+        apart = diagonal[k:reach] - start
+        near = apart[left[k:reach] & (abs(apart) <= n)]
+        low, high = int(near.min()) - edge, int(near.max()) + edge
+        words = ids[max(0, start + low) : start + high + n]
+        # No alignment matches more than the words that both have.
+        common = np.minimum(np.bincount(words[words < len(wanted)], minlength=len(wanted)), wanted)[1:].sum()
+        matches, a, b = aligned(template, ids, start, low, high) if common >= COVERAGE * n else (0, 0, 0)
+        if matches / n >= COVERAGE:
+            found.append((matches, a, b))
+            left[np.searchsorted(place, a) : np.searchsorted(place, b)] = False
+        else:
+            left[k:reach] &= abs(apart) > edge
+        left[k] = False
+    return found
 
 
 def spans(index: Index, text: str) -> list[tuple[str, float, int, int, int]]:
     """(template, coverage, matched words, start, end) in characters, in text order."""
     words = list(WORD.finditer(text))
-    ids = [index.vocabulary.get(m[0].lower(), 0) for m in words]
-    starts: dict[int, set[int]] = {}
-    for t, i, p in index.hits(np.array(ids, np.int64)):
-        starts.setdefault(t, set()).add(p - i)
-    found = []
-    for t, own in starts.items():
-        template = index.words[t]
-        band = max(1, min(MAX_BAND, len(template) // BAND_SHARE))
-        first = None
-        for s in sorted(own):
-            if first is None or s - first > band:
-                first = s
-                matches, a, b = aligned(template, ids, s + band // 2, band)
-                if matches / len(template) >= COVERAGE:
-                    found.append((matches, a, b, t))
+    ids = np.array([index.vocabulary.get(m[0].lower(), 0) for m in words], np.int64)
+    hits: dict[int, list[tuple[int, int]]] = {}
+    for t, i, p in sorted(index.hits(ids), key=lambda h: (h[2], h[1])):
+        hits.setdefault(t, []).append((i, p))
+    found = {(*one, t) for t, own in hits.items() for one in occurrences(index.words[t], ids, own)}
     kept: list[tuple[int, int, int, int]] = []
-    for one in sorted(set(found), key=lambda f: (-f[0], f[1], f[2], f[3])):
+    for one in sorted(found, key=lambda f: (-f[0], f[1], f[2], f[3])):
         if all(one[2] <= k[1] or k[2] <= one[1] for k in kept):
             kept.append(one)
     return [(index.names[t], n / len(index.words[t]), n, words[a].start(), words[b - 1].end()) for n, a, b, t in sorted(kept, key=lambda k: k[1])]
