@@ -1,22 +1,29 @@
 """Main text of web pages by two passes of block rules.
 
 A page is cut into blocks at its block-level tags. The first pass decides each block by
-the density of stop words, its length, the density of links, and by what encloses it
-(menus, headers, footers, sidebars, notices, adverts, forms, reader comments). Short or
-otherwise ambiguous blocks stay open; in the second pass they inherit the label of the
-nearest decided neighbours, those of the same article or main element before others.
+the density of stop words, its length and the density of links. What encloses a block
+(menus, headers, footers, sidebars, notices, adverts, forms, reader comments; or an
+article) is one feature more: it settles what density leaves open and turns away prose of
+notices and comments, which has the density of an article; a block of an article that
+density turns away is open. In the second pass open blocks inherit the label of the
+nearest decided neighbours, those of the same article or main element before others; a
+heading inherits from what follows it.
 
 Each page is judged in the task that reads it; there is no shuffle.
 
 Defined cases: a null or empty page, or one without main text, gives the empty text;
-broken markup is read as browsers do, an unclosed tag or comment ending with the page;
-equal rows get equal texts, one each; an empty table gives no rows; all other columns
-are carried along, but one with a result's name gives way to it.
+broken markup is read as browsers do: an unclosed tag or comment ends with the page, and a
+head that is not closed ends with the first tag that no head holds; a wrapper whose names
+speak both for an article and against it says nothing; long paragraphs in languages
+without a list of stop words are open; equal rows get equal texts, one each; an empty table
+gives no rows; all other columns are carried along, but one with a result's name gives way
+to it.
 """
 
 from __future__ import annotations
 
 import html
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -25,12 +32,14 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-# Frequent function words of English, German, French and Spanish.
+# Frequent function words of English, German, French, Spanish and Russian, and such signs of Chinese and Japanese.
 STOP_WORDS = frozenset(
     """the of and to in a is that for it on was as with be by this are from at or an not have which you but his they all one we can there
     der die das und in zu den von mit ist des für im dem nicht ein eine auf als auch es an werden aus er hat dass sie nach wird bei
     de la le et les des en un du une que est pour qui dans par sur au pas ne se ce il sont plus avec son
-    el los las y del por con su para como lo al no más o pero sus ha este sí porque esta entre cuando muy""".split()
+    el los las y del por con su para como lo al no más o pero sus ha este sí porque esta entre cuando muy
+    и в не на что с по как это из а к у за от но же бы для о то все так его
+    的 是 了 在 不 有 和 这 我 の に は を た が で と""".split()
 )
 # Tags that do not end a block.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
@@ -58,7 +67,13 @@ TOKEN = regex.compile(
 )
 MAIN_NAME = regex.compile(r"(?:^|\s)(?:content|main|article|post|entry|story)(?:[_-]?(?:body|content|text|main))?(?:$|\s)", regex.I)
 NAMES = regex.compile(r"\b(class|id|role|hidden|aria-hidden)\b\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", regex.I)
-WORD = regex.compile(r"\w+")
+#: Signs of scripts that put no blanks between words are words of their own.
+WORD = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]|[^\W\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]+")
+#: What ends a sentence.
+STOP_MARK = regex.compile(r"[.!?。！？؟।…]")
+#: What a head holds; any other tag ends a head that is not closed.
+HEAD_TAGS = frozenset("title meta link base style script noscript template object".split())
+HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
 
 SHORT_WORDS, LONG_CHARS = 12, 70
 MANY_STOPS, SOME_STOPS = 0.2, 0.08
@@ -73,6 +88,7 @@ class Block:
     linked: int = 0
     boiler: bool = False
     main: int = 0
+    heading: bool = False
     text: str = ""
     label: int = OPEN
 
@@ -87,7 +103,7 @@ def _is_boiler(tag: str, attrs: str, in_main: bool) -> bool:
         name = name.lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value.lower() in BOILER_ROLES):
             return True
-        if name in ("class", "id") and BOILER_NAME.search(value):
+        if name in ("class", "id") and BOILER_NAME.search(value) and not MAIN_NAME.search(value):
             return True
     return False
 
@@ -98,13 +114,14 @@ def _is_main(tag: str, attrs: str) -> bool:
     if tag not in ("div", "section", "td") or not attrs:
         return False
     named = [(name.lower(), next((v for v in values if v), "")) for name, *values in NAMES.findall(attrs)]
-    return any((n == "role" and v.lower() == "main") or (n in ("class", "id") and MAIN_NAME.search(v) is not None) for n, v in named)
+    return any((n == "role" and v.lower() == "main") or (n in ("class", "id") and MAIN_NAME.search(v) is not None and not BOILER_NAME.search(v)) for n, v in named)
 
 
 def blocks_of(page: str) -> list[Block]:
     """The blocks with text, in page order."""
     found: list[Block] = []
     stack: list[tuple[str, bool, int]] = []  # tag, boilerplate, number of the main element around
+    opened: Counter[str] = Counter()  # of each tag on the stack
     boilers, main, mains, links = 0, 0, 0, 0
     now = Block()
 
@@ -118,7 +135,8 @@ def blocks_of(page: str) -> list[Block]:
 
     def leave(at: int) -> None:
         nonlocal boilers, main
-        for _, boiler, outer in reversed(stack[at:]):
+        for name, boiler, outer in reversed(stack[at:]):
+            opened[name] -= 1
             boilers -= boiler
             main = outer
         del stack[at:]
@@ -144,6 +162,7 @@ def blocks_of(page: str) -> list[Block]:
             if not m["close"] and m["attrs"] and tag == "span" and _is_boiler("span", m["attrs"], main > 0):
                 cut()
                 stack.append((tag, True, main))
+                opened[tag] += 1
                 boilers += 1
                 now.boiler = True
             elif m["close"] and tag == "span" and stack and stack[-1][0] == "span":
@@ -153,20 +172,22 @@ def blocks_of(page: str) -> list[Block]:
         if tag == "head":
             in_head = not m["close"]
             continue
-        if tag == "body":
+        if tag not in HEAD_TAGS:
             in_head = False
         if m["close"]:
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if at is not None:
-                leave(at)
+            # An end tag without a beginning is passed over; else what it ends lies on the stack, and is taken off it.
+            if opened[tag] > 0:
+                leave(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag))
         elif tag not in VOID and not m["attrs"].endswith("/") and tag not in LOOSE:
             boiler = _is_boiler(tag, m["attrs"], main > 0)
             stack.append((tag, boiler, main))
+            opened[tag] += 1
             boilers += boiler
             if not boiler and _is_main(tag, m["attrs"]):
                 mains += 1
                 main = mains
         cut()
+        now.heading = tag in HEADINGS and not m["close"]
         links = 0
         if not m["close"] and tag in ("p", "li", "td", "th", "dt", "dd") and m["attrs"] and _is_boiler(tag, m["attrs"], True):
             now.boiler = True
@@ -174,20 +195,28 @@ def blocks_of(page: str) -> list[Block]:
     return found
 
 
-def first_pass(block: Block) -> int:
+def density(block: Block) -> int:
+    """What stop words, length and links say, whatever encloses the block."""
     text = block.text
     words = WORD.findall(text.lower())
     links = block.linked / max(1, len("".join(block.parts)))
-    if block.boiler or not words or links > MANY_LINKS or text[0] == "©":
+    if links > MANY_LINKS or text[0] == "©":
         return BAD
-    stops = sum(w in STOP_WORDS for w in words) / len(words)
     if len(words) < SHORT_WORDS or len(text) < LONG_CHARS:
         return BAD if links > SOME_LINKS else OPEN
+    stops = sum(w in STOP_WORDS for w in words) / len(words)
     if stops >= MANY_STOPS and links <= SOME_LINKS:
         return GOOD
-    if stops >= SOME_STOPS or block.main:
-        return OPEN
-    return BAD
+    # Long, with few stop words: prose of a language without a list has sentences at least.
+    return OPEN if stops >= SOME_STOPS or STOP_MARK.search(text) else BAD
+
+
+def first_pass(block: Block) -> int:
+    """By density; names decide what it leaves open, turn away prose that they speak against, and reopen what they speak for."""
+    label = density(block)
+    if block.boiler:
+        return BAD
+    return OPEN if block.main and label == BAD else label
 
 
 def second_pass(blocks: list[Block]) -> None:
@@ -206,15 +235,17 @@ def second_pass(blocks: list[Block]) -> None:
                 if not b.boiler:
                     last_in[b.main] = last
     for i, b in enumerate(blocks):
-        if b.label == OPEN:
-            near = [x for x in (same[0][i], same[1][i]) if x] if b.main else []
-            near = near or ([] if b.main else [x for x in (sides[0][i], sides[1][i]) if x])
-            if not near:
-                b.label = GOOD if b.main else BAD
-                continue
-            best = min(abs(x - i) for x, _ in near)
-            labels = {label for x, label in near if abs(x - i) == best}
-            b.label = GOOD if labels == {GOOD} or (len(labels) > 1 and b.main) else BAD
+        if b.label != OPEN:
+            continue
+        before, after = (same if b.main else sides)[0][i], (same if b.main else sides)[1][i]
+        near = [x for x in ([after] if b.heading and after else [before, after]) if x]
+        if not near:
+            b.label = GOOD if b.main else BAD
+            continue
+        best = min(abs(x - i) for x, _ in near)
+        labels = {label for x, label in near if abs(x - i) == best}
+        # Between the two: an article's block is its text, and so is a block of sentences.
+        b.label = GOOD if labels == {GOOD} or (len(labels) > 1 and (b.main or STOP_MARK.search(b.text) is not None)) else BAD
 
 
 def main_text(page: str | None) -> str:
