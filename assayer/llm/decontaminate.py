@@ -5,8 +5,11 @@ Similarity is exact and weighted: the multisets of 5-word shingles of window and
 smaller counts over larger counts; SIMILAR or more is a match. A text with fewer than 5
 words is one shingle.
 
-1. Windows. A match has a shingle in common with its item, so windows are laid where a
-   document's shingle is one of the benchmark's, the two aligned.
+1. Windows. A match lacks at most a fifth of its item's shingles, so of any
+   fifth of them and one more it has one: of an item's shingles those that are rarest in the
+   documents (then in the benchmark) decide which documents are looked at. In these, windows
+   are laid wherever a shingle is one of the item's, the two aligned. A lead-in that many
+   items or documents share thus brings no pairs about.
 2. SimHash of each window and each item over their shingles, 64 bits.
 3. Multi-index Hamming blocks: the bits are cut into 11 blocks; of RADIUS = 21 differing
    bits some block holds at most one, so an item is looked up in each block under its own
@@ -16,7 +19,8 @@ words is one shingle.
 
 The benchmark's shingles and the found windows are broadcast while they are few
 (BROADCAST_ROWS) and joined by a shuffle beyond that; documents are read twice and their
-texts are not shuffled in the first case.
+texts are not shuffled in the first case. Places of the benchmark's shingles in documents
+are written down once; their number grows with the documents, not with items that share them.
 
 Defined cases: null texts are empty; items without words match nothing; a window cut off
 by an end of the document is as long as it gets; equal documents are judged alike and are
@@ -27,7 +31,7 @@ not looked at.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import bound, settled, words_of
@@ -36,6 +40,8 @@ SHINGLE = 5
 SIMILAR = 0.8
 RADIUS = 21
 BLOCKS = (6, 6, 6, 6, 6, 6, 6, 6, 6, 5, 5)
+#: A document's windows are taken up to so many starts at a time.
+STARTS = 256
 #: Beyond so many rows a table is joined by a shuffle, not broadcast.
 BROADCAST_ROWS = 1_000_000
 
@@ -89,20 +95,29 @@ def items_of(benchmark: DataFrame) -> DataFrame:
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, start, n_words, similarity, distance): the best window for each document and item that match."""
-    items = settled(items_of(benchmark).withColumn("item", F.xxhash64("item_id", "hashes")))
-    anchors = _small(items.select("item", "n", F.posexplode("hashes").alias("item_at", "h")).withColumn("length", F.least("n", F.lit(SHINGLE))))
+    items = settled(items_of(benchmark).withColumn("item", F.xxhash64("item_id", "hashes")).dropDuplicates(["item"]))
+    places = settled(items.select("item", "n", F.size("hashes").alias("size"), F.posexplode("hashes").alias("item_at", "h"), F.least("n", F.lit(SHINGLE)).alias("length")))
     lengths = sorted(r[0] for r in items.select(F.least("n", F.lit(SHINGLE)).alias("k")).distinct().collect())
     rows = docs.select("doc_id", F.col("text"), F.xxhash64("doc_id", "text").alias("row"))
     # 1. windows
     seen = bound(words_of(F.col("text")), lambda w: F.flatten(F.array(*[_numbered(_hashes(w, F.lit(0), F.size(w) - 1, k), k) for k in lengths])))
     if not lengths:
         seen = F.array().cast("array<struct<length:int,at:int,h:long>>")
-    laid = rows.select("row", F.explode(seen).alias("s")).select("row", "s.*").join(anchors, ["h", "length"])
+    seen = settled(rows.select("row", F.explode(seen).alias("s")).select("row", "s.*").join(_small(places.select("h", "length").distinct()), ["h", "length"], "left_semi"))
+    often = seen.groupBy("h", "length").agg(F.count(F.lit(1)).alias("in_docs"))
+    counted = places.join(often, ["h", "length"], "left").join(places.groupBy("h", "length").agg(F.count(F.lit(1)).alias("in_items")), ["h", "length"])
+    rank = F.row_number().over(Window.partitionBy("item").orderBy(F.coalesce("in_docs", F.lit(0)), "in_items", "h", "item_at"))
+    enough = F.floor((1 - SIMILAR) * F.col("size") + 1e-9) + 1
+    rarest = counted.withColumn("rank", rank).filter(F.col("rank") <= enough).select("item", "h", "length").distinct()
+    pairs = settled(seen.join(_small(rarest), ["h", "length"]).select("row", "item").distinct())
+    laid = seen.join(_small(pairs), "row").join(_small(places), ["item", "h", "length"])
     windows = settled(laid.select("row", (F.col("at") - F.col("item_at")).alias("start"), "n").distinct())
     # 2. their shingles and fingerprints
-    placed = rows.join(_small(windows), "row").select("doc_id", "row", "start", "n", words_of(F.col("text")).alias("w"))
-    hashed = placed.select("doc_id", "row", "start", "n", bound(F.col("w"), lambda w: _hashes(w, F.greatest(F.col("start"), F.lit(0)), F.least(F.col("start") + F.col("n"), F.size(w)) - 1)).alias("hashes"))
-    printed = settled(hashed.withColumn("fp", simhash(F.col("hashes"))).distinct())
+    grouped = windows.groupBy("row", F.expr(f"start div {STARTS}").alias("part")).agg(F.collect_list(F.struct("start", "n")).alias("windows")).drop("part")
+    placed = rows.join(_small(grouped), "row").select("doc_id", "row", "windows", words_of(F.col("text")).alias("w"))
+    cut = lambda w, x: _hashes(w, F.greatest(x["start"], F.lit(0)), F.least(x["start"] + x["n"], F.size(w)) - 1)
+    each = bound(F.col("w"), lambda w: F.transform("windows", lambda x: F.struct(x["start"].alias("start"), x["n"].alias("n"), cut(w, x).alias("hashes"))))
+    printed = settled(placed.select("doc_id", "row", F.explode(each).alias("x")).select("doc_id", "row", "x.*").withColumn("fp", simhash(F.col("hashes"))).distinct())
     # 3. within the radius
     probes = items.select("item", "item_id", "n", F.col("fp").alias("item_fp"), F.size("hashes").alias("item_size"), F.explode(_blocks(F.col("fp"), True)).alias("b")).select("item", "item_id", "n", "item_fp", "item_size", "b.*")
     spots = printed.select("doc_id", "row", "start", "n", "fp", F.explode(_blocks(F.col("fp"), False)).alias("b")).select("doc_id", "row", "start", "n", "fp", "b.*")
