@@ -4,8 +4,10 @@ Rules of a host and a path prefix judge some URLs. From these, two variable-orde
 Markov models of characters are counted, one of accepted and one of rejected URLs:
 the chance of a character after its last 3, smoothed by the chance after its last 2,
 1 and 0 characters. A URL that no rule fits is judged by the mean log-likelihood
-difference of its characters against a threshold half-way between the mean of the
-accepted and that of the rejected URLs.
+difference of its characters against a threshold. For that, the URLs with a rule whose
+MD5 begins with a digit of KEPT_APART (3 in 16) are not counted in the models; the
+threshold lies half-way between the mean of the accepted and that of the rejected among
+them.
 
 All counts are sums over all rows; the logarithms are rounded to millionths and added
 as whole numbers, so neither the order of rows nor the number of tasks moves a verdict.
@@ -13,8 +15,10 @@ as whole numbers, so neither the order of rows nor the number of tasks moves a v
 Defined cases: a URL that is null or has no `://` has an empty host and path, fits no
 rule and is judged by the model over its whole text (null: the empty text). With no
 accepted or no rejected URL at all, the counts are zero, every difference is smoothed
-alone, and ties with the threshold are allowed. Equal URLs get equal verdicts, one row
-each; an empty table gives no rows; other columns are not looked at.
+alone, and ties with the threshold are allowed. Where none of a class was kept apart, its
+mean is that of all its URLs; without such the threshold is zero. Equal URLs get equal
+verdicts, one row each; an empty table gives no rows; other columns are carried along, but
+one with a result's name gives way to it.
 """
 
 from __future__ import annotations
@@ -31,6 +35,11 @@ BACKOFF = 2.0
 MICRO = 1_000_000
 #: Beyond so many rows the table of gram scores is joined by a shuffle.
 BROADCAST_ROWS = 500_000
+#: First digits of the MD5 of URLs that calibrate the threshold.
+KEPT_APART = "012"
+#: So many distinct URLs are a task's share.
+URLS_A_TASK = 50_000
+RESULTS = ("host", "path", "rule", "verdict", "ratio")
 BEFORE, AFTER = "\u0002", "\u0003"
 
 
@@ -75,26 +84,33 @@ def gram_scores(grams: DataFrame) -> DataFrame:
 
 def judged(pages: DataFrame, url: str = "url", rules=RULES) -> DataFrame:
     """pages with host, path, rule, verdict and the model's mean difference `ratio` (millionths)."""
-    host, path = split_url(F.col(url))
-    ruled = pages.withColumn("host", host).withColumn("path", path).withColumn("_fit", fitting_rule(F.col("host"), F.col("path"), rules))
-    ruled = ruled.withColumn("_url", F.coalesce(F.col(url), F.lit("")))
-    distinct = ruled.groupBy("_url", F.col("_fit.verdict").alias("_by_rule")).agg(F.count(F.lit(1)).alias("_n"))
-    per_gram = distinct.select("_by_rule", "_n", F.explode(_grams(F.col("_url"))).alias("gram"))
-    counted = lambda verdict: F.sum(F.when(F.col("_by_rule") == verdict, F.col("_n")).otherwise(0))
+    named = {c: f"_kept_{i}" for i, c in enumerate(pages.columns)}
+    host, path = split_url(F.col("_raw"))
+    ruled = pages.select(*[pages[c].alias(n) for c, n in named.items() if c not in RESULTS], pages[url].alias("_raw")).withColumn("_host", host).withColumn("_path", path)
+    ruled = ruled.withColumn("_fit", fitting_rule(F.col("_host"), F.col("_path"), rules)).withColumn("_url", F.coalesce("_raw", F.lit("")))
+    kinds = settled(ruled.groupBy("_url", F.col("_fit.verdict").alias("_by_rule")).agg(F.count(F.lit(1)).alias("_n")))
+    tasks = max(pages.sparkSession.sparkContext.defaultParallelism, kinds.count() // URLS_A_TASK)
+    kinds = kinds.repartition(tasks).withColumn("_apart", F.substring(F.md5(F.col("_url").cast("binary")), 1, 1).isin(*KEPT_APART))
+    per_gram = kinds.select("_url", "_by_rule", "_n", "_apart", F.explode(_grams(F.col("_url"))).alias("gram"))
+    counted = lambda verdict: F.sum(F.when((F.col("_by_rule") == verdict) & ~F.col("_apart"), F.col("_n")).otherwise(0))
     counts = settled(per_gram.groupBy("gram").agg(counted("allow").alias("n_a"), counted("block").alias("n_r")))
     scores = settled(gram_scores(counts))
     if scores.count() <= BROADCAST_ROWS:
         scores = F.broadcast(scores)
     # A distinct URL's grams lie in one task, so the sums shrink to a row a URL before the shuffle.
     ratios = settled(
-        distinct.select("_url", "_by_rule", "_n", F.explode(_grams(F.col("_url"))).alias("gram")).join(scores, "gram")
-        .groupBy("_url", "_by_rule", "_n").agg((F.sum("micro") / F.count(F.lit(1))).alias("_mean"))
-        .select("_url", "_by_rule", "_n", F.round("_mean").cast("long").alias("ratio"))
+        per_gram.join(scores, "gram").groupBy("_url", "_by_rule", "_n", "_apart").agg((F.sum("micro") / F.count(F.lit(1))).alias("_mean"))
+        .select("_url", "_by_rule", "_n", "_apart", F.round("_mean").cast("long").alias("_ratio"))
     )
-    mean = lambda verdict: F.sum(F.when(F.col("_by_rule") == verdict, F.col("ratio") * F.col("_n"))) / F.sum(F.when(F.col("_by_rule") == verdict, F.col("_n")))
+
+    def mean(verdict: str) -> Column:
+        of = lambda rows: F.sum(F.when(rows, F.col("_ratio") * F.col("_n"))) / F.sum(F.when(rows, F.col("_n")))
+        return F.coalesce(of((F.col("_by_rule") == verdict) & F.col("_apart")), of(F.col("_by_rule") == verdict))
+
     cut = ratios.agg(F.coalesce((mean("allow") + mean("block")) / 2, F.lit(0.0)).alias("_cut"))
-    by_model = ratios.join(F.broadcast(cut)).select("_url", "ratio", F.when(F.col("ratio") >= F.col("_cut"), "allow").otherwise("block").alias("_by_model"))
-    return ruled.join(by_model, "_url").withColumn("rule", F.col("_fit.rule")).withColumn("verdict", F.coalesce(F.col("_fit.verdict"), F.col("_by_model"))).drop("_fit", "_url", "_by_model")
+    by_model = ratios.join(F.broadcast(cut)).select("_url", "_ratio", F.when(F.col("_ratio") >= F.col("_cut"), "allow").otherwise("block").alias("_by_model"))
+    results = [F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_fit.rule").alias("rule"), F.coalesce(F.col("_fit.verdict"), F.col("_by_model")).alias("verdict"), F.col("_ratio").alias("ratio")]
+    return ruled.join(by_model, "_url").select(*[F.col(n).alias(c) for c, n in named.items() if c not in RESULTS], *results)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,16 +134,16 @@ parts AS (
     coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages
 ), ruled AS (
   SELECT *, (SELECT max_by({{'rule': h || p, 'verdict': v}}, length(h || p)) FROM rules WHERE (host = h OR suffix(host, '.' || h)) AND prefix(path, p)) AS fit FROM parts
-), urls AS (SELECT u, fit.verdict AS v, count(*) AS n, repeat(chr(2), 3) || u || chr(3) AS x FROM ruled GROUP BY 1, 2),
-grams AS (SELECT u, v, n, unnest(list_transform(range(1, length(x) - 2), lambda i: substr(x, i, 4))) AS gram FROM urls),
-counts AS (SELECT gram, sum(CASE WHEN v = 'allow' THEN n ELSE 0 END) AS a, sum(CASE WHEN v = 'block' THEN n ELSE 0 END) AS r FROM grams GROUP BY 1),
+), urls AS (SELECT u, fit.verdict AS v, count(*) AS n, md5(u)[1] IN ({", ".join(f"'{x}'" for x in KEPT_APART)}) AS apart, repeat(chr(2), 3) || u || chr(3) AS x FROM ruled GROUP BY 1, 2),
+grams AS (SELECT u, v, n, apart, unnest(list_transform(range(1, length(x) - 2), lambda i: substr(x, i, 4))) AS gram FROM urls),
+counts AS (SELECT gram, sum(CASE WHEN v = 'allow' AND NOT apart THEN n ELSE 0 END) AS a, sum(CASE WHEN v = 'block' AND NOT apart THEN n ELSE 0 END) AS r FROM grams GROUP BY 1),
 l1 AS (SELECT right(gram, 1) AS g, sum(a) AS a, sum(r) AS r FROM counts GROUP BY 1),
 p1 AS (SELECT g, (a + 1)::DOUBLE / (sum(a) OVER () + count(*) OVER ())::DOUBLE AS pa, (r + 1)::DOUBLE / (sum(r) OVER () + count(*) OVER ())::DOUBLE AS pr FROM l1),
 {", ".join(levels)},
 scores AS (SELECT g AS gram, round((ln(pa) - ln(pr)) * {MICRO})::BIGINT AS micro FROM p4),
-ratios AS (SELECT u, v, n, round(sum(micro)::DOUBLE / count(*)::DOUBLE)::BIGINT AS ratio FROM grams JOIN scores USING (gram) GROUP BY 1, 2, 3),
-cut AS (SELECT coalesce((sum(CASE WHEN v = 'allow' THEN ratio * n END)::DOUBLE / sum(CASE WHEN v = 'allow' THEN n END)
-  + sum(CASE WHEN v = 'block' THEN ratio * n END)::DOUBLE / sum(CASE WHEN v = 'block' THEN n END)) / 2, 0.0) AS t FROM ratios)
+ratios AS (SELECT u, v, n, apart, round(sum(micro)::DOUBLE / count(*)::DOUBLE)::BIGINT AS ratio FROM grams JOIN scores USING (gram) GROUP BY 1, 2, 3, 4),
+means AS (SELECT v, coalesce(sum(CASE WHEN apart THEN ratio * n END)::DOUBLE / sum(CASE WHEN apart THEN n END), sum(ratio * n)::DOUBLE / sum(n)) AS m FROM ratios GROUP BY 1),
+cut AS (SELECT coalesce((max(CASE WHEN v = 'allow' THEN m END) + max(CASE WHEN v = 'block' THEN m END)) / 2, 0.0) AS t FROM means)
 SELECT page_id, host, path, fit.rule AS rule, coalesce(fit.verdict, CASE WHEN ratio >= t THEN 'allow' ELSE 'block' END) AS verdict, ratio
 FROM ruled JOIN ratios USING (u), cut
 """
