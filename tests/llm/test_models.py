@@ -190,9 +190,11 @@ def test_lookup_and_packing():
     assert (got[0] == keys).all() and (got[1] == counts).all()
 
 
-@pytest.mark.parametrize("block", [200, 16_000_000])
-def test_language_model_scores(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "part", "answer"), [(200, 64_000_000, 50), (200, 3000, 1_000_000), (16_000_000, 64_000_000, 1_000_000)])
+def test_language_model_scores(spark, monkeypatch, block, part, answer):
     monkeypatch.setattr(language_model, "BLOCK_BYTES", block)
+    monkeypatch.setattr(language_model, "PART_BYTES", part)
+    monkeypatch.setattr(language_model, "ANSWER_AT", answer)
     monkeypatch.setattr(language_model, "STEP_BYTES", 100)
     rng = random.Random(4)
     words = ["alpha", "Beta", "gamma", "delta", "épsilon"]
@@ -214,7 +216,7 @@ def test_language_model_scores(spark, monkeypatch, block):
         want.append((str(i), out(i), len(tokens), sum(counts[w] > 0 for w in tokens), total, base, ctw.log_chances(ctw.packed(s), trees).sum() / np.log(10)))
     found = sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in got)
     for a, b in zip(found, sorted(want), strict=True):
-        assert a[:5] == b[:5] and np.allclose(a[5:], b[5:], rtol=1e-5)
+        assert a[:5] == b[:5] and np.allclose(a[5:], b[5:], rtol=1e-9)
 
 
 def test_language_model_without_training_rows(spark):
@@ -274,3 +276,17 @@ def test_pipeline_keeps_one_of_repeated_rows(spark):
 
     docs = spark.createDataFrame([(1, "a b c d", "x"), (1, "a b c d", "x"), (2, "a b c d", "x"), (3, "other words here now", "x"), (None, "lone", "x")], "doc_id long, text string, lang string")
     assert sorted((r.doc_id or 0) for r in corpus_pipeline.drop_near_duplicates(spark, docs, SMALL).collect()) == [0, 1, 3]
+
+
+def test_decontamination_with_a_lead_in_that_all_share(spark, tmp_path):
+    rng = random.Random(6)
+    some = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
+    lead = some(15)
+    items = [lead + some(20) for _ in range(60)] + [lead, lead + some(3)]
+    rows = [lead * 3 + some(60) + lead + some(30) for _ in range(60)]
+    rows += [lead + some(5) + items[k][:33] + ["new"] + items[k][34:] + some(5) for k in (3, 9)]
+    documents(spark, tmp_path, [(i, " ".join(w), "", "") for i, w in enumerate(rows)] * 2)
+    benchmark(spark, tmp_path, [(i, " ".join(w)) for i, w in enumerate(items)])
+    got = decontaminate.query(spark, str(tmp_path))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} >= {(60, 3), (61, 9), (0, 60)}
+    same_rows(got, duck_over(tmp_path), decontaminate.ORACLE_SQL)
