@@ -5,8 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: What a session may go on to from each state.
-TRANSITIONS = {("started", "finalizing"), ("finalizing", "finalized"), ("finalizing", "finalize_failed"), ("finalized", "closed"), ("finalize_failed", "closed"), ("started", "closed")}
+#: The state that an accepted action leads to from each state of a session.
+ACCEPTED = {
+    ("none", "start"): "started", ("started", "finalize"): "finalizing", ("finalizing", "finalized"): "finalized", ("finalizing", "finalize_failed"): "finalize_failed",
+    ("started", "close"): "closed", ("finalized", "close"): "closed", ("finalize_failed", "close"): "closed",
+}
+
+
+def session_step(state: str, action: str) -> tuple[str, str]:
+    """(answer, next state) of one action; session_answers says the same of whole tables."""
+    if (state, action) in ACCEPTED:
+        return "accepted", ACCEPTED[state, action]
+    if state in ("none", "closed") and action != "start":
+        return "nothing" if action == "close" else "SESSION_UNKNOWN", state
+    return "SESSION_BUSY" if action == "close" else "SESSION_STATE", state
 
 
 def where(field: Column, test: str | None = None, value: str | None = None) -> Column:

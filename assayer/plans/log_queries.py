@@ -94,10 +94,10 @@ def sca26(spark, d):
     return V.table(spark, d, "events").select("event_id", C.gate_verdict(e % 5).alias("verdict"), C.gate_allows(e % 7 != 0, e % 2 != 0, e % 5).alias("allowed"))
 
 
-_ACTION = "CASE event_type WHEN 'view' THEN 'start' WHEN 'click' THEN 'finalize' WHEN 'purchase' THEN 'finalized' WHEN 'error' THEN 'finalize_failed' ELSE 'close' END"
+ACTION = "CASE event_type WHEN 'view' THEN 'start' WHEN 'click' THEN 'finalize' WHEN 'purchase' THEN 'finalized' WHEN 'error' THEN 'finalize_failed' ELSE 'close' END"
 
 
-@register("win05_session_transitions", f"""WITH e AS (SELECT user_id * 1000 + event_id % 8 AS session_id, event_id AS seq, {_ACTION} AS action FROM events),
+@register("win05_session_transitions", f"""WITH e AS (SELECT user_id * 1000 + event_id % 8 AS session_id, event_id AS seq, {ACTION} AS action FROM events),
 s AS (SELECT session_id, min(seq) AS started FROM e WHERE action = 'start' GROUP BY 1),
 f AS (SELECT session_id, min(seq) FILTER (action = 'finalize') AS fin, min(seq) FILTER (action = 'close') AS clo FROM e JOIN s USING (session_id) WHERE seq > started GROUP BY 1),
 c AS (SELECT session_id, started, CASE WHEN fin < coalesce(clo, fin + 1) THEN fin END AS claimed, CASE WHEN clo < coalesce(fin, clo + 1) THEN clo END AS early FROM s LEFT JOIN f USING (session_id)),
@@ -112,7 +112,7 @@ ELSE CASE WHEN cl AND NOT se THEN 'accepted' ELSE 'SESSION_STATE' END END AS ans
 def win05(spark, d):
     """Events of a user are dealt out to eight sessions each."""
     e = V.table(spark, d, "events")
-    return logs.session_answers(e.select((F.col("user_id") * 1000 + F.col("event_id") % 8).alias("session_id"), F.col("event_id").alias("seq"), F.expr(_ACTION).alias("action")))
+    return logs.session_answers(e.select((F.col("user_id") * 1000 + F.col("event_id") % 8).alias("session_id"), F.col("event_id").alias("seq"), F.expr(ACTION).alias("action")))
 
 
 @register("win05_illegal_steps", "SELECT conv_id AS session_id, turn AS seq, b AS before, role AS state FROM (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS b FROM conversations) WHERE b IS NOT NULL AND NOT (b = 'user' AND role = 'assistant') AND NOT (b = 'system' AND role = 'user')")

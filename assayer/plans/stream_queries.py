@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from assayer.streaming import sessions as S
 
-from . import closure_queries
+from . import closure_queries, log_queries
 from . import views as V
 from .catalog import ORACLES, register
 from .views import sql
@@ -32,16 +32,12 @@ def str02(spark, d):
     return S.stored(spark, where).drop("run", "batch")
 
 
-_LEGAL = {("view", "click"), ("click", "purchase"), ("view", "view"), ("click", "view")}
-
-
-@register("str03_session_lifecycle", """SELECT session_id, seq, CASE WHEN b <> 'purchase' THEN b END AS before, state,
-b IS NULL OR b = 'purchase' OR (b, state) IN (('view', 'click'), ('click', 'purchase'), ('view', 'view'), ('click', 'view')) AS legal
-FROM (SELECT user_id AS session_id, event_id AS seq, event_type AS state, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM events)""")
+@register("str03_session_lifecycle", ORACLES["win05_session_transitions"])
 def str03(spark, d):
     where = S.shared_folder(spark)
-    steps = S.table_stream(spark, d, "events").select(F.col("user_id").cast("long").alias("session_id"), F.col("event_id").cast("long").alias("seq"), F.col("event_type").alias("state"))
-    S.drained(S.lifecycle(steps, _LEGAL, "purchase", None), S.kept(where, S.new_run()))
+    events = S.table_stream(spark, d, "events")
+    actions = events.select((F.col("user_id") * 1000 + F.col("event_id") % 8).cast("long").alias("session_id"), F.col("event_id").cast("long").alias("seq"), F.expr(log_queries.ACTION).alias("action"))
+    S.drained(S.lifecycle(actions, None), S.kept(where, S.new_run()))
     return S.stored(spark, where).drop("run", "batch")
 
 

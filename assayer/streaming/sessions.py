@@ -124,32 +124,34 @@ def retries(calls: DataFrame, idle_ms: int | None = IDLE_MS) -> DataFrame:
     return calls.groupBy("session_id").applyInPandasWithState(answer, ANSWERS, OWNERS, "append", _timeout(idle_ms))
 
 
-STEPS = T.StructType([T.StructField("session_id", T.LongType()), T.StructField("seq", T.LongType()), T.StructField("before", T.StringType()), T.StructField("state", T.StringType()), T.StructField("legal", T.BooleanType())])
-LAST = T.StructType([T.StructField("last", T.StringType())])
+STEPS = T.StructType([T.StructField("session_id", T.LongType()), T.StructField("seq", T.LongType()), T.StructField("action", T.StringType()), T.StructField("state", T.StringType()), T.StructField("answer", T.StringType())])
+STATE = T.StructType([T.StructField("state", T.StringType())])
 
 
-def lifecycle(steps: DataFrame, legal: set[tuple[str, str]] = logs.TRANSITIONS, ends: str = "closed", idle_ms: int | None = IDLE_MS) -> DataFrame:
-    """(session_id, seq, before, state, legal) of each step; a session that ends is forgotten."""
+def lifecycle(actions: DataFrame, idle_ms: int | None = IDLE_MS) -> DataFrame:
+    """The streaming twin of logs.session_answers: each action with the state that it finds and its answer.
+
+    A closed session is remembered as such until it has been idle, so that late calls to it
+    are refused and not taken for a new one's.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        last = state.get[0] if state.exists else None
+        now = state.get[0] if state.exists else "none"
         rows = pd.concat(list(batches)).sort_values("seq", kind="stable")
         out = []
-        for seq, now in zip(rows["seq"], rows["state"], strict=True):
-            out.append((key[0], seq, last, now, last is None or (last, now) in legal))
-            last = None if now == ends else now
-        if last is None:
-            if state.exists:
-                state.remove()
-        else:
-            state.update((last,))
+        for seq, action in zip(rows["seq"], rows["action"], strict=True):
+            answer, then = logs.session_step(now, action)
+            out.append((key[0], seq, action, now, answer))
+            now = then
+        if now != "none":
+            state.update((now,))
             _waited(state, idle_ms)
-        yield pd.DataFrame(out, columns=["session_id", "seq", "before", "state", "legal"])
+        yield pd.DataFrame(out, columns=STEPS.fieldNames())
 
-    return steps.groupBy("session_id").applyInPandasWithState(step, STEPS, LAST, "append", _timeout(idle_ms))
+    return actions.groupBy("session_id").applyInPandasWithState(step, STEPS, STATE, "append", _timeout(idle_ms))
 
 
 def publication(path: str, conflicts: str, key: str, content: str, run: str) -> Callable[[DataFrame, int], None]:

@@ -39,3 +39,27 @@ def test_publication_keeps_conflicts(spark, tmp_path):
     published = rows(S.stored(spark, path).fillna("-"), "id", "content")
     assert published == [("1", "x"), ("2", "-"), ("3", "q"), ("4", "w")]
     assert set(rows(S.stored(spark, conflicts).filter("content is not null"), "id", "content")) == {("1", "y"), ("1", "z"), ("2", "n")}
+
+
+def test_session_answers_equal_a_fold(spark):
+    import random
+
+    from assayer.operators import logs
+
+    rng = random.Random(5)
+    names = ["start", "finalize", "finalized", "finalize_failed", "close"]
+    rows = [(s, i, rng.choices(names, [3, 3, 2, 1, 2])[0]) for s in range(120) for i in range(rng.randrange(1, 12))]
+    want = []
+    for s in range(120):
+        state = "none"
+        for _, i, action in [r for r in rows if r[0] == s]:
+            answer, then = logs.session_step(state, action)
+            want.append((s, i, action, state, answer))
+            state = then
+    got = logs.session_answers(spark.createDataFrame(rows, "session_id long, seq long, action string"))
+    assert rows_of(got) == sorted(want)
+    assert {a for *_, a in want} == {"accepted", "nothing", "SESSION_UNKNOWN", "SESSION_BUSY", "SESSION_STATE"}
+
+
+def rows_of(df):
+    return sorted(tuple(r) for r in df.select("session_id", "seq", "action", "state", "answer").collect())
