@@ -139,7 +139,7 @@ def flt15(spark, d):
 @register("flt10_evaluable_profile", "SELECT n_nationkey, r_name, r_name IN ('ASIA', 'EUROPE') AS evaluable FROM nation JOIN region ON n_regionkey = r_regionkey")
 def flt10(spark, d):
     regions = V.table(spark, d, "region").select(F.col("r_regionkey").alias("n_regionkey"), "r_name")
-    return V.table(spark, d, "nation").join(F.broadcast(regions), "n_regionkey").select("n_nationkey", "r_name", F.col("r_name").isin("ASIA", "EUROPE").alias("evaluable"))
+    return V.table(spark, d, "nation").join(regions, "n_regionkey").select("n_nationkey", "r_name", F.col("r_name").isin("ASIA", "EUROPE").alias("evaluable"))
 
 
 @register("flt09_policy_honesty", """SELECT c_custkey, CASE WHEN c_nationkey % 5 = 4 THEN 'unknown_profile' ELSE 'network_not_provided' END AS code FROM customer

@@ -133,3 +133,64 @@ def test_readers_keep_what_does_not_parse(spark, tmp_path):
     rows = artifacts.parsed(artifacts.files(spark, str(tmp_path), "receipt.json"), "receipts").collect()
     assert sorted((r.doc.episode_id or "", r.raw[:6]) for r in rows) == [("", "broken"), ("e", '{"epis')]
     assert sorted(r.path for r in artifacts.tree(spark, str(tmp_path)).collect()) == ["receipt.json", "x/receipt.json"]
+
+
+def test_platforms(spark):
+    cases = {"macOS-aarch64": ("darwin", "arm64"), "Linux-AMD64": ("linux", "x86_64"), "win32-x86_64": ("windows", "x86_64"), "linux-riscv-64": ("linux", "riscv-64"), "Plan9": ("plan9", "unknown"), "": ("", "unknown")}
+    rows = spark.createDataFrame([(k,) for k in cases], "p string").select("p", C.platform(F.col("p")).alias("x")).collect()
+    assert {r.p: (r.x.os, r.x.arch) for r in rows} == cases
+
+
+def test_terminations(spark):
+    rows = spark.createDataFrame([(e, t) for e in (True, False) for t in (True, False)], "e boolean, t boolean").select("e", "t", C.termination(F.col("e"), F.col("t")).alias("x")).collect()
+    assert {(r.e, r.t): r.x for r in rows} == {(True, True): "timed_out", (True, False): "exited", (False, True): "not_executed", (False, False): "not_executed"}
+
+
+def test_claims_are_complete(spark):
+    schema = "id int, claims array<struct<statement:string,citations:array<struct<path:string,start_line:int,end_line:int,quote:string>>>>"
+    good = ("a/b", 2, 3, "q")
+    cases = {
+        "pass": [[("says", [good])], [("says", [good, good]), ("and", [good])]],
+        "fail": [[], None, [("  ", [good])], [("says", [])], [("says", None)], [(None, [good])], [("says", [("", 2, 3, "q")])], [("says", [("a", 0, 3, "q")])], [("says", [("a", 3, 2, "q")])], [("says", [("a", 1, 2, None)])], [("says", [good]), ("and", [])]],
+    }
+    for want, rows in cases.items():
+        got = spark.createDataFrame(list(enumerate(rows)), schema).select("id", claims.complete(F.col("claims")).alias("s")).collect()
+        assert {r.s for r in got} == {want}
+
+
+def test_map_differences_of_absent_keys_and_maps(spark):
+    rows = spark.createDataFrame([({"a": "1", "b": None}, {"a": "2"}), (None, {"c": "3"}), ({"a": "1"}, {"a": "1"}), (None, None)], "l map<string,string>, r map<string,string>")
+    got = [[tuple(d) for d in r.x] for r in rows.select(matrix.map_differences(F.col("l"), F.col("r")).alias("x")).collect()]
+    assert got == [[("a", "1", "2")], [("c", None, "3")], [], []]
+
+
+def test_shared_subject(spark):
+    tasks = spark.createDataFrame([(1, "x"), (2, "x"), (3, "y"), (4, None)], "task_key int, split string")
+    subjects = spark.createDataFrame([("x", "snap-1"), ("z", "snap-2")], "split string, snapshot_id string")
+    got = sorted(tuple(r) for r in closure.with_subject(tasks, subjects, "split").select("task_key", "snapshot_id", "code").collect())
+    assert got == [(1, "snap-1", None), (2, "snap-1", None), (3, None, "SUBJECT_MISSING"), (4, None, "SUBJECT_MISSING")]
+
+
+def test_each_item_fails_alone(spark):
+    from assayer.functions import registry
+
+    def halved(items):
+        return [str(int(x) // 2) for x in items]
+
+    rows = spark.createDataFrame([(1, "4"), (2, "x"), (3, "7")], "k long, item string").coalesce(1)
+    got = sorted(tuple(r) for r in registry.each(rows, "k", "item", halved).collect())
+    assert got == [(1, "2", None), (2, None, "ValueError"), (3, "3", None)]
+
+
+def test_quotes_are_located_word_for_word(spark):
+    texts = [(1, "so he said: the quick brown fox jumps over it, twice"), (1, "the quick brown fox jumps over it"), (2, "the quick brown fox\njumps over it"), (3, "prefixthe quick brown fox jumps overs"), (4, None)]
+    quotes = [(7, "the quick brown fox jumps over"), (8, "quick brown fox"), (9, "")]
+    got = claims.located(spark.createDataFrame(texts, "k long, text string"), spark.createDataFrame(quotes, "item long, quote string"), "k", "item")
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 7), (1, 7), (3, 7)]
+
+
+def test_listed_trees(spark):
+    files = spark.createDataFrame([("a", b"1"), ("b", b"2"), ("l", b"1")], "path string, content binary")
+    listing = spark.createDataFrame([("a", "0644", False), ("l", "0777", True), ("gone", "0644", False), ("dangling", "0777", True)], "path string, mode string, is_link boolean")
+    got = {r.path: (r.mode, r.state) for r in artifacts.listed(files, listing).collect()}
+    assert got == {"a": ("0644", "file"), "b": (None, "unlisted"), "l": ("0777", "link"), "gone": ("0644", "absent"), "dangling": ("0777", "link")}
