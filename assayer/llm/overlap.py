@@ -6,13 +6,16 @@ SimHash with its pivot tables and sketches only propose pairs.
 
 Pairs come in two rounds. The first is linear: SimHash links of the 5-word shingles, and
 in each group that shares a band of the min-hash sketch, the pairs with the group's least
-member. The second looks at the groups whose members are still in several components and
-compares all sketches across components, in parts of GROUP, so a large group of near copies
-is mostly one component before its pairs are looked at. A pair at similarity 0.8 shares
-none of BANDS bands of ROWS minima with a chance of 3 in a million, and less above.
+member. The second looks at the groups whose members are still in several components: those
+outside of a group's most frequent component meet the others, in parts of GROUP members and
+PART_BYTES of sets, and there pairs with like sketches are compared by their sets, best
+first, until a link is found. What leaves a task is a forest of links, so a large group of
+near copies costs what its stray members cost. A pair at similarity 0.8 shares none of
+BANDS bands of ROWS minima with a chance of 3 in a million, and less above.
 
-Equal shingle sets meet once, as one node. Only pairs whose sketches are alike get the sets
-of their shingles; a text is hashed again for that, so sets are never held for all texts.
+Equal shingle sets meet once, as one node. Only nodes of pairs whose sketches are alike and
+of groups that stay open get the sets of their shingles; a text is hashed again for that,
+so sets are never held for all texts.
 
 Defined cases: a null text is the empty text; texts without words are linked to each
 other; texts of fewer than five words have one shingle; a null doc_id belongs to its text's
@@ -40,7 +43,7 @@ LEAST = (4, 5)
 BANDS, ROWS = 24, 4
 #: Pairs whose sketches agree in fewer places are not looked at: five standard errors below 0.8.
 LIKELY = 57
-GROUP = 1024
+GROUP, PART_BYTES = 1024, 16_000_000
 CHUNK_BYTES = 1_000_000
 _RANDOM = np.random.default_rng(SEED)
 FACTORS = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -71,9 +74,9 @@ def sketches(hashes: list[np.ndarray]) -> np.ndarray:
     return out.view(np.int64)
 
 
-def kind_of(hashes: np.ndarray) -> str:
-    """One name for all texts with the same set of shingles."""
-    return xxhash.xxh128_hexdigest(np.unique(hashes).tobytes(), SEED)
+def kind_of(shingle_set: np.ndarray) -> str:
+    """One name for all texts with the same sorted set of shingles."""
+    return xxhash.xxh128_hexdigest(shingle_set.tobytes(), SEED)
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,8 +86,9 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = [shingles(t.as_py()) for t in table.column("text")]
         fps = np.array([simhash.majority(h) for h in hashes], np.uint64).view(np.int64)
         sketch = sketches(hashes)
-        columns = [pa.array([kind_of(h) for h in hashes]), pa.array(fps), *(pa.array(np.ascontiguousarray(sketch[:, i])) for i in range(BANDS))]
-        yield pa.RecordBatch.from_arrays([*(table.column(c).combine_chunks() for c in ("doc_id", "text_key")), *columns], ["doc_id", "text_key", "kind", "fp", *_B])
+        sets = [np.unique(h) for h in hashes]
+        columns = [pa.array([kind_of(h) for h in sets]), pa.array([len(h) for h in sets], pa.int64()), pa.array(fps), *(pa.array(np.ascontiguousarray(sketch[:, i])) for i in range(BANDS))]
+        yield pa.RecordBatch.from_arrays([*(table.column(c).combine_chunks() for c in ("doc_id", "text_key")), *columns], ["doc_id", "text_key", "kind", "size", "fp", *_B])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,40 +125,62 @@ def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Groups to the pairs (a, b) of different components whose sketches are alike."""
+    """Groups to confirmed links (a, b) that connect all components which pairs of their members connect.
+
+    Members outside of the group's major component meet those in it, or, in a group
+    without such, each other.
+    """
     for batch in batches:
         for members in batch.column("members"):
             group = members.values
             node, root = (group.field(c).to_numpy(zero_copy_only=False) for c in ("node", "root"))
-            sketch = _places(group.field("sketch"))
-            a, b = [], []
-            for i in range(len(node) - 1):
-                other = i + 1 + np.flatnonzero(root[i + 1 :] != root[i])
-                found = node[other[(sketch[other] == sketch[i]).sum(1) >= LIKELY]]
-                a.append(np.minimum(found, node[i]))
-                b.append(np.maximum(found, node[i]))
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+            minor = group.field("minor").to_numpy(zero_copy_only=False)
+            sketch, sets = _places(group.field("sketch")), group.field("set")
+            whole = lambda i, sets=sets: np.frombuffer(sets[i].as_buffer(), np.uint64)
+            joined: dict[int, int] = {}
+
+            def find(r: int, joined=joined) -> int:
+                while r in joined:
+                    r = joined[r]
+                return r
+
+            links = []
+            majors = np.flatnonzero(~minor)
+            minors = np.flatnonzero(minor)
+            for k, i in enumerate(minors.tolist()):
+                others = majors if len(majors) else minors[k + 1 :]
+                alike = (sketch[others] == sketch[i]).sum(1)
+                order = np.argsort(-alike, kind="stable")
+                for j in others[order[: int((alike >= LIKELY).sum())]].tolist():
+                    a, b = find(int(root[i])), find(int(root[j]))
+                    if a != b and overlapping(whole(i), whole(j)):
+                        joined[a] = b
+                        links.append(sorted((int(node[i]), int(node[j]))))
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links]), pa.array([y for _, y in links])], ["a", "b"])
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, component_id) of every row."""
     rows = docs.select(docs[key].alias("doc_id"), docs[text].alias("text"), F.xxhash64(docs[text]).alias("text_key"))
     kind = docs.schema[key].dataType.simpleString()
-    prints = settled(rows.mapInArrow(_sketched, f"doc_id {kind}, text_key long, kind string, fp long, {', '.join(f'{b} long' for b in _B)}"))
+    prints = settled(rows.mapInArrow(_sketched, f"doc_id {kind}, text_key long, kind string, size long, fp long, {', '.join(f'{b} long' for b in _B)}"))
     # One node for each set of shingles; numbered once its rows are written, so that the numbers stay.
-    kinds = settled(prints.groupBy("kind").agg(F.min("doc_id").alias("least"), F.min("text_key").alias("text_key"), F.first("fp").alias("fp"), *[F.first(b).alias(b) for b in _B])).withColumn("node", F.monotonically_increasing_id())
+    kinds = settled(prints.groupBy("kind").agg(F.min("doc_id").alias("least"), F.min("text_key").alias("text_key"), F.first("fp").alias("fp"), F.first("size").alias("size"), *[F.first(b).alias(b) for b in _B])).withColumn("node", F.monotonically_increasing_id())
     sketched = kinds.select("node", F.array(*_B).alias("sketch"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        """(node, set); texts that share a key are equal, so one of them stands for its node."""
+        wanted = kinds.join(nodes, "node", "left_semi").select("node", "text_key")
+        texts = rows.select("text_key", "text").join(wanted, "text_key").select("node", "text").mapInArrow(_sets, "node long, set binary")
+        return settled(texts.groupBy("node").agg(F.first("set").alias("set")))
+
     def confirmed(pairs: DataFrame) -> DataFrame:
         pairs = settled(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct())
         side = lambda df, s, what: df.select(F.col("node").alias(s), F.col(what).alias(f"{what}_{s}"))
         pairs = settled(pairs.join(side(sketched, "a", "sketch"), "a").join(side(sketched, "b", "sketch"), "b").select("a", "b", "sketch_a", "sketch_b").mapInArrow(_likely, "a long, b long"))
-        wanted = kinds.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", "text_key")
-        # Texts that share a key are equal, so one of them stands for its node.
-        texts = rows.select("text_key", "text").join(wanted, "text_key").select("node", "text").mapInArrow(_sets, "node long, set binary")
-        sets = settled(texts.groupBy("node").agg(F.first("set").alias("set")))
+        sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
         return settled(pairs.join(side(sets, "a", "set"), "a").join(side(sets, "b", "set"), "b").select("a", "b", "set_a", "set_b").mapInArrow(_confirmed, "a long, b long"))
 
     def rooted(links: DataFrame) -> DataFrame:
@@ -172,13 +198,23 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     pairs = pairs.union(simhash.links(kinds.select("fp").distinct()).join(head("a"), "a").join(head("b"), "b").select("head_a", "head_b"))
     links = confirmed(pairs)
 
-    members = settled(shared.select("key", "node").join(rooted(links).select("node", "root"), "node"))
-    open_groups = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("all")).filter("low < high")
-    parts = open_groups.select("key", F.ceil(F.col("all") / GROUP).cast("int").alias("parts"))
-    dealt = members.join(parts, "key").join(sketched, "node").withColumn("p", F.pmod(F.xxhash64("node"), F.col("parts").cast("long")).cast("int"))
-    dealt = dealt.select("key", "node", "root", "sketch", "p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("q"))
-    groups = dealt.groupBy("key", F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")).agg(F.collect_list(F.struct("node", "root", "sketch")).alias("members"))
-    more = confirmed(groups.select("members").mapInArrow(_across, "a long, b long"))
+    members = shared.select("key", "node").join(rooted(links).select("node", "root"), "node")
+    by_root = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    still_open = by_root.groupBy("key").agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("n", "root"))["root"].alias("major")).filter("roots > 1").select("key", "major")
+    sided = settled(members.join(still_open, "key").join(kinds.select("node", "size"), "node").withColumn("minor", F.col("root") != F.col("major")))
+    # Rows of a group on either side, in parts.
+    share = lambda side: F.greatest(F.ceil(F.count_if(side) / GROUP), F.ceil(F.sum(F.when(side, F.col("size") * 8)) / PART_BYTES)).cast("int")
+    parts = sided.groupBy("key").agg(share(~F.col("minor")).alias("majors"), share(F.col("minor")).alias("minors"))
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("minor"), F.col("minors")).otherwise(F.col("majors")).cast("long")).cast("int")
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    task = lambda kind, p, q: F.struct(F.lit(kind).alias("kind"), p.alias("p"), q.alias("q"))
+    mine = F.col("own")
+    minor_tasks = F.concat(F.transform(every("majors"), lambda p: task("across", p, mine)), F.transform(every("minors"), lambda q: task("among", F.least(q, mine), F.greatest(q, mine))))
+    tasks = F.when(F.col("minor"), minor_tasks).otherwise(F.transform(every("minors"), lambda q: task("across", mine, q)))
+    dealt = sided.join(parts, "key").withColumn("own", own).select("key", "node", "root", "minor", F.explode(tasks).alias("task"))
+    dealt = dealt.join(sketched, "node").join(sets_of(sided.select("node").distinct()), "node")
+    groups = dealt.groupBy("key", "task").agg(F.collect_list(F.struct("node", "root", "minor", "sketch", "set")).alias("members"))
+    more = settled(groups.select("members").mapInArrow(_across, "a long, b long"))
 
     grouped = settled(rooted(links.union(more)).select("kind", "least", "root"))
     named = grouped.join(grouped.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("kind", "component_id")
