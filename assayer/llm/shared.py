@@ -33,13 +33,15 @@ def bound(value: Column, then: Callable[[Column], Column]) -> Column:
 def settled(df: DataFrame) -> DataFrame:
     """df written to the checkpoint folder that the cluster shares, and read back from there.
 
-    The folder comes from the session (spark.checkpoint.dir); only where that is unset,
-    as in tests, a folder under the warehouse serves.
+    The folder comes from the session (spark.checkpoint.dir). Where that is unset, a folder
+    under the warehouse serves a session on one machine, as in tests; a cluster is refused.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir names no folder that the cluster shares")
         sc.setCheckpointDir(shared or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints-{uuid.uuid4().hex}")
     return df.checkpoint(eager=True)
 
