@@ -145,9 +145,14 @@ def log_chances(grams: np.ndarray, trees: list[Level], depth: int = DEPTH) -> np
     return total
 
 
-def top_levels(keys: np.ndarray, n0: np.ndarray, n1: np.ndarray, product: np.ndarray) -> list[Level]:
-    """Levels 0 and 1, from sums by node of level 1: counts, and logs of the products over level 2."""
-    keys, n0, n1, product = _grouped(keys, n0, n1, product)
-    one = Level(keys, n0, n1, product)
-    roots, r0, r1, below = _grouped(parent_keys(keys), n0, n1, one.log_weighted)
-    return [Level(roots, r0, r1, below), one]
+def grouped_by_parent(level: Level) -> list[np.ndarray]:
+    """Sums for the level above, by node: its keys, zeros, ones and the logs of the products over this level."""
+    return _grouped(parent_keys(level.keys), level.n0, level.n1, level.log_weighted)
+
+
+def top_levels(keys: np.ndarray, n0: np.ndarray, n1: np.ndarray, product: np.ndarray, depth: int) -> list[Level]:
+    """Levels 0 to depth, from sums by node of level depth: counts, and logs of the products over the level below."""
+    found = [Level(*_grouped(keys, n0, n1, product))]
+    for _ in range(depth):
+        found.insert(0, Level(*grouped_by_parent(found[0])))
+    return found

@@ -8,12 +8,17 @@ counts tokens over the same rows.
 
 Neither counts nor vocabulary go through one task or the driver. A task reduces a block of
 about BLOCK_BYTES of text to its distinct grams and tokens and sends each shard those that
-the shard owns: grams by the last two bytes of context, so that a shard holds whole
-subtrees of contexts, tokens by a checksum. Shards add up what blocks send. Only the two
-top levels of the trees, at most 65,536 nodes by their keys, are put together on the driver
-and broadcast; then shards answer each block with the chances of its grams and the counts
-of its tokens, and blocks score their documents with the answers. What blocks send is
-written once to the shared checkpoint folder, so a lost executor repeats its own part only.
+the shard owns: grams by the last two bytes of context and three bits of the third, so that
+a frequent pair of bytes lies in several shards and a shard holds whole subtrees of
+contexts; tokens by a checksum. What blocks send to a shard is added up as it streams by,
+first in parts of about PART_BYTES, then the parts' sums. Shards put their trees together
+from level TOP + 1 on; the levels above (one node for each pair of bytes seen and each of
+255 decisions, 16.7 million at most and some 100,000 for text of a few languages) are
+summed by Spark, finished on the driver and broadcast. Then parts of what was sent stream
+by the shard's trees and get the chances of grams and the counts of tokens as answers, and
+blocks score their documents with these. No task holds more than a shard's sums, some
+ANSWER_AT grams of requests, and a block. What blocks send is written once to the shared
+checkpoint folder, so a lost executor repeats its own part only.
 
 Defined cases: a null text is the empty text, whose one token is the end; without training
 rows every byte costs eight bits and the baseline is 0; rows are scored one by one, equal
@@ -26,6 +31,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -42,6 +48,12 @@ FOLDS, HELD_OUT_FOLD = 7, 2
 BLOCK_BYTES = 16_000_000
 STEP_BYTES = 2_000_000
 MERGE_AT = 4_000_000
+#: What a shard is sent is dealt out in parts of about so many bytes.
+PART_BYTES = 64_000_000
+#: So many grams of requests are answered at a time.
+ANSWER_AT = 2_000_000
+#: The deepest level that is put together for all shards.
+TOP = 2
 GRAMS, TOKENS, TEXTS = 0, 1, 2
 #: Token that ends a text; no word holds a line feed.
 END = b"\n"
@@ -54,6 +66,15 @@ def pack(*columns: np.ndarray) -> bytes:
     return np.array([len(first)], np.int64).tobytes() + zstandard.compress(b"".join(planes), 1)
 
 
+def _pack_values(values: np.ndarray) -> bytes:
+    """Doubles, byte planes compressed."""
+    return zstandard.compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), 8).T).tobytes(), 1)
+
+
+def _unpack_values(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1).T).reshape(-1).view(float)
+
+
 def unpack(data: bytes, *kinds: type) -> list[np.ndarray]:
     n = int(np.frombuffer(data[:8], np.int64)[0])
     raw, at, out = zstandard.decompress(data[8:]) if n else b"", 0, []
@@ -82,10 +103,32 @@ def grams_of(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def gram_shard(grams: np.ndarray, shards: int) -> np.ndarray:
-    ends = grams >> np.uint64(8 * (ctw.DEPTH - 1))
+    """By the last two bytes of context and three bits of the third one."""
+    ends = grams >> np.uint64(8 * (ctw.DEPTH - 2))
+    ends &= np.uint64(0xFFFF07)
     return (((ends * np.uint64(2654435761)) >> np.uint64(12)) & np.uint64(0xFFFFF)).astype(np.int64) % shards
 
 
+def by_shard(grams: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(shard, places of its grams in order) for each shard that has some."""
+    owner = gram_shard(grams, shards)
+    order = np.argsort(owner, kind="stable")
+    ends = np.cumsum(np.bincount(owner, minlength=shards))
+    for s, (first, last) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)):
+        if last > first:
+            yield s, order[first:last]
+
+
+def distinct(parts: list[bytes]) -> np.ndarray:
+    """All grams of the texts, each once, in order."""
+    held: list[np.ndarray] = []
+    for a, b in _steps([len(p) for p in parts]):
+        held.append(np.unique(grams_of(parts[a:b])[0]))
+        if sum(map(len, held)) > MERGE_AT:
+            held = [np.unique(np.concatenate(held))]
+    return np.unique(np.concatenate(held))
+
+
 def _steps(sizes: list[int]) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about STEP_BYTES."""
     first, total = 0, 0
@@ -131,15 +174,12 @@ def sent(docs: DataFrame, key: str, text: str, shards: int) -> DataFrame:
                     grams = [_merged(grams)]
             found, n = _merged(grams)
             rows = []
-            owner = gram_shard(found, shards)
-            for s in range(shards):
-                at = np.flatnonzero(owner == s)
-                if len(at):
-                    rows.append((GRAMS, s, pack(found[at], n[at].astype(np.uint32))))
-            by_shard: list[list[bytes]] = [[] for _ in range(shards)]
+            for s, at in by_shard(found, shards):
+                rows.append((GRAMS, s, pack(found[at], n[at].astype(np.int64))))
+            owned: list[list[bytes]] = [[] for _ in range(shards)]
             for t in tokens:
-                by_shard[zlib.crc32(t) % shards].append(t)
-            for s, own in enumerate(by_shard):
+                owned[zlib.crc32(t) % shards].append(t)
+            for s, own in enumerate(owned):
                 if own:
                     rows.append((TOKENS, s, _pack_tokens(own, np.array([tokens[t] for t in own], np.int64))))
             ids = pa.RecordBatch.from_arrays([table.column(c).combine_chunks() for c in ("doc_id", "held_out")], ["doc_id", "held_out"])
@@ -166,38 +206,87 @@ def _unpack_tokens(data: bytes) -> tuple[list[bytes], np.ndarray]:
     return [t or END for t in raw[8 * n :].split(b" ")], np.frombuffer(raw, np.int64, n)
 
 
-def _of_shard(rows: pd.DataFrame) -> tuple[list, tuple[np.ndarray, np.ndarray], list, Counter]:
-    """A shard's requests and sums of grams, then of tokens."""
-    grams = [(b, *unpack(p, np.uint32)) for b, k, p in zip(rows["block"], rows["kind"], rows["payload"], strict=True) if k == GRAMS]
-    sums = ctw.counted(np.concatenate([g for _, g, _ in grams]), np.concatenate([c for _, _, c in grams]).astype(np.int64)) if grams else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    tokens = [(b, *_unpack_tokens(p)) for b, k, p in zip(rows["block"], rows["kind"], rows["payload"], strict=True) if k == TOKENS]
-    total: Counter = Counter()
-    for _, own, n in tokens:
-        for t, c in zip(own, n.tolist(), strict=True):
-            total[t] += c
-    return grams, sums, tokens, total
-
+def _rows(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield tuple(batch.column(c)[i].as_py() for c in columns)
 
-def _trees(sums: tuple[np.ndarray, np.ndarray]) -> list[ctw.Level]:
-    grams, n = sums
-    return ctw.levels(grams[n > 0], n[n > 0], 2)
 
+_SUMS = ["shard", "kind", "payload"]
 
-def _top(rows: pd.DataFrame) -> pd.DataFrame:
-    """Sums for the top levels, by node; under key -1 the tokens and the distinct tokens of training."""
-    _, sums, _, total = _of_shard(rows)
-    two = _trees(sums)[0]
-    keys, n0, n1, product = ctw._grouped(ctw.parent_keys(two.keys), two.n0, two.n1, two.log_weighted)
-    known = [c for c in total.values() if c]
-    return pd.DataFrame({"key": np.append(keys.astype(np.int64), -1), "n0": np.append(n0, sum(known)), "n1": np.append(n1, len(known)), "product": np.append(product, 0.0)})
 
-
-def _answered(rows: pd.DataFrame, top: list[ctw.Level]) -> pd.DataFrame:
-    requests, sums, tokens, total = _of_shard(rows)
-    chances = ctw.log_chances(sums[0], top + _trees(sums)).astype(np.float32) if requests else None
-    out = [(b, GRAMS, pack(g, chances[np.searchsorted(sums[0], g)])) for b, g, _ in requests]
-    out += [(b, TOKENS, _pack_tokens(own, np.array([total[t] for t in own], np.int64))) for b, own, _ in tokens]
-    return pd.DataFrame(out, columns=["block", "kind", "payload"])
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in the order of (shard, part) to the sums of each: (shard, kind, payload) of grams and tokens that training rows have."""
+    for (shard, _), rows in groupby(_rows(batches, "shard", "part", "kind", "payload"), key=lambda r: r[:2]):
+        grams: list[tuple[np.ndarray, np.ndarray]] = []
+        tokens: Counter = Counter()
+        for _, _, kind, payload in rows:
+            if kind == GRAMS:
+                g, n = unpack(payload, np.int64)
+                if n.any():
+                    grams.append((g[n > 0], n[n > 0]))
+                if sum(len(g) for g, _ in grams) > MERGE_AT:
+                    grams = [_merged(grams)]
+            else:
+                own, n = _unpack_tokens(payload)
+                for t, c in zip(own, n.tolist(), strict=True):
+                    if c:
+                        tokens[t] += c
+        if grams:
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([GRAMS], pa.int32()), pa.array([pack(*_merged(grams))], pa.binary())], _SUMS)
+        if tokens:
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([TOKENS], pa.int32()), pa.array([_pack_tokens(list(tokens), np.fromiter(tokens.values(), np.int64, len(tokens)))], pa.binary())], _SUMS)
+
+
+def _trees(payload: bytes | None) -> list[ctw.Level]:
+    grams, n = unpack(payload, np.int64) if payload else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    return ctw.levels(grams, n, TOP + 1)
+
+
+def _top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums for level TOP, by node; under key -1 the tokens and the distinct tokens of training."""
+    for kind, payload in _rows(batches, "kind", "payload"):
+        if kind == GRAMS:
+            keys, n0, n1, product = ctw.grouped_by_parent(_trees(payload)[0])
+        else:
+            n = _unpack_tokens(payload)[1]
+            keys, n0, n1, product = np.array([-1]), np.array([n.sum()], float), np.array([len(n)], float), np.zeros(1)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys.astype(np.int64), n0, n1, product)], ["key", "n0", "n1", "product"])
+
+
+def _answered(batches: Iterator[pa.RecordBatch], top: list[ctw.Level]) -> Iterator[pa.RecordBatch]:
+    """Rows in the order of (shard, part), the shard's sums first, to answers (block, kind, shard, payload)."""
+    names, kinds = ["block", "kind", "shard", "payload"], [pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+    as_batch = lambda *row: pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names)
+    for (shard, _), rows in groupby(_rows(batches, "shard", "part", "request", "kind", "block", "payload"), key=lambda r: r[:2]):
+        sums: bytes | None = None
+        total: dict[bytes, int] = {}
+        trees: list[ctw.Level] | None = None
+        waiting: list[tuple[int, np.ndarray]] = []
+
+        def answers(shard=shard) -> Iterator[pa.RecordBatch]:
+            every = np.unique(np.concatenate([g for _, g in waiting]))
+            chances = ctw.log_chances(every, trees)
+            for block, grams in waiting:
+                yield as_batch(block, GRAMS, shard, _pack_values(chances[np.searchsorted(every, grams)]))
+            waiting.clear()
+
+        for _, _, request, kind, block, payload in rows:
+            if not request and kind == GRAMS:
+                sums = payload
+            elif not request:
+                own, n = _unpack_tokens(payload)
+                total = dict(zip(own, n.tolist(), strict=True))
+            elif kind == GRAMS:
+                trees = trees or top + _trees(sums)
+                waiting.append((block, unpack(payload, np.int64)[0]))
+                if sum(len(g) for _, g in waiting) > ANSWER_AT:
+                    yield from answers()
+            else:
+                own, _ = _unpack_tokens(payload)
+                yield as_batch(block, TOKENS, shard, _pack_tokens(own, np.array([total.get(t, 0) for t in own], np.int64)))
+        if waiting:
+            yield from answers()
 
 
 class Lookup:
@@ -235,33 +324,36 @@ class Lookup:
         return out
 
 
-def _scored(rows: pd.DataFrame, total: int, distinct: int) -> pd.DataFrame:
-    grams = [unpack(p, np.float32) for k, p in zip(rows["kind"], rows["payload"], strict=True) if k == GRAMS]
-    lookup = Lookup(np.concatenate([g for g, _ in grams]), np.concatenate([c for _, c in grams]))
+def _scored(rows: pd.DataFrame, total: int, distinct_tokens: int, shards: int) -> pd.DataFrame:
+    """A block's documents with their scores, from the answers of all shards."""
+    data = rows["payload"][rows["kind"] == TEXTS].iloc[0]
+    n, meta = np.frombuffer(data[:16], np.int64).tolist()
+    sizes = np.frombuffer(data, np.int64, n, 16)
+    ids = pa.ipc.open_stream(data[16 + 8 * n : 16 + 8 * n + meta]).read_all()
+    raw = zstandard.decompress(data[16 + 8 * n + meta :])
+    ends = np.cumsum(sizes)
+    texts = [raw[e - s : e] for e, s in zip(ends.tolist(), sizes.tolist(), strict=True)]
+    grams = distinct(texts)
+    chances = np.zeros(len(grams))
+    answers = {s: p for k, s, p in zip(rows["kind"], rows["shard"], rows["payload"], strict=True) if k == GRAMS}
+    for s, at in by_shard(grams, shards):
+        chances[at] = _unpack_values(answers[s])
+    lookup = Lookup(grams, chances)
     logs: dict[bytes, float] = {}
-    for own, n in (_unpack_tokens(p) for k, p in zip(rows["kind"], rows["payload"], strict=True) if k == TOKENS):
-        logs.update(zip(own, np.log10(n + 1.0).tolist(), strict=True))
-    out = []
-    for data in rows["payload"][rows["kind"] == TEXTS]:
-        n, meta = np.frombuffer(data[:16], np.int64).tolist()
-        sizes = np.frombuffer(data, np.int64, n, 16)
-        ids = pa.ipc.open_stream(data[16 + 8 * n : 16 + 8 * n + meta]).read_all()
-        raw = zstandard.decompress(data[16 + 8 * n + meta :])
-        ends = np.cumsum(sizes)
-        score, base, n_tokens, n_known = np.zeros(n), np.zeros(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
-        for a, b in _steps(sizes.tolist()):
-            parts = [raw[e - s : e] for e, s in zip(ends[a:b].tolist(), sizes[a:b].tolist(), strict=True)]
-            found, starts = grams_of(parts)
-            score[a:b] = np.add.reduceat(lookup(found), starts)
-            for i, part in enumerate(parts, a):
-                words = part.split()
-                own = np.fromiter(map(logs.__getitem__, words), float, len(words))
-                end = logs[END]
-                base[i], n_tokens[i], n_known[i] = own.sum() + end, len(words) + 1, np.count_nonzero(own) + (end > 0)
-        base -= n_tokens * np.log10(total + distinct + 1.0)
-        frame = ids.to_pandas(types_mapper=pd.ArrowDtype)
-        out.append(frame.assign(n_tokens=n_tokens, n_known=n_known, train_tokens=total, base_score=base, score=score / np.log(10), bits_per_byte=-score / np.log(2) / sizes))
-    return pd.concat(out)
+    for own, c in (_unpack_tokens(p) for k, p in zip(rows["kind"], rows["payload"], strict=True) if k == TOKENS):
+        logs.update(zip(own, np.log10(c + 1.0).tolist(), strict=True))
+    score, base, n_tokens, n_known = np.zeros(n), np.zeros(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    for a, b in _steps(sizes.tolist()):
+        found, starts = grams_of(texts[a:b])
+        score[a:b] = np.add.reduceat(lookup(found), starts)
+        for i, part in enumerate(texts[a:b], a):
+            words = part.split()
+            own = np.fromiter(map(logs.__getitem__, words), float, len(words))
+            end = logs[END]
+            base[i], n_tokens[i], n_known[i] = own.sum() + end, len(words) + 1, np.count_nonzero(own) + (end > 0)
+    base -= n_tokens * np.log10(total + distinct_tokens + 1.0)
+    frame = ids.to_pandas(types_mapper=pd.ArrowDtype)
+    return frame.assign(n_tokens=n_tokens, n_known=n_known, train_tokens=total, base_score=base, score=score / np.log(10), bits_per_byte=-score / np.log(2) / sizes)
 
 
 def scores(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -270,18 +362,33 @@ def scores(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     shards = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = settled(sent(docs, key, text, shards))
     asked = rows.filter(F.col("kind") != TEXTS)
-    tops = asked.groupBy("shard").applyInPandas(lambda pdf: _top(pdf), "key long, n0 double, n1 double, product double")
-    # At most 256 contexts of one byte by 255 nodes, and one row of totals.
-    sums = tops.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "product")]).toPandas()
-    totals = sums[sums["key"] == -1]
-    total, distinct = int(totals["n0"].sum()), int(totals["n1"].sum())
-    sums = sums[sums["key"] != -1].sort_values("key")
-    top = spark.sparkContext.broadcast(ctw.top_levels(sums["key"].to_numpy().astype(np.uint64), *(sums[c].to_numpy() for c in ("n0", "n1", "product"))))
-    answers = asked.groupBy("shard").applyInPandas(lambda pdf: _answered(pdf, top.value), "block long, kind int, payload binary")
+    # A row for each shard.
+    parts = asked.groupBy("shard").agg(F.ceil(F.sum(F.octet_length("payload")) / PART_BYTES).cast("int").alias("parts"))
+    dealt = asked.join(F.broadcast(parts), "shard").withColumn("part", F.pmod(F.xxhash64("block"), F.col("parts").cast("long")).cast("int"))
+    schema = "shard int, kind int, payload binary"
+    added = dealt.select("shard", "part", "kind", "payload").repartition("shard", "part").sortWithinPartitions("shard", "part").mapInArrow(_added, schema)
+    sums = settled(added.withColumn("part", F.lit(0)).repartition("shard").sortWithinPartitions("shard").mapInArrow(_added, schema))
+    # At most 2^24 nodes by their keys, and one row of totals.
+    top = sums.mapInArrow(_top, "key long, n0 double, n1 double, product double").groupBy("key").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "product")]).orderBy("key").toArrow()
+    keys, n0, n1, product = (top.column(c).to_numpy() for c in ("key", "n0", "n1", "product"))
+    nodes = keys >= 0
+    total, distinct_tokens = int(n0[~nodes].sum()), int(n1[~nodes].sum())
+    levels = spark.sparkContext.broadcast(ctw.top_levels(keys[nodes].astype(np.uint64), n0[nodes], n1[nodes], product[nodes], TOP))
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _answered(batches, levels.value)
+
+    def score(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _scored(pdf, total, distinct_tokens, shards)
+
+    columns = ["shard", "part", "request", "kind", "block", "payload"]
+    given = sums.join(F.broadcast(parts), "shard").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("request", F.lit(False)).withColumn("block", F.lit(0).cast("long")).select(*columns)
+    requests = dealt.withColumn("request", F.lit(True)).select(*columns)
+    answers = given.union(requests).repartition("shard", "part").sortWithinPartitions("shard", "part", "request").mapInArrow(answer, "block long, kind int, shard int, payload binary")
     kind = docs.schema[key].dataType.simpleString()
-    gathered = answers.union(rows.filter(F.col("kind") == TEXTS).select("block", "kind", "payload"))
-    schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
-    return gathered.groupBy("block").applyInPandas(lambda pdf: _scored(pdf, total, distinct), schema)
+    gathered = answers.union(rows.filter(F.col("kind") == TEXTS).select("block", "kind", "shard", "payload"))
+    out = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
+    return gathered.groupBy("block").applyInPandas(score, out)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
