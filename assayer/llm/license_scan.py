@@ -162,25 +162,27 @@ def occurrences(template: np.ndarray, ids: np.ndarray, hits: list[tuple[int, int
     diagonal = place - own
     wanted = np.bincount(template)
     left = np.ones(len(hits), bool)
+    free = ids.copy()  # without the words of what has been found
     found = []
     for k in range(len(hits)):
-        if not left[k]:
-            continue
         start = int(diagonal[k])
         reach = int(np.searchsorted(place, place[k] + 2 * n, side="right"))
         apart = diagonal[k:reach] - start
-        near = apart[left[k:reach] & (abs(apart) <= n)]
-        low, high = int(near.min()) - edge, int(near.max()) + edge
-        words = ids[max(0, start + low) : start + high + n]
-        # No alignment matches more than the words that both have.
-        common = np.minimum(np.bincount(words[words < len(wanted)], minlength=len(wanted)), wanted)[1:].sum()
-        matches, a, b = aligned(template, ids, start, low, high) if common >= COVERAGE * n else (0, 0, 0)
-        if matches / n >= COVERAGE:
-            found.append((matches, a, b))
-            left[np.searchsorted(place, a) : np.searchsorted(place, b)] = False
-        else:
-            left[k:reach] &= abs(apart) > edge
-        left[k] = False
+        while left[k]:
+            near = apart[left[k:reach] & (abs(apart) <= n)]
+            low, high = int(near.min()) - edge, int(near.max()) + edge
+            words = free[max(0, start + low) : start + high + n]
+            # No alignment matches more than the words that both have.
+            common = np.minimum(np.bincount(words[(words > 0) & (words < len(wanted))], minlength=len(wanted)), wanted).sum()
+            matches, a, b = aligned(template, free, start, low, high) if common >= COVERAGE * n else (0, 0, 0)
+            if matches / n >= COVERAGE:
+                # Another place nearby may be the better one; then this hit is looked at again without it.
+                found.append((matches, a, b))
+                free[a:b] = -1
+                left[np.searchsorted(place, a) : np.searchsorted(place, b)] = False
+            else:
+                left[k:reach] &= abs(apart) > edge
+                left[k] = False
     return found
 
 

@@ -60,6 +60,13 @@ def test_two_licenses_side_by_side_with_insertions():
     assert [f[:2] for f in license_scan.spans(INDEX, " ".join(once * 3))] == [("MIT", 1.0)] * 3
 
 
+def test_every_one_of_adjacent_notices():
+    line = license_scan.TEMPLATES["MIT-notice"]
+    for n in (1, 2, 7, 50):
+        assert len(license_scan.spans(INDEX, f"{line} " * n)) == n
+    assert [f[2] for f in license_scan.spans(INDEX, f"Released under the MIT permit. {line} Released under the MIT permit. {line}")] == [4, 5, 4, 5]
+
+
 def test_short_notices_with_a_changed_word():
     for name, template in license_scan.TEMPLATES.items():
         words = template.split()
