@@ -8,10 +8,11 @@ Pairs come in two rounds. The first is linear: SimHash links of the 5-word shing
 in each group that shares a band of the min-hash sketch, the pairs with the group's least
 member. The second looks at the groups whose members are still in several components: those
 outside of a group's most frequent component meet the others, in parts of GROUP members and
-PART_BYTES of sets, and there pairs with like sketches are compared by their sets, best
-first, until a link is found. What leaves a task is a forest of links, so a large group of
-near copies costs what its stray members cost. A pair at similarity 0.8 shares none of
-BANDS bands of ROWS minima with a chance of 3 in a million, and less above.
+PART_BYTES of sets. Members with a like sketch in another component meet once more, with
+their sets, and there pairs are compared best first until a link is found. What leaves a
+task is a forest of links, so a large group of near copies costs what its stray members
+cost. A pair at similarity 0.8 shares none of BANDS bands of ROWS minima with a chance of 3
+in a million, and less above.
 
 Equal shingle sets meet once, as one node. Only nodes of pairs whose sketches are alike and
 of groups that stay open get the sets of their shingles; a text is hashed again for that,
@@ -124,6 +125,25 @@ def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(alike))
 
 
+def _hopeful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Groups to their members (key, node) that have a like sketch in another component."""
+    for batch in batches:
+        for key, members in zip(batch.column("key"), batch.column("members"), strict=True):
+            group = members.values
+            node, root = (group.field(c).to_numpy(zero_copy_only=False) for c in ("node", "root"))
+            minor = group.field("minor").to_numpy(zero_copy_only=False)
+            sketch = _places(group.field("sketch"))
+            marked = np.zeros(len(node), bool)
+            majors, minors = np.flatnonzero(~minor), np.flatnonzero(minor)
+            for k, i in enumerate(minors.tolist()):
+                others = majors if len(majors) else minors[k + 1 :]
+                alike = ((sketch[others] == sketch[i]).sum(1) >= LIKELY) & (root[others] != root[i])
+                marked[others[alike]] = True
+                marked[i] |= bool(alike.any())
+            found = node[marked]
+            yield pa.RecordBatch.from_arrays([pa.array([key.as_py()] * len(found), pa.int64()), pa.array(found, pa.int64())], ["key", "node"])
+
+
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Groups to confirmed links (a, b) that connect all components which pairs of their members connect.
 
@@ -202,19 +222,25 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     by_root = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
     still_open = by_root.groupBy("key").agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("n", "root"))["root"].alias("major")).filter("roots > 1").select("key", "major")
     sided = settled(members.join(still_open, "key").join(kinds.select("node", "size"), "node").withColumn("minor", F.col("root") != F.col("major")))
-    # Rows of a group on either side, in parts.
-    share = lambda side: F.greatest(F.ceil(F.count_if(side) / GROUP), F.ceil(F.sum(F.when(side, F.col("size") * 8)) / PART_BYTES)).cast("int")
-    parts = sided.groupBy("key").agg(share(~F.col("minor")).alias("majors"), share(F.col("minor")).alias("minors"))
-    own = F.pmod(F.xxhash64("node"), F.when(F.col("minor"), F.col("minors")).otherwise(F.col("majors")).cast("long")).cast("int")
-    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    task = lambda kind, p, q: F.struct(F.lit(kind).alias("kind"), p.alias("p"), q.alias("q"))
-    mine = F.col("own")
-    minor_tasks = F.concat(F.transform(every("majors"), lambda p: task("across", p, mine)), F.transform(every("minors"), lambda q: task("among", F.least(q, mine), F.greatest(q, mine))))
-    tasks = F.when(F.col("minor"), minor_tasks).otherwise(F.transform(every("minors"), lambda q: task("across", mine, q)))
-    dealt = sided.join(parts, "key").withColumn("own", own).select("key", "node", "root", "minor", F.explode(tasks).alias("task"))
-    dealt = dealt.join(sketched, "node").join(sets_of(sided.select("node").distinct()), "node")
-    groups = dealt.groupBy("key", "task").agg(F.collect_list(F.struct("node", "root", "minor", "sketch", "set")).alias("members"))
-    more = settled(groups.select("members").mapInArrow(_across, "a long, b long"))
+
+    def groups(rows: DataFrame, *tables: DataFrame) -> DataFrame:
+        """(key, members): rows (key, node, root, minor, size) of a group that meet in a task, with what the tables have for their nodes."""
+        share = lambda side: F.greatest(F.ceil(F.count_if(side) / GROUP), F.ceil(F.sum(F.when(side, F.col("size") * 8)) / PART_BYTES)).cast("int")
+        parts = rows.groupBy("key").agg(share(~F.col("minor")).alias("majors"), share(F.col("minor")).alias("minors"))
+        own = F.pmod(F.xxhash64("node"), F.when(F.col("minor"), F.col("minors")).otherwise(F.col("majors")).cast("long")).cast("int")
+        every = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
+        task = lambda kind, p, q: F.struct(F.lit(kind).alias("kind"), p.alias("p"), q.alias("q"))
+        mine = F.col("own")
+        minor_tasks = F.concat(F.transform(every("majors"), lambda p: task("across", p, mine)), F.transform(every("minors"), lambda q: task("among", F.least(q, mine), F.greatest(q, mine))))
+        tasks = F.when(F.col("minor"), minor_tasks).otherwise(F.transform(every("minors"), lambda q: task("across", mine, q)))
+        dealt = rows.join(parts, "key").withColumn("own", own).select("key", "node", "root", "minor", F.explode(tasks).alias("task"))
+        for table in tables:
+            dealt = dealt.join(table, "node")
+        return dealt.groupBy("key", "task").agg(F.collect_list(F.struct(*[c for c in dealt.columns if c not in ("key", "task")])).alias("members")).select("key", "members")
+
+    hopeful = settled(groups(sided, sketched).mapInArrow(_hopeful, "key long, node long").distinct())
+    sets = sets_of(hopeful.select("node").distinct())
+    more = settled(groups(settled(sided.join(hopeful, ["key", "node"])), sketched, sets).mapInArrow(_across, "a long, b long"))
 
     grouped = settled(rooted(links.union(more)).select("kind", "least", "root"))
     named = grouped.join(grouped.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("kind", "component_id")
