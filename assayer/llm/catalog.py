@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, html_text, language_model, license_scan, neighbours, sharding, simhash, toxicity, url_filter
+from . import bpe, conversation_repair, decontaminate, html_text, language_model, license_scan, neighbours, sharding, simhash, toxicity, url_filter
 
 QUERIES = {
     "op1_license_scan": license_scan.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_block_rules_html": html_text.query,
     "op9_context_tree_weighting": language_model.query,
     "op10_url_language_ratio": url_filter.query,
+    "op11_conversation_repair": conversation_repair.query,
 }
 
 ORACLES = {
