@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, conversation_repair, decontaminate, exact_repeats, html_text, language_model, license_scan, neighbours, sharding, simhash, toxicity, url_filter
+from . import bpe, conversation_repair, decontaminate, exact_repeats, html_text, language_model, license_scan, neighbours, periodic_runs, sharding, simhash, toxicity, url_filter
 
 QUERIES = {
     "op1_license_scan": license_scan.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_context_tree_weighting": language_model.query,
     "op10_url_language_ratio": url_filter.query,
     "op11_conversation_repair": conversation_repair.query,
+    "op12_periodic_runs": periodic_runs.query,
     "op13_suffix_array_dedup": exact_repeats.query,
 }
 
