@@ -29,6 +29,7 @@ doc_id is the empty string.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -221,7 +222,7 @@ def with_runs(docs: DataFrame, text: str = "text") -> DataFrame:
             split = [(t or "").encode().split() for t in table.column(text).to_pylist()]
             sizes = np.array([len(w) for w in split], np.int64)
             numbers = Words()
-            words = np.fromiter((numbers[w] for ws in split for w in ws), np.int64, int(sizes.sum()))
+            words = np.fromiter(map(numbers.__getitem__, chain.from_iterable(split)), np.int64, int(sizes.sum()))
             starts = np.cumsum(sizes) - sizes
             of = np.repeat(np.arange(len(split)), sizes)
             found = runs_of(words, of)
