@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import globs
+
 # Names of platforms and architectures, and what they stand for.
 OS_ALIASES = {"linux": "linux", "darwin": "darwin", "macos": "darwin", "win32": "windows", "windows": "windows"}
 ARCH_ALIASES = {"x86_64": "x86_64", "amd64": "x86_64", "aarch64": "arm64", "arm64": "arm64"}
 # Kinds of content-derived ids.
-ID_KINDS = ("snap", "rew", "task", "trace", "finding", "patch", "episode", "env", "bundle", "cmd")
+ID_KINDS = ("env", "bundle", "snap", "task", "rew", "episode", "trace", "patch", "finding", "sem", "scen", "replay")
 PSEUDO_SIGNALS = ("native", "oracle")
 
 
@@ -54,39 +54,22 @@ def safe_path(path: Column) -> Column:
     return F.when(~bad, F.array_join(parts, "/"))
 
 
-def glob_regex(glob: str) -> str:
-    """The regular expression of a shell pattern over whole paths; `*` crosses slashes."""
-    out, i = [], 0
-    while i < len(glob):
-        c = glob[i]
-        i += 1
-        if c == "*":
-            out.append(".*")
-        elif c == "?":
-            out.append(".")
-        elif c == "[" and (end := glob.find("]", i + 1)) > 0:
-            body = glob[i:end].replace("\\", "\\\\")
-            out.append(f"[{'^' + body[1:] if body[0] == '!' else body}]")
-            i = end + 1
-        else:
-            out.append(re.escape(c))
-    return "(?s)^" + "".join(out) + r"\z"
-
-
-def matches_any(path: Column, globs: list[str]) -> Column:
+def matches_any(path: Column, patterns: list[str]) -> Column:
+    """Whether some shell pattern matches the whole path."""
     found = F.lit(False)
-    for glob in globs:
-        found = found | path.rlike(glob_regex(glob))
+    for pattern in patterns:
+        found = found | path.rlike(globs.regex(pattern))
     return found
 
 
-def writable(path: Column, patterns: Column) -> Column:
-    """Whether some pattern is the root, a `dir/` that holds the path, or a glob that matches it.
-
-    Globs come from a column here, so `*` and `?` are translated by Spark.
-    """
-    quoted = lambda p: F.regexp_replace(F.regexp_replace(F.regexp_replace(p, r"([.+^$(){}|\\])", r"\\$1"), r"\*", ".*"), r"\?", ".")
-    return F.exists(patterns, lambda p: p.isin(".", "./") | (p.endswith("/") & F.startswith(path, p)) | F.rlike(path, F.concat(F.lit("(?s)^"), quoted(p), F.lit(r"\z"))))
+def writable(path: Column, patterns: list[str]) -> Column:
+    """Whether some pattern is the root, a `dir/` that holds the path, or a glob that matches it; fingerprint.uncovered has patterns from a table."""
+    if {".", "./"} & set(patterns):
+        return F.lit(True)
+    found = matches_any(path, patterns)
+    for folder in [p for p in patterns if p.endswith("/")]:
+        found = found | path.startswith(folder)
+    return found
 
 
 def signal_id(value: Column) -> Column:
@@ -98,8 +81,8 @@ def candidate_key(value: Column) -> Column:
 
 
 def command(argv: Column) -> Column:
-    """Absolute paths among the words of a command to their last part."""
-    return F.transform(argv, lambda t: F.when(t.startswith("/"), F.regexp_extract(t, "([^/]*)/*$", 1)).otherwise(t))
+    """Absolute paths among the words of a command to what follows their last slash, which may be nothing."""
+    return F.transform(argv, lambda t: F.when(t.startswith("/"), F.regexp_extract(t, "(?s)([^/]*)\\z", 1)).otherwise(t))
 
 
 def command_id(tool: Column, args: Column, cwd: Column) -> Column:
@@ -160,9 +143,14 @@ def strict_utf8(content: Column) -> Column:
 
 
 def first_prose(text: Column, limit: int = 96) -> Column:
-    """The first line that is no heading, markup, quote, rule, table or `Key:` label."""
-    plain = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.rlike(r"^([#<>|`\[!*=\-]|[A-Za-z ]{1,24}:)"))
-    return F.substring(F.get(plain, F.lit(0)), 1, limit)
+    """The first line that says something, emphasis, code marks and quote marks taken out; empty where there is none.
+
+    Headings, markup, rules, images, tables and `Label:` lines (a capital letter and up to 18
+    more) say nothing.
+    """
+    line = lambda x: F.regexp_replace(F.regexp_replace(x, "[*_`>]", ""), r"^[\s\x{FEFF}\x{A0}]+|[\s\x{FEFF}\x{A0}]+$", "")
+    says = F.filter(F.transform(F.split(text, "\n"), line), lambda x: (x != "") & ~x.rlike(r"^(#|<|---|!|\||[A-Z][\w ]{0,18}:)"))
+    return F.substring(F.coalesce(F.get(says, F.lit(0)), F.lit("")), 1, limit)
 
 
 def gate_verdict(code: Column) -> Column:
@@ -174,9 +162,5 @@ def gate_allows(governed: Column, enforcing: Column, code: Column) -> Column:
     return F.when(~governed, ~enforcing).otherwise(code == 0)
 
 
-def evidence_digest(signal: Column, state: Column, detail: Column) -> Column:
-    return digest(canonical_json(F.struct(detail.alias("detail"), F.lit("v1").alias("evidence_version"), signal.alias("signal"), state.alias("state"))))
-
-
 def differs(a: Column, b: Column) -> Column:
     return ~a.eqNullSafe(b)

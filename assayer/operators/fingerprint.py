@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayer.functions import columns as C
+from assayer.functions import globs
 
 from .matrix import placed
 
@@ -13,17 +14,6 @@ from .matrix import placed
 NODE = 10_000
 
 
-def rolled_up(files: DataFrame, keys: list[str], kind: str, fields: list[str]) -> DataFrame:
-    """(keys, id): one id for each set of files, whatever the order of their rows.
-
-    Fields of the files are hashed in the order of the first one. A set's hashes meet in
-    one row, as the id is one hash over all of them. A row holds 2 GB at most, with some
-    150 bytes an entry thus 10 million files; tree_rolled_up has no such bound.
-    """
-    listed = F.array_sort(F.collect_list(F.struct(*fields)))
-    return files.groupBy(*keys).agg(C.content_id(kind, F.to_json(listed)).alias("id"))
-
-
 def tree_rolled_up(files: DataFrame, keys: list[str], kind: str, fields: list[str], node: int = NODE) -> DataFrame:
     """(keys, id, n): one id for each set of files of any size, whatever the order of their rows.
 
@@ -62,9 +52,30 @@ def changes(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
     return seen.select(*keys, F.coalesce(F.try_element_at(known, F.col("outcome")), F.col("outcome")).alias("change"))
 
 
+def uncovered(paths: DataFrame, policies: DataFrame, keys: list[str], path: str = "path", patterns: str = "writable") -> DataFrame:
+    """Rows of paths that no pattern (array `patterns` of the policy of their keys) covers: the root, a `dir/` that holds the path, or a glob that matches it.
+
+    Patterns are met by an equi-join: each has a folder that all its paths lie in, and a path
+    lies in as many folders as it has slashes. Only those that meet are compared, without a
+    regular expression where a pattern is a folder or a plain path, else in Arrow batches that
+    compile each pattern once. Paths without a policy are not covered.
+    """
+    each = policies.select(*keys, F.explode(patterns).alias("_pattern")).distinct()
+    # A `dir/` is taken by the letter, whatever stands in it; as a glob it has a folder of its own.
+    as_folder = F.when(F.col("_pattern").isin(".", "./"), "").when(F.col("_pattern").endswith("/"), F.col("_pattern"))
+    rules = each.select(*keys, "_pattern", as_folder.alias("_folder"), F.lit(True).alias("_all")).filter("_folder is not null").union(each.select(*keys, "_pattern", globs.fixed_folder(F.col("_pattern")), F.lit(False)))
+    places = paths.select(*keys, F.col(path).alias("_path")).distinct().select(*keys, "_path", F.explode(globs.folders(F.col("_path"))).alias("_folder"))
+    met = places.join(rules, [*keys, "_folder"])
+    plain = ~F.col("_pattern").rlike(r"[*?\[]")
+    sure = met.filter(F.col("_all") | (plain & (F.col("_path") == F.col("_pattern"))))
+    open_ = met.filter(~F.col("_all") & ~plain).filter(globs.matches("_path", "_pattern"))
+    covered = sure.select(*keys, "_path").union(open_.select(*keys, "_path")).distinct().withColumnRenamed("_path", path)
+    return paths.join(covered, [*keys, path], "left_anti").select(*paths.columns)
+
+
 def escapes(changed: DataFrame, policies: DataFrame, keys: list[str]) -> DataFrame:
-    """Changed paths that no writable pattern (array `writable` of a policy) covers."""
-    return changed.join(policies, keys).filter(~C.writable(F.col("path"), F.col("writable"))).select(*changed.columns)
+    """Changed paths that no writable pattern (array `writable` of a policy) covers; what has no policy at all is left out."""
+    return uncovered(changed.join(policies.select(*keys).distinct(), keys, "left_semi"), policies, keys)
 
 
 def identity_verdicts(subjects: DataFrame, pins: DataFrame, after: DataFrame, key: str) -> DataFrame:
@@ -86,16 +97,23 @@ def pinned(pins: DataFrame, after: DataFrame, key: str) -> DataFrame:
     return pins.join(after, [key, "path"], "left").select(key, "path", state.alias("state"))
 
 
-def map_digest(rows: DataFrame, key: str, path: str, value: str) -> DataFrame:
-    """(key, digest) of the canonical map path -> value; the digest of an empty map where there are no paths."""
-    entries = F.array_sort(F.collect_list(F.when(F.col(path).isNotNull(), F.struct(F.col(path).alias("k"), F.col(value).alias("v")))))
-    quoted = F.transform(entries, lambda e: F.concat(F.to_json(F.array(e["k"])), F.lit(":"), F.to_json(F.array(e["v"]))))
-    plain = F.transform(quoted, lambda q: F.regexp_replace(q, r'^\["(.*?)"\]:\["(.*)"\]$', '"$1":"$2"'))
-    return rows.groupBy(key).agg(C.digest(F.concat(F.lit("{"), F.array_join(plain, ","), F.lit("}"))).alias("digest"))
-
-
 def appended(known: DataFrame, new: DataFrame, key: str, content: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(to add, reused, in conflict): new rows by whether their id is known with the same content."""
-    fresh = new.join(known.select(key), key, "left_anti")
-    both = new.alias("n").join(known.select(F.col(key), F.col(content).alias("_known")), key)
-    return fresh, both.filter(F.col(content).eqNullSafe(F.col("_known"))).select(*new.columns), both.filter(C.differs(F.col(content), F.col("_known"))).select(*new.columns)
+    """(to add, reused, in conflict): new rows by what stands under their id.
+
+    An id holds what is known under it, else the least content of its new rows (null before
+    all others). One row of it is added; others with that content are reused, and those with
+    another one are conflicts.
+    """
+    own = F.struct(F.col(content).isNotNull().alias("there"), F.col(content).alias("value"))
+    held = known.groupBy(key).agg(F.min(own).alias("_known"))
+    # New rows that are equal in id and content count together, so a frequent one is one row.
+    least = new.groupBy(key).agg(F.min(own).alias("_least")).join(held, key, "left")
+    numbered = new.groupBy(*new.columns).agg(F.count(F.lit(1)).alias("_n")).join(least, key)
+    same = own == F.coalesce("_known", "_least")
+    firsts = numbered.filter(F.col("_known").isNull() & same).groupBy(key).agg(F.min(F.struct(*new.columns)).alias("_row"))
+    added = firsts.select("_row.*").select(*new.columns)
+    rest = numbered.join(firsts.select(F.col(key), F.struct(*[F.col("_row")[c].alias(c) for c in new.columns]).alias("_row")), key, "left")
+    spare = F.col("_n") - F.coalesce(F.struct(*new.columns).eqNullSafe(F.col("_row")).cast("int"), F.lit(0))
+    again = rest.filter(same).withColumn("_", F.explode(F.when(spare > 0, F.sequence(F.lit(1), spare.cast("int"))).otherwise(F.array().cast("array<int>")))).select(*new.columns)
+    other = numbered.filter(~same).withColumn("_", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).select(*new.columns)
+    return added, again, other

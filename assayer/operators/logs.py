@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The state that an accepted action leads to from each state of a session.
 ACCEPTED = {
@@ -21,12 +24,46 @@ def session_step(state: str, action: str) -> tuple[str, str]:
     return "SESSION_BUSY" if action == "close" else "SESSION_STATE", state
 
 
-def where(field: Column, test: str | None = None, value: str | None = None) -> Column:
-    """A filter term: truthy, equal or unequal as strings; a missing field is unequal to everything."""
-    if test is None:
-        return F.coalesce(~field.cast("string").isin("", "0", "false", "NaN"), F.lit(False))
-    equal = field.cast("string").eqNullSafe(F.lit(value))
-    return equal if test == "=" else ~equal
+def script_string(value: Column, kind: T.DataType) -> Column:
+    """A value as a script writes it: whole doubles without a point, a missing value as `undefined`."""
+    text = value.cast("string")
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        # Digits are the shortest that tell the value; only their layout differs.
+        size = F.abs(value)
+        plain = F.regexp_replace(F.regexp_replace(text.try_cast("decimal(38,18)").cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
+        power = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"\.0E", "E"), r"E(\d)", "E+$1"), "E", "e")
+        whole = F.regexp_replace(value.try_cast("decimal(38,0)").cast("string"), "^-0$", "0")
+        text = F.when(F.isnan(value) | (size == float("inf")), text).when(value == F.floor(value), F.when(size < 1e21, whole).otherwise(power)).when(size >= 1e-6, plain).otherwise(power)
+    elif isinstance(kind, T.DecimalType):
+        text = F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    return F.coalesce(text, F.lit("undefined"))
+
+
+def truthy(value: Column, kind: T.DataType) -> Column:
+    """Numbers but zero and NaN, strings but the empty one, true, and whatever else is there."""
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        test = (value != 0) & ~F.isnan(value)
+    elif isinstance(kind, T.NumericType):
+        test = value != 0
+    elif isinstance(kind, T.StringType):
+        test = value != ""
+    else:
+        test = value if isinstance(kind, T.BooleanType) else value.isNotNull()
+    return F.coalesce(test, F.lit(False))
+
+
+def where(rows: DataFrame, *tests: str) -> DataFrame:
+    """Rows that pass all tests: `field` (is truthy), `field=value` or `field!=value` (as strings); a field that is not there is undefined."""
+    for test in tests:
+        field, unequal, value = re.fullmatch(r"(?s)([\w.]+)(!?)=(.*)", test).groups() if re.match(r"[\w.]+!?=", test) else (test, "", None)
+        kind = rows.schema[field].dataType if field in rows.columns else T.StringType()
+        column = rows[f"`{field}`"] if field in rows.columns else F.lit(None).cast("string")
+        if value is None:
+            rows = rows.filter(truthy(column, kind))
+        else:
+            equal = script_string(column, kind) == value
+            rows = rows.filter(~equal if unequal else equal)
+    return rows
 
 
 def gate_counts(decisions: DataFrame, *keys: str) -> DataFrame:
@@ -38,11 +75,20 @@ def routes_by_tier(routes: DataFrame) -> DataFrame:
     return routes.groupBy(tier.alias("tier")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce("cost", F.lit(0))).alias("cost"))
 
 
-def result_tally(lines: DataFrame, name: str, line: str) -> DataFrame:
-    """PASS, FAIL and SKIP lines of each log."""
+def result_tally(lines: DataFrame, name: str, line: str, codes: DataFrame | None = None) -> DataFrame:
+    """(name, pass, fail, skip) of each log; with exit codes (name, code) also `crashed`.
+
+    A run that ends with a code other than 0 and has no FAIL line broke before its tests or
+    between them. A log without result lines, or without lines at all but with a code, counts.
+    """
     mark = F.regexp_extract(line, r"^(PASS|FAIL|SKIP)\b", 1)
     n = lambda m: F.count_if(mark == m).alias(m.lower())
-    return lines.groupBy(name).agg(n("PASS"), n("FAIL"), n("SKIP"))
+    tally = lines.groupBy(name).agg(n("PASS"), n("FAIL"), n("SKIP"))
+    if codes is None:
+        return tally
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("pass", "fail", "skip")]
+    joined = tally.join(codes.select(name, "code"), name, "full").select(name, *counts, F.coalesce("code", F.lit(0)).alias("code"))
+    return joined.select(name, "pass", "fail", "skip", ((F.col("code") != 0) & (F.col("fail") == 0)).alias("crashed"))
 
 
 def illegal_transitions(states: DataFrame, session: str, seq: str, state: str, legal: set[tuple[str, str]]) -> DataFrame:

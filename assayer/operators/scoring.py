@@ -61,3 +61,23 @@ def totals(receipts: DataFrame, *keys: str) -> DataFrame:
         F.count(F.lit(1)).alias("tasks"), count("ok"), count("invalid"), count("error"), scored,
         F.coalesce(F.sum("reward"), F.lit(0)).alias("reward_sum"), F.avg("reward").alias("reward_mean"),
     )
+
+
+def persistence(requested: Column, evaluated: Column, artifacts: Column, written: Column) -> Column:
+    """Struct (persistence, reason) of an episode: what became of the evidence that the caller asked to keep.
+
+    It says nothing about the score: without an episode there is nothing to keep
+    (unavailable), an episode without artifacts or one whose artifacts could not be written
+    is an error of persistence, whatever its status.
+    """
+    outcome = lambda state, reason: F.struct(F.lit(state).alias("persistence"), F.lit(reason).cast("string").alias("reason"))
+    return (
+        F.when(~requested, outcome("not_requested", None)).when(~evaluated, outcome("unavailable", "no_episode")).when(~artifacts, outcome("error", "no_artifacts"))
+        .when(~written, outcome("error", "write_failed")).otherwise(outcome("closed", None))
+    )
+
+
+def run_grade(episodes: DataFrame, *keys: str) -> DataFrame:
+    """(keys, grade) of (keys, status, persistence): 2 if evidence was not kept, else 1 unless all are ok, else 0."""
+    grade = F.when(F.bool_or(F.col("persistence") == "error"), 2).when(F.bool_or(F.col("status") != "ok"), 1).otherwise(0)
+    return episodes.groupBy(*keys).agg(grade.alias("grade"))

@@ -11,13 +11,15 @@ from . import views as V
 from .catalog import register
 from .views import sql
 
+# The next user's film, or for some users their own again.
 _NEXT = """SELECT coalesce(l.world_key, r.world_key) AS world_key, coalesce(l.t, r.t) AS t, coalesce(l.film = r.film, false) AS same FROM (SELECT * FROM films WHERE world_key % 2 = 0) l
-FULL JOIN (SELECT world_key - 1 AS world_key, t, film FROM films WHERE world_key % 2 = 1) r ON l.world_key = r.world_key AND l.t = r.t"""
+FULL JOIN (SELECT world_key - 1 AS world_key, t, film FROM films WHERE world_key % 2 = 1 AND world_key % 10 <> 1 UNION ALL SELECT * FROM films WHERE world_key % 10 = 0) r ON l.world_key = r.world_key AND l.t = r.t"""
 
 
 def _both(spark, d):
-    rows = V.films(spark, d)
-    return rows.filter("world_key % 2 = 0"), rows.filter("world_key % 2 = 1").withColumn("world_key", F.col("world_key") - 1)
+    rows, key = V.films(spark, d), F.col("world_key")
+    other = rows.filter((key % 2 == 1) & (key % 10 != 1)).withColumn("world_key", key - 1).union(rows.filter(key % 10 == 0))
+    return rows.filter(key % 2 == 0), other
 
 
 @register("jn15_film_diff", sql(_NEXT, "films"))
@@ -60,10 +62,14 @@ def agg24(spark, d):
     return logs.routes_by_tier(rows)
 
 
-@register("agg25_result_tally", "SELECT event_type AS log, count(*) FILTER (event_id % 3 = 0) AS pass, count(*) FILTER (event_id % 3 = 1) AS fail, count(*) FILTER (event_id % 3 = 2 AND event_id % 2 = 0) AS skip FROM events GROUP BY 1")
+@register("agg25_result_tally", """SELECT 'u' || user_id AS log, count(*) FILTER (event_id % 3 = 0) AS pass, count(*) FILTER (event_id % 3 = 1 AND user_id % 4 <> 0) AS fail, count(*) FILTER (event_id % 3 = 2 AND event_id % 2 = 0) AS skip,
+user_id % 3 <> 0 AND count(*) FILTER (event_id % 3 = 1 AND user_id % 4 <> 0) = 0 AS crashed FROM events GROUP BY user_id UNION ALL SELECT 'r' || r_regionkey, 0, 0, 0, r_regionkey > 1 FROM region""")
 def agg25(spark, d):
-    line = F.concat(F.expr("CASE event_id % 3 WHEN 0 THEN 'PASS' WHEN 1 THEN 'FAIL' ELSE CASE event_id % 2 WHEN 0 THEN 'SKIP' ELSE 'SKIPPED' END END"), F.lit(" test_"), "event_id")
-    return logs.result_tally(V.table(spark, d, "events").select(F.col("event_type").alias("log"), line.alias("line")), "log", "line")
+    """A log of each user's events, and logs without lines; some runs ended with an error code."""
+    line = F.concat(F.expr("CASE event_id % 3 WHEN 0 THEN 'PASS' WHEN 1 THEN CASE WHEN user_id % 4 <> 0 THEN 'FAIL' ELSE ' FAIL' END ELSE CASE event_id % 2 WHEN 0 THEN 'SKIP' ELSE 'SKIPPED' END END"), F.lit(" test_"), "event_id")
+    rows = V.table(spark, d, "events")
+    codes = rows.select(F.concat(F.lit("u"), "user_id").alias("log"), (F.col("user_id") % 3).alias("code")).distinct().union(V.table(spark, d, "region").select(F.concat(F.lit("r"), "r_regionkey"), F.when(F.col("r_regionkey") > 1, 1).otherwise(0)))
+    return logs.result_tally(rows.select(F.concat(F.lit("u"), "user_id").alias("log"), line.alias("line")), "log", "line", codes)
 
 
 @register("agg26_count", "SELECT count(*) AS n FROM events")
@@ -71,10 +77,17 @@ def agg26(spark, d):
     return V.table(spark, d, "events").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("flt03_where", "SELECT event_id FROM events WHERE event_type = 'click' AND (props->>'$.k') IS DISTINCT FROM '1' AND value <> 0")
+@register("flt03_where", "SELECT event_id FROM events WHERE event_type = 'click' AND (props->>'$.k') IS DISTINCT FROM '1' AND value <> 0 AND floor(value) <> 20")
 def flt03(spark, d):
-    rows = V.table(spark, d, "events").withColumn("k", F.get_json_object("props", "$.k"))
-    return rows.filter(logs.where(F.col("event_type"), "=", "click") & logs.where(F.col("k"), "!=", "1") & logs.where(F.col("value") != 0)).select("event_id")
+    rows = V.table(spark, d, "events").withColumn("k", F.get_json_object("props", "$.k")).withColumn("whole", F.floor("value").cast("double"))
+    return logs.where(rows, "event_type=click", "k!=1", "value", "whole!=20", "none!=20", "none=undefined").select("event_id")
+
+
+@register("flt03_where_truthy", "SELECT event_id, 'k' AS field FROM events WHERE (props->>'$.k') <> '' UNION ALL SELECT event_id, 'zero' FROM events WHERE event_id % 3 <> 0 UNION ALL SELECT event_id, 'part' FROM events WHERE event_id % 8 = 1")
+def flt03_truthy(spark, d):
+    """Strings such as 0 are true, doubles of zero are not, and doubles are compared as they are written."""
+    rows = V.table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"), (F.col("event_id") % 3).cast("double").alias("zero"), ((F.col("event_id") % 8) / 8).alias("part"))
+    return logs.where(rows, "k").select("event_id", F.lit("k").alias("field")).union(logs.where(rows, "zero").select("event_id", F.lit("zero"))).union(logs.where(rows, "part=0.125").select("event_id", F.lit("part")))
 
 
 @register("prj05_field_map", "SELECT event_id, props->>'$.k' AS k FROM events")
@@ -133,12 +146,12 @@ def win06(spark, d):
     return logs.retries(V.session_calls(spark, d)).select("session_id", "seq", "answer")
 
 
-@register("win07_cheapest_tier", """SELECT user_id AS request, CASE WHEN NOT refused THEN tier END AS tier, refused FROM (SELECT user_id, event_type AS tier, event_id AS ord, CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'purchase' THEN 5 ELSE 3 END AS cost,
-value > 20 AS hit, event_type = 'purchase' AND value < 5 AS refused FROM events) WHERE hit OR refused QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY cost, ord) = 1""")
+@register("win07_cheapest_tier", """SELECT request, CASE WHEN NOT refused THEN tier END AS tier, refused FROM (SELECT event_id // 4 AS request, event_type AS tier, event_id AS ord, CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'purchase' THEN 5 ELSE 3 END AS cost,
+value > 20 AS hit, event_type = 'purchase' AND value < 5 AS refused FROM events) WHERE hit OR refused QUALIFY row_number() OVER (PARTITION BY request ORDER BY cost, ord) = 1""")
 def win07(spark, d):
     e = V.table(spark, d, "events")
     cost = F.when(F.col("event_type") == "view", 1).when(F.col("event_type") == "click", 2).when(F.col("event_type") == "purchase", 5).otherwise(3)
-    offers = e.select(F.col("user_id").alias("request"), F.col("event_type").alias("tier"), F.col("event_id").alias("ord"), cost.alias("cost"), (F.col("value") > 20).alias("hit"), ((F.col("event_type") == "purchase") & (F.col("value") < 5)).alias("refused"))
+    offers = e.select(F.expr("event_id div 4").alias("request"), F.col("event_type").alias("tier"), F.col("event_id").alias("ord"), cost.alias("cost"), (F.col("value") > 20).alias("hit"), ((F.col("event_type") == "purchase") & (F.col("value") < 5)).alias("refused"))
     return logs.cheapest(offers, "request")
 
 

@@ -60,12 +60,9 @@ def jn13(spark, d):
     return matrix.same_task(orders.select(F.col("episode_key").alias("left_key"), (F.col("episode_key") + 1).alias("right_key")), orders)
 
 
-@register("jn14_receipt_diff", sql("""SELECT l.task_key, l.candidate_key AS left_key, r.candidate_key AS right_key, coalesce(a.field, b.field) AS field, coalesce(a.key, b.key) AS key, a.value AS "left", b.value AS "right"
-FROM newest_orders l JOIN newest_orders r ON l.task_key = r.task_key AND l.candidate_key < r.candidate_key
-JOIN LATERAL (SELECT unnest(['outputs', 'verification', 'verification_evidence', 'verifier_versions', 'execution_facts']) AS field) f ON true
-JOIN LATERAL (SELECT unnest(['finding', 'patch', 's1', 's2', 's3', 's4', 's5', 's6', 's7', 'os', 'arch', 'termination']) AS key) k ON true
-LEFT JOIN facts a ON a.episode_key = l.episode_key AND a.field = f.field AND a.key = k.key LEFT JOIN facts b ON b.episode_key = r.episode_key AND b.field = f.field AND b.key = k.key
-WHERE a.value IS DISTINCT FROM b.value""", "newest_orders", "facts"))
+@register("jn14_receipt_diff", sql("""SELECT task_key, left_key, right_key, field, key, a.value AS "left", b.value AS "right"
+FROM (SELECT p.task_key, p.left_key, p.right_key, f.field, f.key, f.value FROM pairs p JOIN facts f ON f.episode_key = p.l) a FULL JOIN (SELECT p.task_key, p.left_key, p.right_key, f.field, f.key, f.value FROM pairs p JOIN facts f ON f.episode_key = p.r) b
+USING (task_key, left_key, right_key, field, key) WHERE a.value IS DISTINCT FROM b.value""", "pairs", "facts"))
 def jn14(spark, d):
     fields = ("outputs", "verification", "verification_evidence", "verifier_versions", "execution_facts")
     cells = V.newest_orders(spark, d).join(V.records(spark, d), "episode_key", "left")
@@ -125,14 +122,19 @@ def srt03(spark, d):
     return V.cells(spark, d).filter("reward is not null").select("task_key", "candidate_key", "reward").orderBy(F.desc("reward"), "task_key", "candidate_key").limit(20)
 
 
-@register("flt06_candidate_key", "SELECT doc_id, regexp_full_match(source || '-' || lang, '[A-Za-z0-9][A-Za-z0-9_.-]{0,63}') AND NOT contains(source || '-' || lang, '--') AS valid FROM documents")
+@register("flt06_candidate_key", "SELECT doc_id, doc_id % 4 = 3 AND regexp_full_match(source || '-' || lang, '[A-Za-z0-9][A-Za-z0-9_.-]{0,63}') AS valid FROM documents")
 def flt06(spark, d):
-    return V.table(spark, d, "documents").select("doc_id", C.candidate_key(F.concat_ws("-", "source", "lang")).alias("valid"))
+    key = F.concat_ws("-", "source", "lang")
+    key = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("-"), key)).when(F.col("doc_id") % 4 == 1, F.concat(key, F.lit("--x"))).when(F.col("doc_id") % 4 == 2, F.concat(key, F.repeat(F.lit("x"), 64))).otherwise(key)
+    return V.table(spark, d, "documents").select("doc_id", C.candidate_key(key).alias("valid"))
 
 
-@register("flt05_signal_id", "SELECT event_id, regexp_full_match(event_type || event_id, '[a-z][a-z0-9_]{0,63}') AS valid FROM events")
+@register("flt05_signal_id", "SELECT event_id, event_id % 5 = 4 AS valid FROM events")
 def flt05(spark, d):
-    return V.table(spark, d, "events").select("event_id", C.signal_id(F.concat("event_type", "event_id")).alias("valid"))
+    name = F.concat("event_type", "event_id")
+    turn = F.col("event_id") % 5
+    name = F.when(turn == 0, F.upper(name)).when(turn == 1, F.concat(F.lit("_"), name)).when(turn == 2, F.concat(name, F.lit("\n"))).when(turn == 3, F.concat(name, F.repeat(F.lit("x"), 64))).otherwise(name)
+    return V.table(spark, d, "events").select("event_id", C.signal_id(name).alias("valid"))
 
 
 @register("jn25_shared_subject", """SELECT c_custkey AS task_key, c_nationkey AS split, CASE WHEN n_regionkey <> 4 THEN 'snap-' || sha256('{"name":"' || n_name || '","region":' || n_regionkey || '}') END AS snapshot_id,

@@ -47,19 +47,21 @@ def udf04(spark, d):
     return V.table(spark, d, "documents").select("doc_id", identity.lowered(F.col("text"), by_length).alias("id"))
 
 
-@register("udf05_per_item", """SELECT page_id, CASE WHEN url LIKE '%?%' THEN NULL ELSE regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) || ' ' || (len(string_split(url, '/')) - 3) END AS output,
-CASE WHEN url LIKE '%?%' THEN 'ValueError' END AS error FROM pages WHERE url LIKE '%://%'""")
+@register("udf05_per_item", """SELECT page_id, CASE WHEN url LIKE '%?%' OR url IS NULL OR url NOT LIKE '%://%' THEN NULL ELSE regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) || ' ' || (len(string_split(url, '/')) - 3) END AS output,
+CASE WHEN url LIKE '%?%' OR url IS NULL OR url NOT LIKE '%://%' THEN 'ValueError' END AS error FROM pages""")
 def udf05(spark, d):
     def described(urls: list[str]) -> list[str]:
-        """Host and number of path parts; a URL with a query is refused."""
+        """Host and number of path parts; a URL with a query, and what is no URL, is refused."""
         from urllib.parse import urlsplit
 
+        if any(u is None or "://" not in u for u in urls):
+            raise ValueError("no URL")
         parts = [urlsplit(u) for u in urls]
         if any(p.query or u.endswith("?") for p, u in zip(parts, urls, strict=True)):
             raise ValueError("a query")
         return [f"{p.netloc} {u.count('/') - 2}" for p, u in zip(parts, urls, strict=True)]
 
-    return each(V.table(spark, d, "pages").filter("url like '%://%'"), "page_id", "url", described)
+    return each(V.table(spark, d, "pages"), "page_id", "url", described)
 
 
 @register("sca01_open_json", """SELECT event_id, '{"a":[1,2],"k":' || coalesce('"' || (props->>'$.k') || '"', 'null') || '}' AS canonical FROM events""")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from assayer.functions import columns as C
+from assayer.functions import identity
 from assayer.operators import scoring
 
 from . import views as V
@@ -127,17 +128,27 @@ def sca13(spark, d):
     return V.episodes(spark, d).select("episode_key", (F.size(F.filter(F.map_values("verification"), lambda s: s == "error")) > 0).alias("tampered"))
 
 
-@register("sca17_evidence_digest", sql("""SELECT episode_key, signal, 'sha256:' || sha256('{"detail":"' || episode_key || '","evidence_version":"v1","signal":"' || signal || '","state":"' || state || '"}') AS digest FROM signal_states""", "signal_states"))
+@register("sca17_evidence_digest", sql("""SELECT episode_key, signal, 'sha256:' || sha256('{"detail":' || CASE WHEN episode_key % 3 = 0 THEN '{}' ELSE '{"codes":[0,1.5,null],"key":' || episode_key || ',"é":{"a":1,"b":"x"}}' END || ',"evidence_version":"v1","signal":"' || signal || '","state":"' || state || '"}') AS digest FROM signal_states""", "signal_states"))
 def sca17(spark, d):
-    return V.signal_states(spark, d).select("episode_key", "signal", C.evidence_digest(F.col("signal"), F.col("state"), F.col("episode_key").cast("string")).alias("digest"))
+    detail = F.when(F.col("episode_key") % 3 != 0, F.concat(F.lit('{"é": {"b": "x", "a": 1}, "key": '), F.col("episode_key").cast("string"), F.lit(', "codes": [0, 1.50, null]}')))
+    return V.signal_states(spark, d).select("episode_key", "signal", identity.evidence_digest(F.col("signal"), F.col("state"), detail, "v1").alias("digest"))
 
 
-@register("agg22_run_grade", sql("SELECT task_key % 8 AS split, CASE WHEN bool_or(status = 'error') THEN 2 WHEN bool_or(status <> 'ok') THEN 1 ELSE 0 END AS grade FROM cells GROUP BY 1", "cells"))
+# What an evaluation asked to keep and what became of it, beside what it scored.
+_KEPT = """SELECT *, CASE WHEN episode_key % 13 = 0 THEN 'not_requested' WHEN status = 'error' THEN 'unavailable' WHEN episode_key % 17 = 0 OR episode_key % 19 = 0 THEN 'error' ELSE 'closed' END AS persistence,
+CASE WHEN episode_key % 13 = 0 THEN NULL WHEN status = 'error' THEN 'no_episode' WHEN episode_key % 17 = 0 THEN 'no_artifacts' WHEN episode_key % 19 = 0 THEN 'write_failed' END AS reason FROM cells"""
+
+
+def _kept(spark, d):
+    key = F.col("episode_key")
+    return V.cells(spark, d).withColumn("_kept", scoring.persistence(key % 13 != 0, F.col("status") != "error", key % 17 != 0, key % 19 != 0)).select("*", "_kept.*").drop("_kept")
+
+
+@register("agg22_run_grade", sql(f"SELECT task_key AS split, CASE WHEN bool_or(persistence = 'error') THEN 2 WHEN bool_or(status <> 'ok') THEN 1 ELSE 0 END AS grade FROM ({_KEPT}) GROUP BY 1", "cells"))
 def agg22(spark, d):
-    return V.cells(spark, d).groupBy((F.col("task_key") % 8).alias("split")).agg(F.when(F.bool_or(F.col("status") == "error"), 2).when(F.bool_or(F.col("status") != "ok"), 1).otherwise(0).alias("grade"))
+    return scoring.run_grade(_kept(spark, d).withColumnRenamed("task_key", "split"), "split")
 
 
-@register("agg29_persistence_states", sql("""SELECT candidate_key, CASE WHEN episode_key % 13 = 0 THEN 'not_requested' WHEN status = 'error' THEN 'error' WHEN status = 'invalid' THEN 'unavailable' ELSE 'closed' END AS persistence, count(*) AS n FROM cells GROUP BY ALL""", "cells"))
+@register("agg29_persistence_states", sql(f"SELECT candidate_key, persistence, reason, count(*) AS n FROM ({_KEPT}) GROUP BY ALL", "cells"))
 def agg29(spark, d):
-    state = F.when(F.col("episode_key") % 13 == 0, "not_requested").when(F.col("status") == "error", "error").when(F.col("status") == "invalid", "unavailable").otherwise("closed")
-    return V.cells(spark, d).groupBy("candidate_key", state.alias("persistence")).agg(F.count(F.lit(1)).alias("n"))
+    return _kept(spark, d).groupBy("candidate_key", "persistence", "reason").agg(F.count(F.lit(1)).alias("n"))

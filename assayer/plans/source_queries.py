@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from assayer.functions import columns as C
+from assayer.functions import identity
 from assayer.functions.folders import shared_folder
 from assayer.operators import logs
 from assayer.sources import artifacts, sinks
@@ -97,25 +98,40 @@ def src12(spark, d):
     return artifacts.parsed(docs, "decisions").select(F.col("doc.at").alias("at_"), "doc.label", "doc.allowed")
 
 
-@register("sca18_finding_normalise", "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 0 ELSE 1 END AS claims, CASE WHEN event_id % 4 IN (0, 1) THEN 0 ELSE 1 END AS citations FROM events")
+@register("sca18_finding_normalise", """SELECT event_id, 1 AS claims, CASE event_id % 7 WHEN 0 THEN '' WHEN 1 THEN 's' WHEN 2 THEN '' WHEN 3 THEN NULL WHEN 4 THEN 's' WHEN 5 THEN '' ELSE '' END AS statement, CASE event_id % 7 WHEN 3 THEN 1 WHEN 4 THEN 2 ELSE 0 END AS citations FROM events""")
 def sca18(spark, d):
-    raw = F.expr("""CASE event_id % 4 WHEN 0 THEN 'no json' WHEN 1 THEN '{"statement":"s","citations":"none"}' ELSE '{"statement":"s","citations":[{"path":"a","start_line":1,"end_line":2,"quote":"q"}]}' END""")
+    """No JSON, citations that are no list, no finding, a summary that is no string, a citation that is no object, a list, a scalar."""
+    cited = '{"path":"a","start_line":1,"end_line":2,"quote":"q"}'
+    bodies = ["no json", '{"finding":{"summary":"s","citations":"none"}}', '{"patch":""}', f'{{"finding":{{"summary":7,"citations":[{cited}]}}}}', f'{{"finding":{{"summary":"s","citations":[{cited},3]}}}}', f"[{cited}]", '{"finding":"text"}']
+    raw = F.element_at(F.array(*map(F.lit, bodies)), (F.col("event_id") % 7 + 1).cast("int"))
     rows = V.table(spark, d, "events").select("event_id", artifacts.finding(raw).alias("claims"))
-    return rows.select("event_id", F.size("claims").alias("claims"), F.coalesce(F.aggregate("claims", F.lit(0), lambda n, c: n + F.size(c["citations"])), F.lit(0)).alias("citations"))
+    return rows.select("event_id", F.size("claims").alias("claims"), F.get("claims", F.lit(0))["statement"].alias("statement"), F.size(F.get("claims", F.lit(0))["citations"]).alias("citations"))
 
 
-@register("sca19_submission_trace", """SELECT event_id, 'trace-' || sha256('{"finding":"' || sha256(event_type) || '","patch":"' || sha256('') || '"}') AS id FROM events""")
+_NO_MAP, _NO_LIST, _NO_BYTES = "'sha256:' || sha256('{}')", "'sha256:' || sha256('[]')", "'sha256:' || sha256('')"
+
+
+@register("sca19_submission_trace", f"""SELECT event_id, 'trace-' || sha256('{{"events":[{{"command":[],"cwd":".","environment_keys":[],"exit_code":null,"file_modes_changed_digest":"' || {_NO_MAP} || '","files_created_digest":"' || {_NO_MAP} || '","files_deleted_digest":"' || {_NO_MAP} || '","files_modified_digest":"' || {_NO_MAP}
+|| '","policy_violations_digest":"' || {_NO_LIST} || '","result_file_digest":"sha256:' || sha256(CASE event_id % 3 WHEN 0 THEN '{{"citations":[],"summary":"' || event_type || '"}}' ELSE '{{}}' END) || '","stderr_digest":"' || {_NO_BYTES} || '","stdout_digest":"' || {_NO_BYTES} || '"}}],"trace_version":"v1"}}') AS id FROM events""")
 def sca19(spark, d):
-    sha = lambda c: F.sha2(c.cast("binary"), 256)
-    trace = C.canonical_json(F.struct(sha(F.col("event_type")).alias("finding"), sha(F.lit("")).alias("patch")))
+    """Submissions with a finding, a null one, and none; the patch is no part of the trace."""
+    finding = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('"finding": {"summary": "'), "event_type", F.lit('", "citations": []}, '))).when(F.col("event_id") % 3 == 1, '"finding": null, ').otherwise("")
+    body = F.concat(F.lit("{"), finding, F.lit('"patch": "p'), F.col("event_id").cast("string"), F.lit('"}'))
+    trace = identity.submission_trace(body, "v1")
     return V.table(spark, d, "events").select("event_id", C.content_id("trace", trace).alias("id"))
 
 
-@register("prj03_trace_projection", """SELECT o_orderkey, '[{"cwd":"."' || CASE WHEN o_orderkey % 2 = 0 THEN ',"exit_code":' || o_custkey ELSE '' END || '}]' AS events FROM orders""")
+@register("prj03_trace_projection", """SELECT o_orderkey, '{"events":[{' || CASE WHEN o_orderkey % 2 = 0 THEN '"command":["a","b"],' ELSE '' END || '"cwd":"."' || CASE WHEN o_orderkey % 2 = 0 THEN ',"environment_keys":[]' ELSE '' END || CASE o_orderkey % 3 WHEN 0 THEN '' WHEN 1 THEN ',"exit_code":null' ELSE ',"exit_code":' || o_custkey END
+|| CASE WHEN o_orderkey % 2 = 0 THEN ',"file_modes_changed_digest":"m","files_created_digest":"c","files_deleted_digest":"d","files_modified_digest":"f","policy_violations_digest":"p","result_file_digest":"r","stderr_digest":"e","stdout_digest":"o"' ELSE '' END
+|| '}' || CASE WHEN o_orderkey % 5 = 0 THEN ',{}' ELSE '' END || '],"trace_version":' || CASE WHEN o_orderkey % 7 = 0 THEN 'null' ELSE '"t1"' END || '}' AS covered FROM orders""")
 def prj03(spark, d):
-    event = F.struct(F.lit(".").alias("cwd"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_custkey")).alias("exit_code"), F.lit("secret").alias("note"))
-    kept = F.transform(F.array(event), lambda e: F.struct(e["cwd"].alias("cwd"), e["exit_code"].alias("exit_code")))
-    return V.table(spark, d, "orders").select("o_orderkey", F.to_json(kept).alias("events"))
+    """Events with all twelve keys or few, a null exit code or none, and what an id does not cover."""
+    k = F.col("o_orderkey")
+    code = F.when(k % 3 == 0, "").when(k % 3 == 1, '"exit_code": null, ').otherwise(F.concat(F.lit('"exit_code": '), F.col("o_custkey").cast("string"), F.lit(", ")))
+    rest = ', "stdout_digest": "o", "stderr_digest": "e", "result_file_digest": "r", "policy_violations_digest": "p", "files_modified_digest": "f", "files_deleted_digest": "d", "files_created_digest": "c", "file_modes_changed_digest": "m", "environment_keys": [], "command": ["a", "b"]'
+    event = F.concat(F.lit('{"started_at": 5, '), code, F.lit('"cwd": "."'), F.when(k % 2 == 0, rest).otherwise(""), F.lit("}"), F.when(k % 5 == 0, ', {"host": "h"}').otherwise(""))
+    raw = F.concat(F.lit('{"trace_id": "x", "events": ['), event, F.lit("]"), F.when(k % 7 == 0, "").otherwise(', "trace_version": "t1"'), F.lit("}"))
+    return V.table(spark, d, "orders").select("o_orderkey", identity.covered_text("trace", raw).alias("covered"))
 
 
 @register("prj06_subject_projection", """SELECT c_custkey, '{"snapshot_id":"s' || c_nationkey || '"}' AS subject FROM customer""")

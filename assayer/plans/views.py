@@ -161,6 +161,8 @@ _SQL = {
   UNION ALL SELECT episode_key, 'verifier_versions', signal, signal || '@' || episode_key % 2 FROM verification JOIN orders ON o_orderkey = episode_key WHERE state <> 'error'"""),
     "newest_orders": ((), """SELECT o_custkey AS task_key, concat('c', o_orderpriority[1]) AS candidate_key, o_orderkey AS episode_key FROM orders
   QUALIFY row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate DESC, o_orderkey DESC) = 1"""),
+    "pairs": (("newest_orders",), """SELECT l.task_key, l.candidate_key AS left_key, r.candidate_key AS right_key, l.episode_key AS l, r.episode_key AS r
+  FROM newest_orders l JOIN newest_orders r ON l.task_key = r.task_key AND l.candidate_key < r.candidate_key"""),
     "cells": (("newest_orders", "receipts"), "SELECT task_key, candidate_key, episode_key, coalesce(status, 'error') AS status, reward FROM newest_orders LEFT JOIN receipts USING (episode_key)"),
     "files": ((), "SELECT source AS snapshot, concat(lang, '/', doc_id, '.txt') AS path, coalesce(text, '') AS text, doc_id FROM documents"),
     "drifted": (("files",), """SELECT snapshot, path, CASE WHEN doc_id % 23 = 0 THEN text || '!' ELSE text END AS text, doc_id FROM files WHERE doc_id % 17 <> 0

@@ -99,8 +99,20 @@ def film_epochs(documents: DataFrame) -> DataFrame:
 
 
 def finding(result: Column) -> Column:
-    """Claims of an agent's result; a malformed one has none, and citations that are no list are empty."""
-    doc = F.from_json(result, "statement string, citations array<struct<path:string,start_line:int,end_line:int,quote:string>>")
-    none = F.array().cast("array<struct<statement:string,citations:array<struct<path:string,start_line:int,end_line:int,quote:string>>>>")
-    claim = F.struct(doc["statement"].alias("statement"), F.coalesce(doc["citations"], F.array().cast("array<struct<path:string,start_line:int,end_line:int,quote:string>>")).alias("citations"))
-    return F.when(doc["statement"].isNull(), none).otherwise(F.array(claim))
+    """The claims of an agent's result (`finding` with `summary` and `citations`): always one.
+
+    What is malformed or missing leaves the claim empty, so that it fails and does not
+    vanish: no result or no finding gives the empty statement; a summary that is no string
+    is null; citations that are no list are an empty one; one that is no object, and a field
+    of another type, is null.
+    """
+    one = "struct<path:string,start_line:int,end_line:int,quote:string>"
+    doc = F.try_parse_json(result)
+    part = lambda path: F.try_variant_get(doc, path, "variant")
+    kind = lambda v: F.coalesce(F.schema_of_variant(v), F.lit(""))
+    summary, cited = part("$.finding.summary"), part("$.finding.citations")
+    said = F.when(kind(summary) == "STRING", F.try_variant_get(doc, "$.finding.summary", "string")).when(summary.isNull(), "")
+    field = lambda x, name, of, to: F.when(kind(F.try_variant_get(x, f"$.{name}", "variant")).rlike(of), F.try_variant_get(x, f"$.{name}", to)).alias(name)
+    citation = lambda x: F.when(kind(x).startswith("OBJECT"), F.struct(field(x, "path", "STRING", "string"), field(x, "start_line", "INT", "int"), field(x, "end_line", "INT", "int"), field(x, "quote", "STRING", "string")))
+    listed = F.coalesce(F.transform(F.try_variant_get(doc, "$.finding.citations", "array<variant>"), citation), F.array().cast(f"array<{one}>"))
+    return F.array(F.struct(said.alias("statement"), listed.alias("citations")))
