@@ -33,7 +33,7 @@ def script_string(value: Column, kind: T.DataType) -> Column:
         plain = F.regexp_replace(F.regexp_replace(text.try_cast("decimal(38,18)").cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
         power = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"\.0E", "E"), r"E(\d)", "E+$1"), "E", "e")
         whole = F.regexp_replace(value.try_cast("decimal(38,0)").cast("string"), "^-0$", "0")
-        text = F.when(F.isnan(value) | (size == float("inf")), text).when(value == F.floor(value), F.when(size < 1e21, whole).otherwise(power)).when(size >= 1e-6, plain).otherwise(power)
+        text = F.when(F.isnan(value) | (size == float("inf")), text).when(value == F.rint(value), F.when(size < 1e21, whole).otherwise(power)).when(size >= 1e-6, plain).otherwise(power)
     elif isinstance(kind, T.DecimalType):
         text = F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", "")
     return F.coalesce(text, F.lit("undefined"))
