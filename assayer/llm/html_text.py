@@ -1,11 +1,13 @@
 """Main text of web pages by two passes of block rules.
 
 A page is cut into blocks at its block-level tags. The first pass decides each block by
-the density of stop words, its length and the density of links. What encloses a block
-(menus, headers, footers, sidebars, notices, adverts, forms, reader comments; or an
-article) is one feature more: it settles what density leaves open and turns away prose of
-notices and comments, which has the density of an article; a block of an article that
-density turns away is open. In the second pass open blocks inherit the label of the
+the density of stop words, its length and the density of links. What encloses a block is
+one feature more. Elements that never hold an article (menus, headers, footers, asides,
+forms, hidden ones) turn it away, and so do those whose name says nothing but advert, notice
+or reader comment, as their prose has the density of an article. All other names (side,
+legal, search, share ...) turn away only what density does not find good, and only where
+nothing good stands in the same wrapper: a wrapper with an odd name around an article is no
+sidebar. A block of an article that density turns away is open. In the second pass open blocks inherit the label of the
 nearest decided neighbours, those of the same article or main element before others; a
 heading inherits from what follows it.
 
@@ -55,6 +57,10 @@ BOILER_NAME = regex.compile(
     r"breadcrumbs?|masthead|header|footer|foot|copyright|legal|share|sharing|social|related|recommend\w*|comments?|respond|replies|reply|disqus|login|signup|search|pagination|pager|toolbar|skip)(?:$|[\s_\d-])",
     regex.I,
 )
+# Names of what holds prose that is not the article's, and words that say nothing beside them.
+OWN_PROSE = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent notice notices alert popup modal overlay newsletter subscribe subscription comment comments respond response replies reply disqus sidebar".split())
+PLAIN_PARTS = frozenset("list area section box wrapper wrap container thread bar item items inner outer text body block form content message row col column slot unit top bottom left right js the".split())
+PARTS = regex.compile(r"[_\-\d]+|(?<=[a-z])(?=[A-Z])")
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 TOKEN = regex.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -80,6 +86,7 @@ MANY_STOPS, SOME_STOPS = 0.2, 0.08
 MANY_LINKS, SOME_LINKS = 0.5, 0.25
 
 GOOD, BAD, OPEN = 1, -1, 0
+SURE, HINT = 2, 1
 
 
 @dataclass
@@ -87,25 +94,41 @@ class Block:
     parts: list[str] = field(default_factory=list)
     linked: int = 0
     boiler: bool = False
+    #: The innermost wrapper whose name hints at boilerplate, 0 for none.
+    hint: int = 0
     main: int = 0
     heading: bool = False
     text: str = ""
     label: int = OPEN
 
 
-def _is_boiler(tag: str, attrs: str, in_main: bool) -> bool:
+def _own_prose(value: str) -> bool:
+    """Whether a name of a class or id says advert, notice or comment, and nothing else."""
+    for name in value.split():
+        parts = {p.lower() for p in PARTS.split(name) if p}
+        if parts & OWN_PROSE and parts <= OWN_PROSE | PLAIN_PARTS:
+            return True
+    return False
+
+
+def _boiler(tag: str, attrs: str, in_main: bool) -> int:
+    """SURE for elements that hold no article, HINT for those that a name speaks against, else 0."""
     if tag in BOILER_TAGS and not (in_main and tag == "header"):
-        return True
+        return SURE
     if tag in ("html", "body") or not attrs:
-        return False
+        return 0
+    hint = 0
     for name, *values in NAMES.findall(attrs):
         value = next((v for v in values if v), "")
         name = name.lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value.lower() in BOILER_ROLES):
-            return True
-        if name in ("class", "id") and BOILER_NAME.search(value) and not MAIN_NAME.search(value):
-            return True
-    return False
+            return SURE
+        if name in ("class", "id") and not MAIN_NAME.search(value):
+            if _own_prose(value):
+                return SURE
+            if BOILER_NAME.search(value):
+                hint = HINT
+    return hint
 
 
 def _is_main(tag: str, attrs: str) -> bool:
@@ -120,9 +143,9 @@ def _is_main(tag: str, attrs: str) -> bool:
 def blocks_of(page: str) -> list[Block]:
     """The blocks with text, in page order."""
     found: list[Block] = []
-    stack: list[tuple[str, bool, int]] = []  # tag, boilerplate, number of the main element around
+    stack: list[tuple[str, bool, int, int]] = []  # tag, whether it is sure boilerplate, the hint and the main element around
     opened: Counter[str] = Counter()  # of each tag on the stack
-    boilers, main, mains, links = 0, 0, 0, 0
+    boilers, hint, hints, main, mains, links = 0, 0, 0, 0, 0, 0
     now = Block()
 
     def cut() -> None:
@@ -131,16 +154,24 @@ def blocks_of(page: str) -> list[Block]:
         if text:
             now.text = text
             found.append(now)
-        now = Block(boiler=boilers > 0, main=main)
+        now = Block(boiler=boilers > 0, hint=hint, main=main)
 
     def leave(at: int) -> None:
-        nonlocal boilers, main
-        for name, boiler, outer in reversed(stack[at:]):
+        nonlocal boilers, hint, main
+        for name, sure, hint, main in reversed(stack[at:]):  # noqa: B007
             opened[name] -= 1
-            boilers -= boiler
-            main = outer
+            boilers -= sure
         del stack[at:]
 
+    def enter(tag: str, kind: int) -> None:
+        nonlocal boilers, hint, hints
+        stack.append((tag, kind == SURE, hint, main))
+        opened[tag] += 1
+        boilers += kind == SURE
+        if kind == HINT:
+            hints += 1
+            hint = hints
+
     in_head = False
     for m in TOKEN.finditer(page):
         tag = m["tag"]
@@ -159,12 +190,10 @@ def blocks_of(page: str) -> list[Block]:
         if tag in INLINE:
             if tag == "a":
                 links = 0 if m["close"] else 1
-            if not m["close"] and m["attrs"] and tag == "span" and _is_boiler("span", m["attrs"], main > 0):
+            if not m["close"] and m["attrs"] and tag == "span" and (kind := _boiler("span", m["attrs"], main > 0)):
                 cut()
-                stack.append((tag, True, main))
-                opened[tag] += 1
-                boilers += 1
-                now.boiler = True
+                enter(tag, kind)
+                now.boiler, now.hint = boilers > 0, hint
             elif m["close"] and tag == "span" and stack and stack[-1][0] == "span":
                 leave(len(stack) - 1)
                 cut()
@@ -179,19 +208,23 @@ def blocks_of(page: str) -> list[Block]:
             if opened[tag] > 0:
                 leave(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag))
         elif tag not in VOID and not m["attrs"].endswith("/") and tag not in LOOSE:
-            boiler = _is_boiler(tag, m["attrs"], main > 0)
-            stack.append((tag, boiler, main))
-            opened[tag] += 1
-            boilers += boiler
-            if not boiler and _is_main(tag, m["attrs"]):
+            kind = _boiler(tag, m["attrs"], main > 0)
+            enter(tag, kind)
+            if not kind and _is_main(tag, m["attrs"]):
                 mains += 1
                 main = mains
         cut()
         now.heading = tag in HEADINGS and not m["close"]
         links = 0
-        if not m["close"] and tag in ("p", "li", "td", "th", "dt", "dd") and m["attrs"] and _is_boiler(tag, m["attrs"], True):
-            now.boiler = True
+        if not m["close"] and tag in ("p", "li", "td", "th", "dt", "dd") and m["attrs"] and (kind := _boiler(tag, m["attrs"], True)):
+            now.boiler |= kind == SURE
+            if kind == HINT:
+                hints += 1
+                now.hint = hints
     cut()
+    good = {b.hint for b in found if b.hint and not b.boiler and density(b) == GOOD}
+    for b in found:
+        b.boiler |= b.hint > 0 and b.hint not in good
     return found
 
 
@@ -212,7 +245,7 @@ def density(block: Block) -> int:
 
 
 def first_pass(block: Block) -> int:
-    """By density; names decide what it leaves open, turn away prose that they speak against, and reopen what they speak for."""
+    """By density, but for what boilerplate encloses; what an article encloses is open where density turns it away."""
     label = density(block)
     if block.boiler:
         return BAD

@@ -38,6 +38,32 @@ def test_names_that_speak_for_and_against():
     assert html_text.main_text(f'<article><p>{PROSE}</p></article><div class="comments"><p>{PROSE}</p></div>') == PROSE.strip()
 
 
+def test_odd_names_around_an_article():
+    for wrapper in ('div id="side-effects"', 'div class="legal-analysis"', 'section class="search"', 'div class="recommendations-story"', 'div class="social policy"', 'table class="header"', 'div class="related share"', 'div id="foot"'):
+        tag = wrapper.split()[0]
+        cell = ("<tr><td>", "</td></tr>") if tag == "table" else ("", "")
+        inside = f"<{wrapper}>{cell[0]}<h2>A title</h2><p>{PROSE}</p><p>Short end.</p><p>{PROSE}</p>{cell[1]}</{tag}>"
+        want = f"A title {PROSE}Short end. {PROSE}".strip()
+        assert html_text.main_text(f"<body>{inside}</body>") == want, wrapper
+        assert html_text.main_text(f"<body><article>{inside}</article></body>") == want, wrapper
+
+
+#: Pages as sites have them, each with its text marked by hand.
+MARKED = [
+    ('<div class="page"><div class="header-top"><a href=/>Home</a> <a href=/n>News</a></div><div class="article-body"><h1>T</h1><p>{P}</p></div><div class="sidebar-right"><p>{P}</p></div><div class="footer-legal">© 2020 All rights.</div></div>', "T {P}"),
+    ('<body><div class="cookie-consent-banner"><p>{P}</p></div><div id="searchResults"><p>{P}</p></div><ul class="share-bar"><li>Tweet</li><li>Mail</li></ul></body>', "{P}"),
+    ('<body><section id="comments-policy-review"><h2>Policy</h2><p>{P}</p></section><section id="comments"><p>{P}</p></section><div class="comment-list"><p>{P}</p></div></body>', "Policy {P}"),
+    ('<body><div class="social"><a href=x>Like</a> us</div><main><p>{P}</p><div class="promo-box"><p>{P}</p></div><p>{P}</p><p class="legal">Terms apply.</p></main></body>', "{P} {P}"),
+    ('<body><div class="adBox2"><p>{P}</p></div><p>{P}</p><aside class="story"><p>{P}</p></aside><span class="newsletter">{P}</span></body>', "{P}"),
+    ('<body><div class="related-work"><h3>Related work</h3><p>{P}</p><ul><li>{P}</li></ul></div><div class="related-posts"><a href=1>One</a><a href=2>Two</a></div></body>', "Related work {P} {P}"),
+]
+
+
+def test_pages_marked_by_hand():
+    for page, want in MARKED:
+        assert html_text.main_text(page.replace("{P}", PROSE)) == want.replace("{P}", PROSE.strip()), page
+
+
 def test_stray_end_tags_take_linear_time():
     took = []
     for n in (4000, 16000):
@@ -87,7 +113,7 @@ class Twin(HTMLParser):
             self.cut()
             if tag in ("article", "main", "div", "section", "nav", "aside", "footer", "header", "form", "script", "style"):
                 names = " ".join(v or "" for k, v in attrs if k in ("class", "id"))
-                bad = tag in ("nav", "aside", "footer", "form", "script", "style") or html_text.BOILER_NAME.search(names) is not None
+                bad = tag in ("nav", "aside", "footer", "form", "script", "style") or names in ("ad", "sidebar", "comments", "cookie-banner", "related")
                 self.stack.append((tag, bad))
 
     def handle_endtag(self, tag):
