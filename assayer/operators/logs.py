@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from assayer.functions.folders import settled
+
+from . import ranges
+
 #: The state that an accepted action leads to from each state of a session.
 ACCEPTED = {
     ("none", "start"): "started", ("started", "finalize"): "finalizing", ("finalizing", "finalized"): "finalized", ("finalizing", "finalize_failed"): "finalize_failed",
@@ -92,68 +96,72 @@ def result_tally(lines: DataFrame, name: str, line: str, codes: DataFrame | None
 
 
 def illegal_transitions(states: DataFrame, session: str, seq: str, state: str, legal: set[tuple[str, str]]) -> DataFrame:
-    """(session, seq, before, state) of steps that no rule allows."""
-    before = F.lag(state).over(Window.partitionBy(session).orderBy(seq))
+    """(session, seq, before, state) of steps that no rule allows; rows of a long session lie in many tasks."""
     ok = F.lit(False)
     for a, b in sorted(legal):
         ok = ok | ((F.col("before") == a) & (F.col(state) == b))
-    return states.withColumn("before", before).filter(F.col("before").isNotNull() & ~ok).select(session, seq, "before", state)
+    rows = ranges.with_previous(states.select(session, seq, state), session, [seq], state, "before")
+    return rows.filter(F.col("before").isNotNull() & ~ok).select(session, seq, "before", state)
+
+
+STATES = ["none", "started", "finalizing", "finalized", "finalize_failed", "closed"]
+ACTIONS = ["start", "finalize", "finalized", "finalize_failed", "close"]
+LIFECYCLE = ranges.Automaton(STATES, ACTIONS, lambda state, action: session_step(state, action)[1])
 
 
 def session_answers(actions: DataFrame, session: str = "session_id", seq: str = "seq") -> DataFrame:
-    """actions (session, seq, action) with `answer` and the `state` that they find.
+    """actions (session, seq, action) with the `state` that they find and their `answer`.
 
     Actions are start, finalize, finalized, finalize_failed (how the claimed work ended) and
     close. A session is started once; one call claims its finalization; it cannot be closed
     while that runs, and closing forgets it. Refused actions change nothing: SESSION_UNKNOWN
-    (not started, or closed; a close of such is `nothing`), SESSION_STATE, SESSION_BUSY.
+    (not started, or closed; a close of such is `nothing`), SESSION_STATE, SESSION_BUSY; so
+    does an unknown action, which has no answer.
 
-    Every rule asks what came before in the session, so one sort by session and seq serves
-    all of them.
+    A session's actions are maps from state to state; those of a long session are put
+    together range by range, so it needs no task of its own.
     """
-    past = Window.partitionBy(session).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
-    is_ = lambda *names: F.col("action").isin(*names)
-    df = actions
-    steps = [
-        ("started", lambda: is_("start")),
-        # Before any accepted close and any claim, the first of the two wins.
-        ("ended", lambda: F.col("_started") & is_("finalize", "close")),
-        ("claimed", lambda: F.col("_started") & is_("finalize") & ~F.col("_ended")),
-        ("settled", lambda: F.col("_claimed") & is_("finalized", "finalize_failed")),
-        ("closed", lambda: (F.col("_started") & is_("close") & ~F.col("_ended")) | (F.col("_settled") & is_("close"))),
-    ]
-    for name, event in steps:
-        df = df.withColumn(f"_{name}", F.coalesce(F.max(event()).over(past), F.lit(False)))
-    failed = F.last(F.when(F.col("_claimed") & ~F.col("_settled") & is_("finalized", "finalize_failed"), F.col("action")), ignorenulls=True).over(past)
-    df = df.withColumn("_outcome", failed)
-    gone = ~F.col("_started") | F.col("_closed")
-    state = F.when(~F.col("_started"), "none").when(F.col("_closed"), "closed").when(F.col("_settled"), F.col("_outcome")).when(F.col("_claimed"), "finalizing").otherwise("started")
-    answer = (
-        F.when(is_("start"), F.when(F.col("_started"), "SESSION_STATE").otherwise("accepted"))
-        .when(gone, F.when(is_("close"), "nothing").otherwise("SESSION_UNKNOWN"))
-        .when(is_("finalize"), F.when(F.col("_claimed"), "SESSION_STATE").otherwise("accepted"))
-        .when(is_("finalized", "finalize_failed"), F.when(F.col("_claimed") & ~F.col("_settled"), "accepted").otherwise("SESSION_STATE"))
-        .when(is_("close"), F.when(F.col("_claimed") & ~F.col("_settled"), "SESSION_BUSY").otherwise("accepted"))
-    )
-    return df.withColumn("state", state).withColumn("answer", answer).select(*actions.columns, "state", "answer")
+    found = ranges.with_states(actions, session, [seq], "action", LIFECYCLE)
+    said = F.create_map(*[F.lit(x) for s in STATES for a in ACTIONS for x in (f"{s}:{a}", session_step(s, a)[0])])
+    return found.withColumn("answer", F.try_element_at(said, F.concat_ws(":", "state", "action"))).select(*actions.columns, "state", "answer")
 
 
 def retries(calls: DataFrame, session: str = "session_id") -> DataFrame:
-    """calls (session, seq, key, finishes) with `answer`.
+    """calls (session, seq, key, finishes) with `answer`; seq tells the calls of a session apart.
 
     The first key of a session owns it. Before the session is finished, the owner's call
     proceeds and other keys are busy; afterwards the owner's key replays the answer and
-    any other, or none, is refused as finished. Only the owner can finish a session.
+    any other, or none, is refused as finished. Only the owner can finish a session; before
+    there is one, any call can.
+
+    The owner and the first call that finishes are minima, added up before their shuffle.
+    Calls meet them by session; sessions of more than WIDE calls (so no more than one in WIDE
+    calls) get them by a broadcast, as such a session's calls must not meet in one task.
     """
-    order = Window.partitionBy(session).orderBy("seq")
-    owner = F.first("key", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    owned = calls.withColumn("_owner", owner)
-    mine = F.coalesce(F.col("key").eqNullSafe(F.col("_owner")), F.lit(False)) | F.col("_owner").isNull()
-    done = F.max(F.when(mine & F.col("finishes"), 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    finished = F.coalesce(done, F.lit(0)) == 1
-    keyed = F.col("key").isNotNull() & (F.col("key") == F.col("_owner"))
+    owners = settled(calls.groupBy(F.col(session).alias("_session")).agg(F.min(F.when(F.col("key").isNotNull(), F.struct("seq", "key"))).alias("_first"), F.count(F.lit(1)).alias("_n")))
+    if owners.filter(F.col("_n") > WIDE).isEmpty():
+        return _retried(calls, session, owners, lambda df: df)
+    wide = owners.filter(F.col("_n") > WIDE)
+    is_wide = F.col(session).eqNullSafe(F.col("_session"))
+    narrow_calls = calls.join(F.broadcast(wide.select("_session")), is_wide, "left_anti")
+    wide_calls = calls.join(F.broadcast(wide.select("_session")), is_wide, "left_semi")
+    return _retried(wide_calls, session, wide, F.broadcast).union(_retried(narrow_calls, session, owners, lambda df: df))
+
+
+#: A session of more calls is not brought together.
+WIDE = 1_000_000
+
+
+def _retried(calls: DataFrame, session: str, owners: DataFrame, how) -> DataFrame:
+    owned = calls.join(how(owners.drop("_n")), F.col(session).eqNullSafe(F.col("_session"))).drop("_session")
+    open_ = F.col("_first").isNull() | (F.col("seq") < F.col("_first.seq"))
+    keyed = F.coalesce(F.col("key") == F.col("_first.key"), F.lit(False)) & ~open_
+    mine = open_ | keyed
+    ends = owned.filter(mine & F.col("finishes")).groupBy(F.col(session).alias("_session")).agg(F.min("seq").alias("_end"))
+    told = owned.join(how(ends), F.col(session).eqNullSafe(F.col("_session")), "left")
+    finished = F.coalesce(F.col("seq") > F.col("_end"), F.lit(False))
     answer = F.when(finished & keyed, "replay").when(finished, "finished").when(mine, "proceed").otherwise("busy")
-    return owned.withColumn("answer", answer).drop("_owner")
+    return told.withColumn("answer", answer).select(*calls.columns, "answer")
 
 
 def cheapest(offers: DataFrame, request: str) -> DataFrame:
