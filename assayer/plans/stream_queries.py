@@ -12,8 +12,12 @@ from .catalog import ORACLES, register
 from .views import sql
 
 
+#: The producer's clock: a second for each event.
+_AT = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("event_id")).alias("at")
+
+
 def _calls(spark, d):
-    return S.table_stream(spark, d, "events").select(F.col("user_id").cast("long").alias("session_id"), F.col("event_id").cast("long").alias("seq"), F.get_json_object("props", "$.k").alias("key"), (F.col("event_type") == "purchase").alias("finishes"))
+    return S.table_stream(spark, d, "events").select(F.col("user_id").cast("long").alias("session_id"), F.col("event_id").cast("long").alias("seq"), _AT, F.get_json_object("props", "$.k").alias("key"), (F.col("event_type") == "purchase").alias("finishes"))
 
 
 @register("str01_submission_admission", "SELECT event_id, event_id % 5 <> 0 AND event_id % 7 <> 0 AND event_id % 11 <> 0 AS accepted FROM events")
@@ -28,7 +32,7 @@ def str01(spark, d):
 @register("str02_idempotent_scoring", ORACLES["win06_idempotent_retry"])
 def str02(spark, d):
     where = S.shared_folder(spark)
-    S.drained(S.retries(_calls(spark, d), None), S.kept(where, S.new_run()))
+    S.drained(S.retries(_calls(spark, d)), S.kept(where, S.new_run()))
     return S.stored(spark, where).drop("run", "batch")
 
 
@@ -36,8 +40,8 @@ def str02(spark, d):
 def str03(spark, d):
     where = S.shared_folder(spark)
     events = S.table_stream(spark, d, "events")
-    actions = events.select((F.col("user_id") * 1000 + F.col("event_id") % 8).cast("long").alias("session_id"), F.col("event_id").cast("long").alias("seq"), F.expr(log_queries.ACTION).alias("action"))
-    S.drained(S.lifecycle(actions, None), S.kept(where, S.new_run()))
+    actions = events.select((F.col("user_id") * 1000 + F.col("event_id") % 8).cast("long").alias("session_id"), F.col("event_id").cast("long").alias("seq"), _AT, F.expr(log_queries.ACTION).alias("action"))
+    S.drained(S.lifecycle(actions), S.kept(where, S.new_run()))
     return S.stored(spark, where).drop("run", "batch")
 
 
@@ -49,7 +53,7 @@ def str04(spark, d):
     named = F.concat_ws(":", "user_id", F.when(F.col("event_type") == "error", "view").otherwise(F.col("event_type")))  # an error takes the id of a view
     rows = S.table_stream(spark, d, "events").select(F.concat(F.lit("trace-"), F.sha2(named.cast("binary"), 256)).alias("id"), content.alias("content"))
     for _ in range(2):  # a second run adds nothing
-        S.published(rows, f"{where}/published", f"{where}/conflicts", "id", "content")
+        S.published(rows, f"{where}/published", f"{where}/conflicts", f"{where}/checkpoint")
     found = S.stored(spark, f"{where}/published").select("id", "content", F.lit(False).alias("conflict"))
     return found.union(S.stored(spark, f"{where}/conflicts").select("id", "content", F.lit(True)).distinct())
 
@@ -61,13 +65,15 @@ def str05(spark, d):
     where = S.shared_folder(spark)
     status = F.when(F.col("event_type") == "purchase", "ok").when(F.col("event_type") == "click", "invalid").otherwise("error")
     rows = S.table_stream(spark, d, "events").select((F.col("user_id") % 8).alias("split"), status.alias("status"), F.when(F.col("event_type") == "purchase", F.col("event_id") % 101).alias("reward"))
-    S.drained(S.running_totals(rows, "split"), S.kept(where, S.new_run()), "complete")
-    return S.last_result(spark, where)
+    run = S.new_run()
+    S.drained(S.running_totals(rows, "split"), S.upserts(where, ["split"], run), "update")
+    return S.latest(spark, where, ["split"], run)
 
 
 @register("str06_gate_counters", ORACLES["agg23_gate_counts"])
 def str06(spark, d):
     where = S.shared_folder(spark)
     rows = S.table_stream(spark, d, "events").select(F.col("event_type").alias("label"), (F.col("value") >= 10).alias("allowed"))
-    S.drained(S.counters(rows), S.kept(where, S.new_run()), "complete")
-    return S.last_result(spark, where)
+    run = S.new_run()
+    S.drained(S.counters(rows), S.upserts(where, ["label"], run), "update")
+    return S.latest(spark, where, ["label"], run)

@@ -1,29 +1,39 @@
 """Submission sessions as streams.
 
-Late data: calls carry the producer's sequence number, and rows of a session are taken in
-that order within a batch; state that nobody touches for IDLE of processing time goes.
+Order: calls carry the producer's sequence number and an event time. They may arrive in any
+order; a call waits until the watermark (the latest event time seen, less the delay that the
+caller allows) has passed it, and calls of a session are answered in the producer's order.
+A call whose turn has passed gets the answer LATE. So answers do not depend on how the stream
+is cut into batches. State of a session that has been idle for IDLE of event time goes.
 
 A batch that fails is tried again with its number. Sinks therefore write each batch to a
 folder of its own, named by the stream's run and the batch's number, and overwrite it: a
-second try leaves what one try leaves. `stored` reads all batches of all runs.
+second try leaves what one try leaves. `stored` reads all batches of all runs. What a stream
+knows of earlier batches is in its state, on RocksDB, and never read back from its output.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from assayer.functions.folders import shared_folder
 from assayer.operators import closure, logs, scoring
 
 IDLE_MS = 24 * 3600 * 1000
+#: Spark itself drops calls that are later than this; all others that come too late are answered as such.
+HORIZON_MS = 30 * 24 * 3600 * 1000
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def written(batch: DataFrame, path: str, run: str, number: int) -> None:
@@ -52,10 +62,18 @@ def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
-def drained(stream: DataFrame, sink: Callable[[DataFrame, int], None], mode: str = "append") -> None:
-    """Run a stream over all there is now; each batch goes to the sink once it is whole."""
-    where = shared_folder(stream.sparkSession)
-    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{where}/checkpoint").trigger(availableNow=True).foreachBatch(sink).start().awaitTermination()
+def drained(stream: DataFrame, sink: Callable[[DataFrame, int], None], mode: str = "append", checkpoint: str | None = None) -> None:
+    """Run a stream over all there is now; each batch goes to the sink once it is whole. With a checkpoint of an earlier run it goes on where that ended."""
+    spark = stream.sparkSession
+    where = checkpoint or f"{shared_folder(spark)}/checkpoint"
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting, None)
+    spark.conf.set(setting, ROCKS)
+    try:
+        query = stream.writeStream.outputMode(mode).option("checkpointLocation", where).trigger(availableNow=True).foreachBatch(sink).start()
+    finally:
+        spark.conf.unset(setting) if before is None else spark.conf.set(setting, before)
+    query.awaitTermination()
 
 
 def admission(key: str, body: str, expected: list[str], owned: list[str], accepted: str, refused: str, run: str) -> Callable[[DataFrame, int], None]:
@@ -77,113 +95,154 @@ def admitted(stream: DataFrame, key: str, body: str, expected: list[str], owned:
     drained(stream, admission(key, body, expected, owned, accepted, refused, new_run()))
 
 
-ANSWERS = T.StructType([T.StructField("session_id", T.LongType()), T.StructField("seq", T.LongType()), T.StructField("answer", T.StringType())])
-OWNERS = T.StructType([T.StructField("owner", T.StringType()), T.StructField("finished", T.BooleanType())])
-
+def _fields(**kinds: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in kinds.items()])
 
-def _waited(state: GroupState, idle_ms: int | None) -> None:
-    if idle_ms is not None:
-        state.setTimeoutDuration(idle_ms)
 
+#: What a session's fold has come to, the sequence number answered last, and calls that wait.
+WAITING = "fold string, last bigint, latest bigint, seqs array<bigint>, times array<bigint>, items array<string>"
 
-def _timeout(idle_ms: int | None) -> str:
-    return GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
 
+def in_order(calls: DataFrame, session: str, item: list[str], out: T.StructType, start: Any, step: Callable[[Any, dict], tuple[dict, Any]], late: dict, delay_ms: int, idle_ms: int) -> DataFrame:
+    """Rows of `out` for calls (session, seq, at, item), folded in the order of seq for each session.
 
-def _answered(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, idle_ms: int | None) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        state.remove()
-        return
-    owner, finished = state.get if state.exists else (None, False)
-    calls = pd.concat(list(batches)).sort_values("seq", kind="stable")
-    answers = []
-    for call, finishes in zip(calls["key"], calls["finishes"], strict=True):
-        call = None if pd.isna(call) else call
-        owner = owner if owner is not None else call
-        mine = owner is None or call == owner
-        if finished:
-            answers.append("replay" if call is not None and call == owner else "finished")
+    step(fold, item) gives an answer's columns and the next fold, which JSON can hold. The
+    watermark that Spark keeps lies HORIZON behind the latest event time, so that late calls
+    reach this operator and can be answered; the delay is counted from there.
+    """
+    back = HORIZON_MS - delay_ms
+    marked = calls.withWatermark("at", f"{HORIZON_MS} milliseconds")
+    rows = marked.select(session, "seq", "at", F.unix_millis("at").alias("_ms"), F.to_json(F.struct(*item), {"ignoreNullFields": "false"}).alias("_item"))
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        mark = state.getCurrentWatermarkMs() + back
+        fold, last, latest, seqs, times, items = state.get if state.exists else (json.dumps(start), None, None, [], [], [])
+        waiting = sorted(zip(map(int, seqs), map(int, times), items, strict=True))
+        answers = []
+        if not state.hasTimedOut:
+            for batch in batches:
+                for seq, at, body in zip(batch["seq"], batch["_ms"], batch["_item"], strict=True):
+                    if at <= mark or (last is not None and seq <= last):
+                        answers.append({session: key[0], "seq": seq, **json.loads(body), **late})
+                    else:
+                        waiting.append((int(seq), int(at), body))
+                        latest = max(int(at), latest or int(at))
+            waiting.sort()
+        fold, done = json.loads(fold), 0
+        for seq, at, body in waiting:
+            if at > mark:
+                break
+            answer, fold = step(fold, json.loads(body))
+            answers.append({session: key[0], "seq": seq, **json.loads(body), **answer})
+            last, done = seq, done + 1
+        waiting = waiting[done:]
+        if waiting:
+            due = waiting[0][1]
         else:
-            answers.append("proceed" if mine else "busy")
-            finished = finished or bool(mine and finishes)
-    state.update((owner, finished))
-    _waited(state, idle_ms)
-    yield pd.DataFrame({"session_id": key[0], "seq": calls["seq"].to_numpy(), "answer": answers})
+            due = (latest or 0) + idle_ms
+        if not waiting and due <= mark:
+            state.remove() if state.exists else None
+        else:
+            state.update((json.dumps(fold), last, latest, [w[0] for w in waiting], [w[1] for w in waiting], [w[2] for w in waiting]))
+            state.setTimeoutTimestamp(max(due - back, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(answers, columns=out.fieldNames())
 
+    return rows.groupBy(session).applyInPandasWithState(run, out, WAITING, "append", GroupStateTimeout.EventTimeTimeout)
 
-def retries(calls: DataFrame, idle_ms: int | None = IDLE_MS) -> DataFrame:
-    """The streaming twin of logs.retries: one owner and one outcome for each session.
 
-    Without idle_ms state stays for good; a run that ends when its input does needs that,
-    as timeouts alone would keep it going.
-    """
+ANSWERS = _fields(session_id=T.LongType(), seq=T.LongType(), answer=T.StringType())
+
+
+def _retry(fold: list, call: dict) -> tuple[dict, list]:
+    owner, finished = fold
+    key = call["key"]
+    owner = owner if owner is not None else key
+    mine = owner is None or key == owner
+    if finished:
+        return {"answer": "replay" if key is not None and key == owner else "finished"}, [owner, True]
+    return {"answer": "proceed" if mine else "busy"}, [owner, bool(mine and call["finishes"])]
+
+
+def retries(calls: DataFrame, delay_ms: int = 0, idle_ms: int = IDLE_MS) -> DataFrame:
+    """The streaming twin of logs.retries over calls (session_id, seq, at, key, finishes): one owner and one outcome for each session."""
+    return in_order(calls, "session_id", ["key", "finishes"], ANSWERS, [None, False], _retry, {"answer": "LATE"}, delay_ms, idle_ms)
 
-    def answer(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        yield from _answered(key, batches, state, idle_ms)
 
-    return calls.groupBy("session_id").applyInPandasWithState(answer, ANSWERS, OWNERS, "append", _timeout(idle_ms))
+STEPS = _fields(session_id=T.LongType(), seq=T.LongType(), action=T.StringType(), state=T.StringType(), answer=T.StringType())
 
 
-STEPS = T.StructType([T.StructField("session_id", T.LongType()), T.StructField("seq", T.LongType()), T.StructField("action", T.StringType()), T.StructField("state", T.StringType()), T.StructField("answer", T.StringType())])
-STATE = T.StructType([T.StructField("state", T.StringType())])
+def _step(state: str, call: dict) -> tuple[dict, str]:
+    answer, then = logs.session_step(state, call["action"])
+    return {"state": state, "answer": answer}, then
 
 
-def lifecycle(actions: DataFrame, idle_ms: int | None = IDLE_MS) -> DataFrame:
-    """The streaming twin of logs.session_answers: each action with the state that it finds and its answer.
+def lifecycle(actions: DataFrame, delay_ms: int = 0, idle_ms: int = IDLE_MS) -> DataFrame:
+    """The streaming twin of logs.session_answers over (session_id, seq, at, action): each action with the state that it finds and its answer.
 
     A closed session is remembered as such until it has been idle, so that late calls to it
     are refused and not taken for a new one's.
     """
+    return in_order(actions, "session_id", ["action"], STEPS, "none", _step, {"state": None, "answer": "LATE"}, delay_ms, idle_ms)
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        now = state.get[0] if state.exists else "none"
-        rows = pd.concat(list(batches)).sort_values("seq", kind="stable")
+
+class Once(StatefulProcessor):
+    """Rows (id, content) to (id, content, outcome): published, once an id; conflict, once a batch and content, for an id that is published with other content."""
+
+    def init(self, handle) -> None:
+        self.held = handle.getValueState("held", T.StructType([T.StructField("content", T.StringType())]))
+
+    def handleInputRows(self, key, rows, timers) -> Iterator[pd.DataFrame]:  # noqa: N802
+        found = {None if pd.isna(c) else c for batch in rows for c in batch["content"]}
         out = []
-        for seq, action in zip(rows["seq"], rows["action"], strict=True):
-            answer, then = logs.session_step(now, action)
-            out.append((key[0], seq, action, now, answer))
-            now = then
-        if now != "none":
-            state.update((now,))
-            _waited(state, idle_ms)
-        yield pd.DataFrame(out, columns=STEPS.fieldNames())
+        if self.held.exists():
+            content = self.held.get()[0]
+        else:
+            content = min(found, key=lambda c: (c is not None, c or ""))
+            self.held.update((content,))
+            out.append((key[0], content, "published"))
+        out += [(key[0], c, "conflict") for c in found if c != content]
+        yield pd.DataFrame(out, columns=["id", "content", "outcome"])
 
-    return actions.groupBy("session_id").applyInPandasWithState(step, STEPS, STATE, "append", _timeout(idle_ms))
+    def handleInitialState(self, key, rows, timers) -> None:  # noqa: N802
+        content = rows["content"].iloc[0]
+        self.held.update((None if pd.isna(content) else content,))
 
+    def close(self) -> None:
+        pass
 
-def publication(path: str, conflicts: str, key: str, content: str, run: str) -> Callable[[DataFrame, int], None]:
-    """A sink: rows by id, once each; rows of an id that is there with other content go to `conflicts`.
 
-    Of rows with one id in a batch the one with the least content counts. What other
-    batches have published is known; what an earlier try of this batch wrote is not.
+def publication(rows: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(id, content, outcome) of a stream (id, content), see Once.
+
+    The content of each id is its keyed state, so no batch reads what others have published.
+    `known` (id, content) is what a table held before the stream's first batch; it is read
+    once, then. Of several contents of an id in its first batch the least counts, null first.
     """
+    once = rows.select("id", "content").groupBy("id")
+    first = None if known is None else known.select("id", "content").groupBy("id")
+    return once.transformWithStateInPandas(Once(), "id string, content string, outcome string", "append", "none", initialState=first)
+
+
+def published(stream: DataFrame, path: str, conflicts: str, checkpoint: str, known: DataFrame | None = None) -> None:
+    """Run the publication of a stream (id, content) over all there is now; a further run with its checkpoint adds nothing twice.
+
+    The run is named after the checkpoint, as that is what a stream is known by.
+    """
+    run = "r" + uuid.uuid5(uuid.NAMESPACE_URL, checkpoint).hex
 
     def sink(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        before = stored(spark, path, batch.schema).filter(~((F.col("run") == run) & (F.col("batch") == number)))
-        first = batch.groupBy(key).agg(F.min(content).alias("_first"))
-        # One row an id on either side, so conflicts are found by joins and no window.
-        known = before.select(F.col(key).alias("_key"), F.col(content).alias("_known"))
-        held = batch.join(first, key).join(known, F.col(key) == F.col("_key"), "left").persist()
+        batch = batch.persist()
         try:
-            other = ~F.col(content).eqNullSafe(F.when(F.col("_key").isNotNull(), F.col("_known")).otherwise(F.col("_first")))
-            written(held.filter(other).select(*batch.columns).distinct(), conflicts, run, number)
-            written(held.filter(F.col("_key").isNull() & F.col(content).eqNullSafe(F.col("_first"))).select(*batch.columns).dropDuplicates([key]), path, run, number)
+            written(batch.filter("outcome = 'published'").drop("outcome"), path, run, number)
+            written(batch.filter("outcome = 'conflict'").drop("outcome"), conflicts, run, number)
         finally:
-            held.unpersist()
-
-    return sink
-
+            batch.unpersist()
 
-def published(stream: DataFrame, path: str, conflicts: str, key: str, content: str) -> None:
-    drained(stream, publication(path, conflicts, key, content, new_run()))
+    drained(publication(stream, known), sink, checkpoint=checkpoint)
 
 
 def running_totals(episodes: DataFrame, *keys: str) -> DataFrame:
-    """The streaming twin of scoring.totals, for output mode complete or update."""
+    """The streaming twin of scoring.totals, for output mode update: a batch gives the totals of the keys that it changed."""
     return scoring.totals(episodes, *keys)
 
 
@@ -193,7 +252,7 @@ def counters(decisions: DataFrame) -> DataFrame:
 
 
 def kept(path: str, run: str) -> Callable[[DataFrame, int], None]:
-    """A sink that keeps every batch; of a complete-mode stream the last one is the result."""
+    """A sink that keeps every batch."""
 
     def sink(batch: DataFrame, number: int) -> None:
         written(batch, path, run, number)
@@ -201,8 +260,38 @@ def kept(path: str, run: str) -> Callable[[DataFrame, int], None]:
     return sink
 
 
-def last_result(spark: SparkSession, path: str) -> DataFrame:
-    """What the last batch of a complete-mode stream kept."""
-    rows = stored(spark, path)
-    newest = rows.agg(F.max("batch").alias("_newest"))
-    return rows.join(F.broadcast(newest), F.col("batch") == F.col("_newest")).drop("run", "batch", "_newest")
+#: Batches after which changes are put together.
+COMPACT = 50
+
+
+def upserts(path: str, keys: list[str], run: str, compact: int = COMPACT) -> Callable[[DataFrame, int], None]:
+    """A sink for update mode: the rows that a batch changed, and now and then all keys together.
+
+    A batch writes its own rows only. Every `compact` batches what the batches before have
+    come to is written as a base, so a reader looks at one base and the changes after it.
+    """
+
+    def sink(batch: DataFrame, number: int) -> None:
+        written(batch, f"{path}/changes", run, number)
+        if number and number % compact == 0:
+            written(latest(batch.sparkSession, path, keys, run, number), f"{path}/base", run, number)
+
+    return sink
+
+
+def latest(spark: SparkSession, path: str, keys: list[str], run: str, before: int | None = None) -> DataFrame:
+    """The newest row of each key that a run has written (in batches below `before`)."""
+    def own(name: str, schema: T.StructType | None) -> DataFrame:
+        rows = stored(spark, f"{path}/{name}", schema).filter(F.col("run") == run)
+        return rows if before is None else rows.filter(F.col("batch") < before)
+
+    changes = own("changes", None)
+    fields = T.StructType([f for f in changes.schema.fields if f.name not in ("run", "batch")])
+    base = own("base", fields)
+    # A base is newer than the changes it holds, so it stands at its own batch, less a half.
+    newest = base.agg(F.max("batch")).first()[0]
+    rows = changes.withColumn("_at", F.col("batch").cast("double"))
+    if newest is not None:
+        rows = rows.filter(F.col("batch") >= newest).unionByName(base.filter(F.col("batch") == newest).withColumn("_at", F.col("batch") - 0.5))
+    rest = [f for f in fields.fieldNames() if f not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_at").alias("_row")).select(*keys, "_row.*").select(*fields.fieldNames())

@@ -1,5 +1,13 @@
-"""Sinks of streams when a batch is tried again."""
+"""Streams cut into batches in any way, and sinks when a batch is tried again."""
 
+import datetime
+import random
+import time
+
+import pytest
+from pyspark.sql import functions as F
+
+from assayer.operators import logs, scoring
 from assayer.streaming import sessions as S
 
 IDS = "id string, content string"
@@ -28,24 +36,101 @@ def test_admission_tried_again_after_half_of_it(spark, tmp_path):
     assert rows(S.stored(spark, bad), "k") == [(2,), (3,)]
 
 
-def test_publication_keeps_conflicts(spark, tmp_path):
-    path, conflicts = str(tmp_path / "p"), str(tmp_path / "c")
-    sink = S.publication(path, conflicts, "id", "content", "r")
-    first = spark.createDataFrame([("1", "x"), ("1", "x"), ("1", "y"), ("2", None), ("3", "q")], IDS)
-    again = spark.createDataFrame([("1", "x"), ("1", "z"), ("2", "n"), ("4", "w")], IDS)
-    for batch, number in ((first, 0), (first, 0), (again, 1), (again, 1)):
-        sink(batch, number)
-    S.publication(path, conflicts, "id", "content", "other")(first, 0)
-    published = rows(S.stored(spark, path).fillna("-"), "id", "content")
-    assert published == [("1", "x"), ("2", "-"), ("3", "q"), ("4", "w")]
-    assert set(rows(S.stored(spark, conflicts).filter("content is not null"), "id", "content")) == {("1", "y"), ("1", "z"), ("2", "n")}
+def batched(spark, folder, schema, batches):
+    """A stream of files, one a batch, in this order."""
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("overwrite").parquet(f"{folder}/b{i:03d}")
+        time.sleep(0.01)
+    return spark.readStream.schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
-def test_session_answers_equal_a_fold(spark):
-    import random
+def test_publication_by_state(spark, tmp_path):
+    """Conflicts inside a batch, across batches and with what was there before; a further run and a retried batch add nothing."""
+    path, conflicts, check, source = (str(tmp_path / x) for x in ("p", "c", "k", "in"))
+    first = [("1", "x"), ("1", "x"), ("1", "y"), ("2", None), ("2", "b"), ("3", "q"), ("9", "old")]
+    again = [("1", "x"), ("1", "z"), ("2", "n"), ("4", "w"), ("9", "new")]
+    known = spark.createDataFrame([("9", "old"), ("8", None)], IDS)
+    stream = batched(spark, source, IDS, [first, again])
+    for _ in range(2):
+        S.published(stream, path, conflicts, check, known)
+    assert rows(S.stored(spark, path).fillna("-"), "id", "content") == [("1", "x"), ("2", "-"), ("3", "q"), ("4", "w")]
+    want = [("1", "y"), ("1", "z"), ("2", "b"), ("2", "n"), ("9", "new")]
+    assert rows(S.stored(spark, conflicts), "id", "content") == want
+    spark.createDataFrame([("4", "w"), ("5", "v"), ("8", "x")], IDS).coalesce(1).write.parquet(f"{source}/b900")
+    S.published(stream, path, conflicts, check, None)
+    assert rows(S.stored(spark, path).fillna("-"), "id", "content") == [("1", "x"), ("2", "-"), ("3", "q"), ("4", "w"), ("5", "v")]
+    assert rows(S.stored(spark, conflicts), "id", "content") == sorted([*want, ("8", "x")])
+
+
+CALLS = "session_id long, seq long, at timestamp, key string, finishes boolean"
+
+
+def calls(seed, sessions=25):
+    rng = random.Random(seed)
+    at = lambda n: datetime.datetime(2024, 5, 1) + datetime.timedelta(seconds=n)
+    return [(s, i, at(i * 10 + s), None if rng.random() < 0.2 else rng.choice("ab"), rng.random() < 0.2) for s in range(sessions) for i in range(rng.randint(1, 15))]
+
+
+@pytest.mark.parametrize("batches", [1, 6])
+def test_retries_in_any_order_of_arrival(spark, tmp_path, batches):
+    """Calls arrive up to 200 seconds out of order; a last call, far on, lets the others pass."""
+    rng = random.Random(batches)
+    sent = sorted(calls(1), key=lambda c: c[2].timestamp() + rng.uniform(0, 190))
+    size = -(-len(sent) // batches)
+    end = (999, 0, datetime.datetime(2024, 5, 2), None, False)
+    stream = batched(spark, str(tmp_path / "in"), CALLS, [*(sent[i * size : (i + 1) * size] for i in range(batches)), [end]])
+    S.drained(S.retries(stream, delay_ms=200_000), S.kept(str(tmp_path / "out"), "r"))
+    twin = logs.retries(spark.createDataFrame(sent, CALLS))
+    got = S.stored(spark, str(tmp_path / "out")).filter("session_id <> 999")
+    assert rows(got, "session_id", "seq", "answer") == rows(twin, "session_id", "seq", "answer")
+
+
+def test_a_call_after_the_watermark_is_answered_late(spark, tmp_path):
+    at = lambda n: datetime.datetime(2024, 5, 1) + datetime.timedelta(seconds=n)
+    first = [(1, 5, at(50), "a", False), (2, 1, at(1000), None, False)]
+    second = [(1, 4, at(40), "b", True), (1, 6, at(990), "b", False), (3, 1, at(995), "z", True)]
+    third = [(4, 1, at(5000), None, False)]
+    fourth = [(3, 2, at(4999), "z", False), (1, 3, at(6000), "a", False), (5, 1, at(9000), None, False)]
+    stream = batched(spark, str(tmp_path / "in"), CALLS, [first, second, third, fourth, [(6, 1, at(20000), None, False)]])
+    S.drained(S.retries(stream, delay_ms=100_000), S.kept(str(tmp_path / "out"), "r"))
+    got = rows(S.stored(spark, str(tmp_path / "out")).filter("session_id < 4"), "session_id", "seq", "answer")
+    # Session 1: 5 passed with the first mark; 4 comes after it; 3 is in time but its turn has passed.
+    assert got == [(1, 3, "LATE"), (1, 4, "LATE"), (1, 5, "proceed"), (1, 6, "busy"), (2, 1, "proceed"), (3, 1, "proceed"), (3, 2, "replay")]
+
+
+def test_lifecycle_in_any_order_of_arrival(spark, tmp_path):
+    rng = random.Random(8)
+    sent = [(s, i, at, rng.choice(logs.ACTIONS)) for s, i, at, _, _ in calls(3)]
+    rng.shuffle(sent)
+    schema = "session_id long, seq long, at timestamp, action string"
+    stream = batched(spark, str(tmp_path / "in"), schema, [sent[0::3], sent[1::3], sent[2::3], [(999, 0, datetime.datetime(2024, 5, 2), "start")]])
+    S.drained(S.lifecycle(stream, delay_ms=1_000_000), S.kept(str(tmp_path / "out"), "r"))
+    twin = logs.session_answers(spark.createDataFrame(sent, schema))
+    columns = ("session_id", "seq", "action", "state", "answer")
+    assert rows(S.stored(spark, str(tmp_path / "out")).filter("session_id <> 999"), *columns) == rows(twin, *columns)
+
+
+def test_update_mode_writes_what_changed(spark, tmp_path):
+    path, schema = str(tmp_path / "t"), "split long, status string, reward long"
+    batches = [[(k, "ok", k) for k in range(40)], [(3, "error", None)], [(3, "ok", 5), (50, "invalid", None)], [(4, "ok", 1)], [(50, "ok", 2)]]
+    run = "r"
+    sink = S.upserts(path, ["split"], run, compact=2)
+
+    def twice(batch, number):
+        batch = batch.persist()
+        sink(batch, number)
+        sink(batch, number)
 
-    from assayer.operators import logs
+    S.drained(S.running_totals(batched(spark, str(tmp_path / "in"), schema, batches), "split"), twice, "update")
+    twin = scoring.totals(spark.createDataFrame([r for b in batches for r in b], schema), "split")
+    columns = twin.columns
+    assert rows(S.latest(spark, path, ["split"], run), *columns) == rows(twin, *columns)
+    sizes = {r.batch: r.n for r in S.stored(spark, f"{path}/changes").groupBy("batch").agg(F.count("*").alias("n")).collect()}
+    assert sizes == {0: 40, 1: 1, 2: 2, 3: 1, 4: 1}
+    assert {r.batch for r in S.stored(spark, f"{path}/base").select("batch").distinct().collect()} == {2, 4}
 
+
+def test_session_answers_equal_a_fold(spark):
     rng = random.Random(5)
     names = ["start", "finalize", "finalized", "finalize_failed", "close"]
     rows = [(s, i, rng.choices(names, [3, 3, 2, 1, 2])[0]) for s in range(120) for i in range(rng.randrange(1, 12))]
