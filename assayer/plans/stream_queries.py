@@ -12,12 +12,13 @@ from .catalog import ORACLES, register
 from .views import sql
 
 
-#: The producer's clock: a second for each event.
-_AT = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("event_id")).alias("at")
+def _at():
+    """The producer's clock: a second for each event."""
+    return F.timestamp_seconds(F.lit(1_700_000_000) + F.col("event_id")).alias("at")
 
 
 def _calls(spark, d):
-    return S.table_stream(spark, d, "events").select(F.col("user_id").cast("long").alias("session_id"), F.col("event_id").cast("long").alias("seq"), _AT, F.get_json_object("props", "$.k").alias("key"), (F.col("event_type") == "purchase").alias("finishes"))
+    return S.table_stream(spark, d, "events").select(F.col("user_id").cast("long").alias("session_id"), F.col("event_id").cast("long").alias("seq"), _at(), F.get_json_object("props", "$.k").alias("key"), (F.col("event_type") == "purchase").alias("finishes"))
 
 
 @register("str01_submission_admission", "SELECT event_id, event_id % 5 <> 0 AND event_id % 7 <> 0 AND event_id % 11 <> 0 AS accepted FROM events")
@@ -40,7 +41,7 @@ def str02(spark, d):
 def str03(spark, d):
     where = S.shared_folder(spark)
     events = S.table_stream(spark, d, "events")
-    actions = events.select((F.col("user_id") * 1000 + F.col("event_id") % 8).cast("long").alias("session_id"), F.col("event_id").cast("long").alias("seq"), _AT, F.expr(log_queries.ACTION).alias("action"))
+    actions = events.select((F.col("user_id") * 1000 + F.col("event_id") % 8).cast("long").alias("session_id"), F.col("event_id").cast("long").alias("seq"), _at(), F.expr(log_queries.ACTION).alias("action"))
     S.drained(S.lifecycle(actions), S.kept(where, S.new_run()))
     return S.stored(spark, where).drop("run", "batch")
 
