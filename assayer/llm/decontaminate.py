@@ -14,6 +14,8 @@ words is one shingle.
 3. Multi-index Hamming blocks: the bits are cut into 11 blocks; of RADIUS = 21 differing
    bits some block holds at most one, so an item is looked up in each block under its own
    value and under those at one bit's distance. All fingerprints within the radius meet.
+   Blocks this narrow tell nothing from nothing, so a window is looked up only among the
+   items that it was laid for; those are the ones that it can match best.
    A similarity of 0.8 means some 10 differing bits; 21 is four standard deviations more.
 4. The survivors are verified on the shingles.
 
@@ -82,8 +84,9 @@ def _blocks(fp: Column, probes: bool) -> Column:
     return F.array(*found)
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def _small(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df, to be broadcast if it has few rows; `rows` where its rows hold arrays, as the entries of these."""
+    return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
 
 
 def items_of(benchmark: DataFrame) -> DataFrame:
@@ -111,18 +114,20 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     rarest = counted.withColumn("rank", rank).filter(F.col("rank") <= enough).select("item", "h", "length").distinct()
     pairs = settled(seen.join(_small(rarest), ["h", "length"]).select("row", "item").distinct())
     laid = seen.join(_small(pairs), "row").join(_small(places), ["item", "h", "length"])
-    windows = settled(laid.select("row", (F.col("at") - F.col("item_at")).alias("start"), "n").distinct())
+    windows = settled(laid.select("row", (F.col("at") - F.col("item_at")).alias("start"), "n", "item").distinct())
     # 2. their shingles and fingerprints
-    grouped = windows.groupBy("row", F.expr(f"start div {STARTS}").alias("part")).agg(F.collect_list(F.struct("start", "n")).alias("windows")).drop("part")
-    placed = rows.join(_small(grouped), "row").select("doc_id", "row", "windows", words_of(F.col("text")).alias("w"))
+    grouped = windows.select("row", "start", "n").distinct().groupBy("row", F.expr(f"start div {STARTS}").alias("part")).agg(F.collect_list(F.struct("start", "n")).alias("windows")).drop("part")
+    n_windows = windows.count()
+    placed = rows.join(_small(grouped, n_windows), "row").select("doc_id", "row", "windows", words_of(F.col("text")).alias("w"))
     cut = lambda w, x: _hashes(w, F.greatest(x["start"], F.lit(0)), F.least(x["start"] + x["n"], F.size(w)) - 1)
     each = bound(F.col("w"), lambda w: F.transform("windows", lambda x: F.struct(x["start"].alias("start"), x["n"].alias("n"), cut(w, x).alias("hashes"))))
     printed = settled(placed.select("doc_id", "row", F.explode(each).alias("x")).select("doc_id", "row", "x.*").withColumn("fp", simhash(F.col("hashes"))).distinct())
     # 3. within the radius
     probes = items.select("item", "item_id", "n", F.col("fp").alias("item_fp"), F.size("hashes").alias("item_size"), F.explode(_blocks(F.col("fp"), True)).alias("b")).select("item", "item_id", "n", "item_fp", "item_size", "b.*")
-    spots = printed.select("doc_id", "row", "start", "n", "fp", F.explode(_blocks(F.col("fp"), False)).alias("b")).select("doc_id", "row", "start", "n", "fp", "b.*")
+    own = printed.select("doc_id", "row", "start", "n", "fp").join(_small(windows, n_windows), ["row", "start", "n"])
+    spots = own.select("doc_id", "row", "start", "n", "item", "fp", F.explode(_blocks(F.col("fp"), False)).alias("b")).select("doc_id", "row", "start", "n", "item", "fp", "b.*")
     distance = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
-    near = spots.join(_small(probes), ["n", "block", "value"]).filter(distance <= RADIUS)
+    near = spots.join(_small(probes), ["item", "n", "block", "value"]).filter(distance <= RADIUS)
     near = near.select("doc_id", "row", "start", "n", "item", "item_id", "item_size", distance.alias("distance")).distinct()
     # 4. verified
     counts = _small(items.select("item", F.explode("hashes").alias("h")).groupBy("item", "h").agg(F.count(F.lit(1)).alias("c")))
