@@ -16,11 +16,14 @@ in a million, and less above.
 
 Equal shingle sets meet once, as one node. Only nodes of pairs whose sketches are alike and
 of groups that stay open get the sets of their shingles; a text is hashed again for that,
-so sets are never held for all texts.
+so sets are never held for all texts. Copies of a text are the same text to that: each task
+sends it once, however many rows have it. Texts are told apart by 64 bits and their length.
 
 Defined cases: a null text is the empty text; texts without words are linked to each
-other; texts of fewer than five words have one shingle; a null doc_id belongs to its text's
-group but is never its smallest; an empty table gives no rows.
+other; texts of fewer than five words have one shingle; texts are hashed whole, however
+long; repeated rows get a row each, with one component; of equally good links any one is
+kept, as components do not depend on it; a null doc_id belongs to its text's group but is
+never its smallest; an empty table gives no rows; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -50,6 +53,7 @@ _RANDOM = np.random.default_rng(SEED)
 FACTORS = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SHIFTS = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 _B = [f"b{i}" for i in range(BANDS)]
+_KEY = "struct<hash: long, size: int>"
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -92,6 +96,18 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(table.column(c).combine_chunks() for c in ("doc_id", "text_key")), *columns], ["doc_id", "text_key", "kind", "size", "fp", *_B])
 
 
+def _once_a_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (text_key, text) without those whose text the task has had."""
+    seen: set[tuple] = set()
+    for batch in batches:
+        keys = batch.column("text_key")
+        fresh = []
+        for key in zip(keys.field(0).to_pylist(), keys.field(1).to_pylist(), strict=True):
+            fresh.append(key not in seen)
+            seen.add(key)
+        yield batch.filter(pa.array(fresh, pa.bool_()))
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for table in chunks(batches, "text", CHUNK_BYTES):
         hashes = [np.unique(shingles(t.as_py())) for t in table.column("text")]
@@ -182,9 +198,9 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, component_id) of every row."""
-    rows = docs.select(docs[key].alias("doc_id"), docs[text].alias("text"), F.xxhash64(docs[text]).alias("text_key"))
+    rows = docs.select(docs[key].alias("doc_id"), docs[text].alias("text"), F.struct(F.xxhash64(docs[text]).alias("hash"), F.coalesce(F.octet_length(docs[text]), F.lit(0)).alias("size")).alias("text_key"))
     kind = docs.schema[key].dataType.simpleString()
-    prints = settled(rows.mapInArrow(_sketched, f"doc_id {kind}, text_key long, kind string, size long, fp long, {', '.join(f'{b} long' for b in _B)}"))
+    prints = settled(rows.mapInArrow(_sketched, f"doc_id {kind}, text_key {_KEY}, kind string, size long, fp long, {', '.join(f'{b} long' for b in _B)}"))
     # One node for each set of shingles; numbered once its rows are written, so that the numbers stay.
     kinds = settled(prints.groupBy("kind").agg(F.min("doc_id").alias("least"), F.min("text_key").alias("text_key"), F.first("fp").alias("fp"), F.first("size").alias("size"), *[F.first(b).alias(b) for b in _B])).withColumn("node", F.monotonically_increasing_id())
     sketched = kinds.select("node", F.array(*_B).alias("sketch"))
@@ -193,7 +209,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     def sets_of(nodes: DataFrame) -> DataFrame:
         """(node, set); texts that share a key are equal, so one of them stands for its node."""
         wanted = kinds.join(nodes, "node", "left_semi").select("node", "text_key")
-        texts = rows.select("text_key", "text").join(wanted, "text_key").select("node", "text").mapInArrow(_sets, "node long, set binary")
+        once = rows.select("text_key", "text").mapInArrow(_once_a_task, f"text_key {_KEY}, text string")
+        texts = once.join(wanted, "text_key").select("node", "text").mapInArrow(_sets, "node long, set binary")
         return settled(texts.groupBy("node").agg(F.first("set").alias("set")))
 
     def confirmed(pairs: DataFrame) -> DataFrame:

@@ -61,3 +61,26 @@ def test_stage_drops_pairs_at_point_eight(spark):
 
 def test_empty_table(spark):
     assert overlap.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_a_text_that_is_a_third_of_all_rows(spark):
+    """Copies and near copies of one text, in many partitions; nulls, repeated rows and columns that clash."""
+    rng = random.Random(5)
+    base = [f"v{i}" for i in range(90)]
+    hot = " ".join(base)
+    near = [" ".join(["x" if i == at else w for i, w in enumerate(base)]) for at in (0, 40, 89)]
+    texts = [hot] * 300 + near * 20 + [None] * 30 + [" ".join(rng.choices(base, k=60)) for _ in range(200)]
+    ids = [i if i % 50 else None for i in range(len(texts))]
+    rows = [(i, t, 1, 2, "k") for i, t in zip(ids, texts, strict=True)]
+    rows += [(7, hot, 1, 2, "k")] * 3
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string, component_id int, node int, kind string").repartition(9)
+    got = sorted(((r.doc_id, r.component_id) for r in overlap.near_duplicates(df).collect()), key=str)
+    distinct = list(dict.fromkeys(t or "" for _, t, *_ in rows))
+    root = dict(zip(distinct, brute_groups(distinct), strict=True))
+    least = {}
+    for i, t, *_ in rows:
+        if i is not None:
+            g = root[t or ""]
+            least[g] = min(i, least.get(g, i))
+    assert got == sorted(((i, least.get(root[t or ""])) for i, t, *_ in rows), key=str)
