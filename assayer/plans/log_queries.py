@@ -12,7 +12,7 @@ from .catalog import register
 from .views import sql
 
 # The next user's film, or for some users their own again.
-_NEXT = """SELECT coalesce(l.world_key, r.world_key) AS world_key, coalesce(l.t, r.t) AS t, coalesce(l.film = r.film, false) AS same FROM (SELECT * FROM films WHERE world_key % 2 = 0) l
+_NEXT = """SELECT coalesce(l.world_key, r.world_key) AS world_key, coalesce(l.t, r.t) AS t, l.film IS NOT DISTINCT FROM r.film AS same FROM (SELECT * FROM films WHERE world_key % 2 = 0) l
 FULL JOIN (SELECT world_key - 1 AS world_key, t, film FROM films WHERE world_key % 2 = 1 AND world_key % 10 <> 1 UNION ALL SELECT * FROM films WHERE world_key % 10 = 0) r ON l.world_key = r.world_key AND l.t = r.t"""
 
 

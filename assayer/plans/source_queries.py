@@ -9,6 +9,7 @@ from assayer.functions import identity
 from assayer.functions.folders import shared_folder
 from assayer.operators import logs
 from assayer.sources import artifacts, sinks
+from assayer.streaming import sessions as S
 
 from . import views as V
 from .catalog import register
@@ -26,6 +27,25 @@ def src01(spark, d):
     return artifacts.parsed(docs, "receipts").select("doc.episode_id", "doc.reward", "doc.status", F.size("doc.verification").cast("long").alias("signals"))
 
 
+_GROUPED = "SELECT episode_key // 500 AS g, sum(reward) / 100.0::DOUBLE AS reward, max(status) AS status FROM receipts GROUP BY 1"
+
+
+@register("src01_receipt_folder", sql(f"""SELECT g, CASE g % 10 WHEN 3 THEN 'not_json' WHEN 7 THEN 'empty' WHEN 9 THEN 'duplicate_key' WHEN 5 THEN 'not_object' END AS problem, CASE WHEN g % 10 NOT IN (3, 5, 7) THEN 'e' || g END AS episode_id,
+CASE WHEN g % 10 NOT IN (3, 5, 7) THEN reward END AS reward, CASE WHEN g % 10 NOT IN (3, 5, 7) THEN status END AS status FROM ({_GROUPED})""", "receipts"))
+def src01_folder(spark, d):
+    """A file for each five hundred episodes; some are cut off, empty, no object, or have a key twice."""
+    where, g = f"{shared_folder(spark)}/receipts", F.col("g")
+    rows = V.receipts(spark, d).groupBy(F.expr("episode_key div 500").alias("g")).agg((F.sum("reward") / F.lit(100.0)).alias("reward"), F.max("status").alias("status"))
+    fields = [F.concat(F.lit("e"), "g").alias("episode_id"), "reward", "status"]
+    whole = F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+    body = F.when(g % 10 == 3, F.substring(whole, 1, 9)).when(g % 10 == 7, "").when(g % 10 == 5, F.concat(F.lit("["), whole, F.lit("]"))).when(g % 10 == 9, F.concat(F.lit('{"status":"first",'), F.substr(whole, F.lit(2)))).otherwise(whole)
+    rows.select(g.alias("group"), body.alias("value")).repartition("group").write.partitionBy("group").text(where)
+    found = artifacts.folder(spark, where, {"receipts": "part-*.txt"})
+    typed = artifacts.parsed(artifacts.readable(found, "receipts"), "receipts").select(F.col("path").alias("_path"), "doc.episode_id", "doc.reward", "doc.status")
+    joined = found.join(typed, F.col("path") == F.col("_path"), "left")
+    return joined.select(F.regexp_extract("path", "group=([0-9]+)/", 1).cast("long").alias("g"), "problem", "episode_id", "reward", "status")
+
+
 def _rewards(spark, d):
     n = V.table(spark, d, "nation")
     signals = "map('s1', named_struct('verifier', n_name, 'weight', n_nationkey / 4D), 's2', named_struct('verifier', 'v', 'weight', 0.5D))"
@@ -72,6 +92,18 @@ def src07(spark, d):
     return artifacts.evaluation_episodes(_json(reports, env_id="'env-1'", split="candidate_key", episodes="episodes")).select("split", "task_id", "status", "reward")
 
 
+@register("src07_evaluation_folder", sql("SELECT candidate_key AS split, 't' || task_key AS task_id, status, reward::DOUBLE AS reward FROM cells", "cells"))
+def src07_folder(spark, d):
+    """An index file for each candidate and thousand tasks, beside files of no kind."""
+    where = f"{shared_folder(spark)}/evaluations"
+    listed = F.collect_list(F.struct(F.concat(F.lit("t"), "task_key").alias("task_id"), F.col("episode_key").cast("string").alias("episode_id"), "status", "reward"))
+    reports = V.cells(spark, d).groupBy("candidate_key", F.expr("task_key div 1000").alias("block")).agg(listed.alias("episodes"))
+    docs = _json(reports, "candidate_key", "block", env_id="'env-1'", split="candidate_key", episodes="episodes").withColumnRenamed("raw", "value")
+    docs.repartition("candidate_key", "block").write.partitionBy("candidate_key", "block").text(where)
+    found = artifacts.folder(spark, where, {"evaluations": "part-*.txt", "receipts": "receipt*.json"})
+    return artifacts.evaluation_episodes(artifacts.readable(found, "evaluations")).select("split", "task_id", "status", "reward")
+
+
 @register("src08_candidate_sets", "SELECT concat('c', o_orderpriority[1]) AS candidate_key, 2 AS words FROM orders GROUP BY 1")
 def src08(spark, d):
     keys = V.table(spark, d, "orders").agg(F.collect_set(F.concat(F.lit("c"), F.substring("o_orderpriority", 1, 1))).alias("keys"))
@@ -86,6 +118,20 @@ def src09(spark, d):
     return artifacts.parsed(docs, "submissions").select("event_id", "doc.submission_version", "doc.finding")
 
 
+@register("src09_submission_folder", """SELECT user_id, CASE WHEN user_id % 6 = 0 THEN 'not_json' END AS problem, CASE WHEN user_id % 6 <> 0 THEN 1 END AS submission_version, CASE WHEN user_id % 6 <> 0 THEN string_agg(event_id::VARCHAR, ',' ORDER BY event_id) END AS patch FROM events GROUP BY 1""")
+def src09_folder(spark, d):
+    """A file for each user's submission, read as a stream; some are cut off."""
+    where = shared_folder(spark)
+    patch = F.array_join(F.transform(F.array_sort(F.collect_list("event_id")), lambda e: e.cast("string")), ",")
+    users = V.table(spark, d, "events").groupBy(F.col("user_id").alias("user")).agg(patch.alias("patch"))
+    body = F.when(F.col("user") % 6 == 0, "{broken").otherwise(F.to_json(F.struct(F.lit(1).alias("submission_version"), F.lit(None).cast("string").alias("finding"), "patch")))
+    users.select("user", body.alias("value")).repartition("user").write.partitionBy("user").text(f"{where}/submissions")
+    stream = artifacts.folder(spark, f"{where}/submissions", {"submissions": "part-*.txt"}, stream=True)
+    S.drained(stream.drop("content"), S.kept(f"{where}/read", S.new_run()))
+    found = artifacts.parsed(S.stored(spark, f"{where}/read"), "submissions", "text")
+    return found.select(F.regexp_extract("path", "user=([0-9]+)/", 1).cast("long").alias("user_id"), "problem", "doc.submission_version", "doc.patch")
+
+
 @register("src10_film_strips", sql("SELECT world_key::VARCHAR AS world_key, t - 1 AS t, film FROM films", "films"))
 def src10(spark, d):
     strips = V.films(spark, d).groupBy("world_key").agg(F.array_sort(F.collect_list(F.struct("t", F.lit("x").alias("label"), "film"))).alias("epochs"))

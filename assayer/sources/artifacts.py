@@ -10,6 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assayer.functions import columns as C
+from assayer.functions import globs, identity
+
 SCHEMAS = {
     "receipts": "episode_id string, episode_version string, task_id string, reward_id string, verification map<string,string>, reward double, status string, validity string",
     "rewards": "reward_id string, signals map<string,struct<verifier:string,weight:double>>, caps array<struct<when:struct<signal:string,state:string>,reward_max:double>>",
@@ -30,6 +33,37 @@ def files(spark: SparkSession, path: str, name: str) -> DataFrame:
     return reader.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw"))
 
 
+#: What Spark tells of a file of bytes; streams want it stated.
+FILE = "path string, modificationTime timestamp, length bigint, content binary"
+
+
+def folder(spark: SparkSession, path: str, kinds: dict[str, str], stream: bool = False) -> DataFrame:
+    """(path, kind, content, text, problem) of artifact files below a path, as a table or a stream.
+
+    kinds maps a kind to the pattern of its file names; files of no kind are not opened, and
+    Spark deals the others out by their bytes, from any store that it reads. `content` are
+    the bytes, for ids; `text` is null where they are no UTF-8. What cannot be read is a row:
+    problem is not_utf8, empty, not_json, not_object, or duplicate_key (of which readers take
+    the last one), else null. Spark passes over files without a byte; listed() has those.
+    """
+    reader = spark.readStream.schema(FILE) if stream else spark.read
+    found = reader.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "{" + ",".join(kinds.values()) + "}").load(path)
+    name = F.regexp_extract("path", "([^/]*)$", 1)
+    kind = F.coalesce(*[F.when(name.rlike(globs.regex(pattern)), kind) for kind, pattern in kinds.items()])
+    rows = found.select("path", kind.alias("kind"), "content", C.strict_utf8(F.col("content")).alias("text")).withColumn("_json", identity.canonical_text(F.col("text")))
+    problem = (
+        F.when(F.col("text").isNull(), "not_utf8").when(F.col("text").rlike(r"^\s*\z"), "empty").when(F.col("_json").isNull(), "not_json")
+        .when(~F.col("_json").startswith("{"), "not_object").when(F.try_parse_json("text").isNull(), "duplicate_key")
+    )
+    return rows.select("path", "kind", "content", "text", problem.alias("problem"))
+
+
+def readable(documents: DataFrame, kind: str) -> DataFrame:
+    """(path, content, raw) of the documents of a kind in folder() that parse."""
+    fine = F.col("problem").isNull() | (F.col("problem") == "duplicate_key")
+    return documents.filter((F.col("kind") == kind) & fine).select("path", "content", F.col("text").alias("raw"))
+
+
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """(path, line) of text logs."""
     return spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("line"))
