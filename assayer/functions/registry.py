@@ -19,35 +19,50 @@ class Rule:
     state: Callable[[], Column]
 
 
+@dataclass(frozen=True)
+class Fold:
+    """A verifier whose state is an aggregate over an episode's rows of a table, which it shares with other folds."""
+
+    state: Callable[[], Column]
+
+
 class Registry:
     """Verifiers by signal, and a version each."""
 
-    def __init__(self, known: Mapping[str, tuple[str, Verifier | Rule]]):
+    def __init__(self, known: Mapping[str, tuple[str, Verifier | Rule | Fold]]):
         self.known = dict(known)
 
     def frame(self, spark: SparkSession) -> DataFrame:
         """(signal, version)"""
         return spark.createDataFrame([(s, v) for s, (v, _) in sorted(self.known.items())], "signal string, version string")
 
-    def run(self, context: DataFrame, signals: list[str], extra: Mapping[str, tuple[str, Verifier | Rule]] | None = None, registry_given: bool = False) -> DataFrame:
+    def run(self, context: DataFrame, signals: list[str], extra: Mapping[str, tuple[str, Verifier | Rule | Fold]] | None = None, registry_given: bool = False, table: DataFrame | None = None) -> DataFrame:
         """(episode_key, signal, state, version, source); signals without an implementation are `error`.
 
-        All rules are one projection over the context, which is read once for them; each
-        other verifier is a branch of its own. Injected verifiers and a registry of the
-        caller's own exclude each other.
+        All rules are one projection over the context, and all folds one aggregate over
+        `table` (episode_key and whatever they ask for), so each is read once and moved once
+        at most, added up before it moves; each other verifier is a branch of its own. An
+        episode without rows in the table has no fold's verdict. Injected verifiers and a
+        registry of the caller's own exclude each other.
         """
         if extra and registry_given:
             raise ValueError("give a registry or extra verifiers, not both")
-        verdicts, branches = [], []
+        verdicts, folds, branches = [], [], []
         for signal in signals:
             version, verifier, source = (*extra[signal], "injected") if extra and signal in extra else (*self.known[signal], "registry") if signal in self.known else (None, Rule(lambda: F.lit("error")), "none")
             named = F.lit(signal).alias("signal"), F.lit(version).cast("string").alias("version"), F.lit(source).alias("source")
             if isinstance(verifier, Rule):
                 verdicts.append(F.struct(named[0], verifier.state().alias("state"), *named[1:]))
+            elif isinstance(verifier, Fold):
+                folds.append(F.struct(named[0], verifier.state().alias("state"), *named[1:]))
             else:
                 branches.append(verifier(context).select("episode_key", named[0], "state", *named[1:]))
         if verdicts:
             branches.insert(0, context.select("episode_key", F.explode(F.array(*verdicts)).alias("v")).select("episode_key", "v.*"))
+        if folds:
+            if table is None:
+                raise ValueError("folds need a table")
+            branches.append(table.groupBy("episode_key").agg(F.array(*folds).alias("_v")).select("episode_key", F.explode("_v").alias("v")).select("episode_key", "v.*"))
         found = branches[0]
         for more in branches[1:]:
             found = found.unionByName(more)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from assayer.functions import columns as C
 from assayer.functions import identity
-from assayer.functions.registry import Registry, Rule, each
+from assayer.functions.registry import Fold, Registry, Rule, each
 from assayer.operators import patches
 
 from . import views as V
@@ -39,6 +39,20 @@ def udf03(spark, d):
     return REGISTRY.run(V.episodes(spark, d), ["s3", "s4", "s5"], extra)
 
 
+_FOLDS = {
+    "spread": ("1", Fold(lambda: F.when(F.count_distinct("signal") >= 3, "pass").otherwise("not_applicable"))),
+    "clean": ("2", Fold(lambda: F.when(F.bool_or(F.col("state") == "error"), "error").when(F.bool_or(F.col("state") == "fail"), "fail").otherwise("pass"))),
+    "mostly": ("1", Fold(lambda: F.when(F.count_if(F.col("state") == "pass") * 2 > F.count(F.lit(1)), "pass").otherwise("fail"))),
+}
+
+
+@register("udf03_table_verifiers", sql("""SELECT episode_key, f.signal, CASE f.signal WHEN 'spread' THEN CASE WHEN n >= 3 THEN 'pass' ELSE 'not_applicable' END WHEN 'clean' THEN CASE WHEN bad THEN 'error' WHEN failed THEN 'fail' ELSE 'pass' END ELSE CASE WHEN passed * 2 > n THEN 'pass' ELSE 'fail' END END AS state,
+CASE f.signal WHEN 'clean' THEN '2' ELSE '1' END AS version, 'injected' AS source FROM (SELECT episode_key, count(*) AS n, bool_or(state = 'error') AS bad, bool_or(state = 'fail') AS failed, count(*) FILTER (state = 'pass') AS passed FROM signal_states GROUP BY 1), (VALUES ('spread'), ('clean'), ('mostly')) f(signal)""", "signal_states"))
+def udf03_tables(spark, d):
+    """Three verifiers that each see all signals of an episode."""
+    return REGISTRY.run(V.episodes(spark, d), list(_FOLDS), _FOLDS, table=V.signal_states(spark, d))
+
+
 @register("udf04_identity_adapter", "SELECT doc_id, 'src-' || length(text) AS id FROM documents")
 def udf04(spark, d):
     def by_length(texts: pd.Series) -> pd.Series:

@@ -194,3 +194,18 @@ def test_listed_trees(spark):
     listing = spark.createDataFrame([("a", "0644", False), ("l", "0777", True), ("gone", "0644", False), ("dangling", "0777", True)], "path string, mode string, is_link boolean")
     got = {r.path: (r.mode, r.state) for r in artifacts.listed(files, listing).collect()}
     assert got == {"a": ("0644", "file"), "b": (None, "unlisted"), "l": ("0777", "link"), "gone": ("0644", "absent"), "dangling": ("0777", "link")}
+
+
+def test_folds_share_one_scan_and_one_exchange(spark, tmp_path):
+    from assayer.functions.registry import Fold, Registry
+
+    path = str(tmp_path / "t")
+    spark.createDataFrame([(1, "a"), (1, "b"), (2, "a")], "episode_key int, state string").write.parquet(path)
+    folds = {"n": ("1", Fold(lambda: F.when(F.count(F.lit(1)) > 1, "pass").otherwise("fail"))), "a": ("1", Fold(lambda: F.max("state"))), "b": ("1", Fold(lambda: F.min("state")))}
+    table = spark.read.parquet(path)
+    found = Registry({}).run(table, list(folds), folds, table=table)
+    assert sorted((r.episode_key, r.signal, r.state) for r in found.collect()) == [(1, "a", "b"), (1, "b", "a"), (1, "n", "pass"), (2, "a", "a"), (2, "b", "a"), (2, "n", "fail")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert (plan.count("Aggregate"), plan.count("Relation")) == (1, 1)
+    with pytest.raises(ValueError):
+        Registry({}).run(table, ["n"], folds)
