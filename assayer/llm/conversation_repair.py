@@ -49,7 +49,6 @@ SALTS = 16
 BATCH_BYTES = 4_000_000
 #: Letters of the audit as octal digits, in ASCII order.
 DIGIT = {"D": 1, "I": 2, "K": 3, "R": 4}
-LETTER = {v: k for k, v in DIGIT.items()}
 COST = {"D": 3, "I": 2, "K": 0, "R": 2}
 #: The last role of what is repaired so far: none yet, system, user, assistant.
 NONE, SYSTEM, USER, ASSISTANT = range(4)

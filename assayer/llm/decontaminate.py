@@ -24,7 +24,8 @@ The benchmark's shingles and the found windows are broadcast while they are few
 texts are not shuffled in the first case. Places of the benchmark's shingles in documents
 are written down once; their number grows with the documents, not with items that share them.
 
-Defined cases: null texts are empty; items without words match nothing; a window cut off
+Defined cases: null texts are empty; texts and items are compared whole, however long;
+items without words match nothing; a window cut off
 by an end of the document is as long as it gets; equal documents are judged alike and are
 reported as one row for a document id and an item, with the best window (the first one of
 equals); a null doc_id is an id like others; empty tables give no rows; other columns are

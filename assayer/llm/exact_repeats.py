@@ -33,7 +33,6 @@ a block; columns besides the two named are not looked at.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from itertools import groupby
 from typing import NamedTuple

@@ -10,7 +10,8 @@ of at most shards x 4,096 rows), and rows are numbered inside their bucket only.
 
 Defined cases: a null key counts as the empty string; a null text has 0 bytes and
 checksum 0; rows that are equal in key, size and checksum are interchangeable and get
-one slot each; an empty table gives no rows; other columns are not looked at.
+one slot each; texts count whole, however long; an empty table gives no rows; other
+columns are not looked at.
 """
 
 from __future__ import annotations

@@ -17,8 +17,8 @@ rule and is judged by the model over its whole text (null: the empty text). With
 accepted or no rejected URL at all, the counts are zero, every difference is smoothed
 alone, and ties with the threshold are allowed. Where none of a class was kept apart, its
 mean is that of all its URLs; without such the threshold is zero. Equal URLs get equal
-verdicts, one row each; an empty table gives no rows; other columns are carried along, but
-one with a result's name gives way to it.
+verdicts, one row each; URLs are read whole, however long; an empty table gives no rows;
+other columns are carried along, but one with a result's name gives way to it.
 """
 
 from __future__ import annotations
