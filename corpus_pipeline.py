@@ -5,7 +5,9 @@ Each stage takes (spark, docs, sf_dir) and works on all that the stage before it
 Documents are told apart by doc_id; rows without one are judged by their text where a
 stage allows that and are kept by the others. Columns besides doc_id and text are carried
 along, whatever their names; of rows with one id the first one in the order of its columns
-stays (maps do not count).
+stays (maps do not count). Texts are taken whole, however long; an empty text is judged like
+any other, and all texts without words are one group of near-duplicates. An empty table
+gives no rows.
 """
 
 from __future__ import annotations
