@@ -99,55 +99,68 @@ def _fields(**kinds: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(name, kind) for name, kind in kinds.items()])
 
 
-#: What a session's fold has come to, the sequence number answered last, and calls that wait.
-WAITING = "fold string, last bigint, latest bigint, seqs array<bigint>, times array<bigint>, items array<string>"
+#: The sessions of a group by name, as JSON: what a session's fold has come to, the sequence number answered last, the latest time, and calls that wait.
+HELD = "sessions string"
+#: Groups that sessions are dealt out to by their hash. A group is one row of state and one call of the fold, so these
+#: cost the same for however many sessions; a batch writes the groups that it touches anew, with their open sessions.
+GROUPS = 4096
 
 
-def in_order(calls: DataFrame, session: str, item: list[str], out: T.StructType, start: Any, step: Callable[[Any, dict], tuple[dict, Any]], late: dict, delay_ms: int, idle_ms: int) -> DataFrame:
+def in_order(calls: DataFrame, session: str, item: list[str], out: T.StructType, start: Any, step: Callable[[Any, dict], tuple[dict, Any]], late: dict, delay_ms: int, idle_ms: int, groups: int | None = None) -> DataFrame:
     """Rows of `out` for calls (session, seq, at, item), folded in the order of seq for each session.
 
-    step(fold, item) gives an answer's columns and the next fold, which JSON can hold. The
-    watermark that Spark keeps lies HORIZON behind the latest event time, so that late calls
-    reach this operator and can be answered; the delay is counted from there.
+    step(fold, item) gives an answer's columns and the next fold, which JSON can hold, as it
+    can a session's name. The watermark that Spark keeps lies HORIZON behind the latest event
+    time, so that late calls reach this operator and can be answered; the delay is counted
+    from there. A stream that goes on from a checkpoint must keep its number of groups.
     """
-    back = HORIZON_MS - delay_ms
+    back, first = HORIZON_MS - delay_ms, json.dumps(start)
     marked = calls.withWatermark("at", f"{HORIZON_MS} milliseconds")
-    rows = marked.select(session, "seq", "at", F.unix_millis("at").alias("_ms"), F.to_json(F.struct(*item), {"ignoreNullFields": "false"}).alias("_item"))
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        mark = state.getCurrentWatermarkMs() + back
-        fold, last, latest, seqs, times, items = state.get if state.exists else (json.dumps(start), None, None, [], [], [])
-        waiting = sorted(zip(map(int, seqs), map(int, times), items, strict=True))
+    as_json = lambda *names: F.to_json(F.struct(*names), {"ignoreNullFields": "false"})
+    group = F.pmod(F.xxhash64(session), F.lit(groups or GROUPS)).alias("_group")
+    rows = marked.select(group, as_json(session).alias("_name"), "seq", "at", F.unix_millis("at").alias("_ms"), as_json(*item).alias("_item"))
+
+    def run(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        watermark = state.getCurrentWatermarkMs()
+        mark = watermark + back
+        held = json.loads(state.get[0]) if state.exists else {}
         answers = []
         if not state.hasTimedOut:
             for batch in batches:
-                for seq, at, body in zip(batch["seq"], batch["_ms"], batch["_item"], strict=True):
-                    if at <= mark or (last is not None and seq <= last):
-                        answers.append({session: key[0], "seq": seq, **json.loads(body), **late})
+                columns = (batch[c].tolist() for c in ("_name", "seq", "_ms", "_item"))
+                for name, seq, at, body in zip(*columns, strict=True):
+                    one = held.get(name)
+                    if one is None:
+                        one = held[name] = [json.loads(first), None, None, []]
+                    if at <= mark or (one[1] is not None and seq <= one[1]):
+                        answers.append({**json.loads(name), "seq": seq, **json.loads(body), **late})
                     else:
-                        waiting.append((int(seq), int(at), body))
-                        latest = max(int(at), latest or int(at))
+                        one[3].append([seq, at, body])
+                        one[2] = max(at, one[2] or at)
+        kept, due = {}, None
+        for name, (fold, last, latest, waiting) in held.items():
             waiting.sort()
-        fold, done = json.loads(fold), 0
-        for seq, at, body in waiting:
-            if at > mark:
-                break
-            answer, fold = step(fold, json.loads(body))
-            answers.append({session: key[0], "seq": seq, **json.loads(body), **answer})
-            last, done = seq, done + 1
-        waiting = waiting[done:]
-        if waiting:
-            due = waiting[0][1]
-        else:
-            due = (latest or 0) + idle_ms
-        if not waiting and due <= mark:
-            state.remove() if state.exists else None
-        else:
-            state.update((json.dumps(fold), last, latest, [w[0] for w in waiting], [w[1] for w in waiting], [w[2] for w in waiting]))
-            state.setTimeoutTimestamp(max(due - back, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(answers, columns=out.fieldNames())
-
-    return rows.groupBy(session).applyInPandasWithState(run, out, WAITING, "append", GroupStateTimeout.EventTimeTimeout)
+            done = 0
+            for seq, at, body in waiting:
+                if at > mark:
+                    break
+                answer, fold = step(fold, json.loads(body))
+                answers.append({**json.loads(name), "seq": seq, **json.loads(body), **answer})
+                last, done = seq, done + 1
+            waiting = waiting[done:]
+            turn = waiting[0][1] if waiting else (latest or 0) + idle_ms
+            if waiting or turn > mark:
+                kept[name] = (fold, last, latest, waiting)
+                due = turn if due is None else min(turn, due)
+        if kept:
+            state.update((json.dumps(kept),))
+            # Spark calls again once its watermark is beyond this time, so as soon as the mark has reached the turn.
+            state.setTimeoutTimestamp(max(due - back - 1, watermark, 1))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(answers, columns=out.fieldNames(), dtype=object)
+
+    return rows.groupBy("_group").applyInPandasWithState(run, out, HELD, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 ANSWERS = _fields(session_id=T.LongType(), seq=T.LongType(), answer=T.StringType())

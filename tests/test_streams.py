@@ -110,6 +110,18 @@ def test_lifecycle_in_any_order_of_arrival(spark, tmp_path):
     assert rows(S.stored(spark, str(tmp_path / "out")).filter("session_id <> 999"), *columns) == rows(twin, *columns)
 
 
+def test_sessions_share_state_rows(spark, tmp_path, monkeypatch):
+    """State rows and calls of the fold are as many as groups, not sessions; the last call is answered though nothing comes after it."""
+    monkeypatch.setattr(S, "GROUPS", 8, raising=False)
+    at = lambda n: datetime.datetime(2024, 5, 1) + datetime.timedelta(seconds=n)
+    sent = [(s, i, at(10 * s + i), action) for s in range(60) for i, action in enumerate(["start", "finalize", "close"])] + [(1000, 0, at(5000), "start")]
+    schema, check = "session_id long, seq long, at timestamp, action string", str(tmp_path / "check")
+    S.drained(S.lifecycle(batched(spark, str(tmp_path / "in"), schema, [sent])), S.kept(str(tmp_path / "out"), "r"), checkpoint=check)
+    columns = ("session_id", "seq", "action", "state", "answer")
+    assert rows(S.stored(spark, str(tmp_path / "out")), *columns) == rows(logs.session_answers(spark.createDataFrame(sent, schema)), *columns)
+    assert spark.read.format("statestore").load(check).count() <= 8
+
+
 def test_update_mode_writes_what_changed(spark, tmp_path):
     path, schema = str(tmp_path / "t"), "split long, status string, reward long"
     batches = [[(k, "ok", k) for k in range(40)], [(3, "error", None)], [(3, "ok", 5), (50, "invalid", None)], [(4, "ok", 1)], [(50, "ok", 2)]]
