@@ -122,6 +122,15 @@ def test_sessions_share_state_rows(spark, tmp_path, monkeypatch):
     assert spark.read.format("statestore").load(check).count() <= 8
 
 
+def test_retries_share_state_rows(spark, tmp_path, monkeypatch):
+    """Sessions of a group keep their own owners while they wait in one row of state."""
+    monkeypatch.setattr(S, "GROUPS", 4, raising=False)
+    sent, check = calls(11, sessions=40), str(tmp_path / "check")
+    S.drained(S.retries(batched(spark, str(tmp_path / "in"), CALLS, [sent])), S.kept(str(tmp_path / "out"), "r"), checkpoint=check)
+    assert rows(S.stored(spark, str(tmp_path / "out")), "session_id", "seq", "answer") == rows(logs.retries(spark.createDataFrame(sent, CALLS)), "session_id", "seq", "answer")
+    assert spark.read.format("statestore").load(check).count() <= 4
+
+
 def test_update_mode_writes_what_changed(spark, tmp_path):
     path, schema = str(tmp_path / "t"), "split long, status string, reward long"
     batches = [[(k, "ok", k) for k in range(40)], [(3, "error", None)], [(3, "ok", 5), (50, "invalid", None)], [(4, "ok", 1)], [(50, "ok", 2)]]
