@@ -199,40 +199,51 @@ def lifecycle(actions: DataFrame, delay_ms: int = 0, idle_ms: int = IDLE_MS) ->
 
 
 class Once(StatefulProcessor):
-    """Rows (id, content) to (id, content, outcome): published, once an id; conflict, once a batch and content, for an id that is published with other content."""
+    """Rows (id, content) of a group to (id, content, outcome): published, once an id; conflict, once a batch and content, for an id that is published with other content."""
 
     def init(self, handle) -> None:
-        self.held = handle.getValueState("held", T.StructType([T.StructField("content", T.StringType())]))
+        self.held = handle.getMapState("held", _fields(id=T.StringType()), _fields(content=T.StringType()))
 
     def handleInputRows(self, key, rows, timers) -> Iterator[pd.DataFrame]:  # noqa: N802
-        found = {None if pd.isna(c) else c for batch in rows for c in batch["content"]}
+        found: dict = {}
+        for batch in rows:
+            for name, content in batch[["id", "content"]].drop_duplicates().itertuples(index=False, name=None):
+                found.setdefault(_plain(name), set()).add(_plain(content))
         out = []
-        if self.held.exists():
-            content = self.held.get()[0]
-        else:
-            content = min(found, key=lambda c: (c is not None, c or ""))
-            self.held.update((content,))
-            out.append((key[0], content, "published"))
-        out += [(key[0], c, "conflict") for c in found if c != content]
-        yield pd.DataFrame(out, columns=["id", "content", "outcome"])
+        for name, contents in found.items():
+            held = self.held.getValue((name,))
+            if held is None:
+                content = min(contents, key=lambda c: (c is not None, c or ""))
+                self.held.updateValue((name,), (content,))
+                out.append((name, content, "published"))
+            else:
+                content = held[0]
+            out += [(name, c, "conflict") for c in contents if c != content]
+        yield pd.DataFrame(out, columns=["id", "content", "outcome"], dtype=object)
 
     def handleInitialState(self, key, rows, timers) -> None:  # noqa: N802
-        content = rows["content"].iloc[0]
-        self.held.update((None if pd.isna(content) else content,))
+        for name, content in rows[["id", "content"]].itertuples(index=False, name=None):
+            self.held.updateValue((_plain(name),), (_plain(content),))
 
     def close(self) -> None:
         pass
 
 
+def _plain(value: Any) -> str | None:
+    return None if pd.isna(value) else value
+
+
 def publication(rows: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """(id, content, outcome) of a stream (id, content), see Once.
 
-    The content of each id is its keyed state, so no batch reads what others have published.
+    The content of each id is a state row of its own, so no batch reads what others have
+    published and it writes no other ids' state; ids share GROUPS calls of Once a batch.
     `known` (id, content) is what a table held before the stream's first batch; it is read
     once, then. Of several contents of an id in its first batch the least counts, null first.
     """
-    once = rows.select("id", "content").groupBy("id")
-    first = None if known is None else known.select("id", "content").groupBy("id")
+    group = F.pmod(F.xxhash64("id"), F.lit(GROUPS)).alias("_group")
+    once = rows.select(group, "id", "content").groupBy("_group")
+    first = None if known is None else known.select(group, "id", "content").groupBy("_group")
     return once.transformWithStateInPandas(Once(), "id string, content string, outcome string", "append", "none", initialState=first)
 
 

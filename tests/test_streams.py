@@ -62,6 +62,25 @@ def test_publication_by_state(spark, tmp_path):
     assert rows(S.stored(spark, conflicts), "id", "content") == sorted([*want, ("8", "x")])
 
 
+def test_ids_share_calls_of_the_publication(spark, tmp_path, monkeypatch):
+    """Ids of a group meet in one call, with a state row each; an id may be null."""
+    monkeypatch.setattr(S, "GROUPS", 2, raising=False)
+    seen, taken = str(tmp_path / "seen"), S.Once.handleInputRows
+
+    def counted(self, key, batches, timers):
+        with open(seen, "a") as f:
+            f.write("x")
+        yield from taken(self, key, batches, timers)
+
+    monkeypatch.setattr(S.Once, "handleInputRows", counted)
+    path, conflicts = str(tmp_path / "p"), str(tmp_path / "c")
+    sent = [(str(i), c) for i in range(30) for c in ("b", "a")] + [(None, "n")]
+    S.published(batched(spark, str(tmp_path / "in"), IDS, [sent]), path, conflicts, str(tmp_path / "k"))
+    assert rows(S.stored(spark, path).fillna("-"), "id", "content") == sorted([*((str(i), "a") for i in range(30)), ("-", "n")])
+    assert rows(S.stored(spark, conflicts), "id", "content") == sorted((str(i), "b") for i in range(30))
+    assert len(open(seen).read()) <= 2
+
+
 CALLS = "session_id long, seq long, at timestamp, key string, finishes boolean"
 
 
