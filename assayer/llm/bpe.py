@@ -34,7 +34,7 @@ from .shared import chunks
 
 #: The published pre-tokenisation pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CHUNK_BYTES = 10_000_000
+CHUNK_BYTES = 2_000_000
 #: A tokenizer file of more bytes is refused, as it is sent to every executor.
 MAX_TOKENIZER_BYTES = 64_000_000
 
