@@ -17,9 +17,12 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import islice
 from typing import Any
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -99,81 +102,145 @@ def _fields(**kinds: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(name, kind) for name, kind in kinds.items()])
 
 
-#: The sessions of a group by name, as JSON: what a session's fold has come to, the sequence number answered last, the latest time, and calls that wait.
-HELD = "sessions string"
+#: The sessions of a group as JSON rows (name, what its fold has come to, the sequence number answered last, the latest
+#: time), and the calls that wait as a compressed Arrow stream whose first column is a session's place among these rows.
+HELD = "sessions string, waiting binary"
 #: Groups that sessions are dealt out to by their hash. A group is one row of state and one call of the fold, so these
 #: cost the same for however many sessions; a batch writes the groups that it touches anew, with their open sessions.
 GROUPS = 4096
 
 
-def in_order(calls: DataFrame, session: str, item: list[str], out: T.StructType, start: Any, step: Callable[[Any, dict], tuple[dict, Any]], late: dict, delay_ms: int, idle_ms: int, groups: int | None = None) -> DataFrame:
+def _packed(columns: list[np.ndarray], schema: pa.Schema) -> bytes:
+    to = pa.BufferOutputStream()
+    arrays = [pa.array(c, field.type, from_pandas=True) for c, field in zip(columns, schema, strict=True)]
+    with pa.ipc.new_stream(to, schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+        stream.write_batch(pa.record_batch(arrays, schema=schema))
+    return to.getvalue().to_pybytes()
+
+
+def _unpacked(data: bytes) -> list[np.ndarray]:
+    places, seq, ms, *items = (c.to_numpy() for c in pa.ipc.open_stream(data).read_all().columns)
+    return [places, seq, ms, *(i.astype(object) for i in items)]
+
+
+def _starts(places: np.ndarray) -> np.ndarray:
+    """Where each session's rows start among rows in order of sessions."""
+    return np.flatnonzero(np.diff(places, prepend=-1))
+
+
+def in_order(calls: DataFrame, session: str, item: list[str], out: T.StructType, start: Any, step: Callable[..., tuple[tuple, Any]], late: dict, delay_ms: int, idle_ms: int, groups: int | None = None) -> DataFrame:
     """Rows of `out` for calls (session, seq, at, item), folded in the order of seq for each session.
 
-    step(fold, item) gives an answer's columns and the next fold, which JSON can hold, as it
-    can a session's name. The watermark that Spark keeps lies HORIZON behind the latest event
-    time, so that late calls reach this operator and can be answered; the delay is counted
-    from there. A stream that goes on from a checkpoint must keep its number of groups.
+    step(fold, *item) gives the answer's columns, in the order of `late`, and the next fold,
+    which JSON can hold. Sessions are named by whole numbers or strings; items are strings
+    or booleans. The watermark that Spark keeps lies HORIZON behind the latest event time, so
+    that late calls reach this operator and can be answered; the delay is counted from there.
+    A stream that goes on from a checkpoint must keep its number of groups.
+
+    Calls go to Python and into the state as columns and are sorted and cut there by numpy;
+    row by row there is only the step. Whole numbers that may be null travel as strings, as
+    pandas has only doubles for them.
     """
     back, first = HORIZON_MS - delay_ms, json.dumps(start)
     marked = calls.withWatermark("at", f"{HORIZON_MS} milliseconds")
-    as_json = lambda *names: F.to_json(F.struct(*names), {"ignoreNullFields": "false"})
     group = F.pmod(F.xxhash64(session), F.lit(groups or GROUPS)).alias("_group")
-    rows = marked.select(group, as_json(session).alias("_name"), "seq", "at", F.unix_millis("at").alias("_ms"), as_json(*item).alias("_item"))
+    rows = marked.select(group, F.col(session).cast("string").alias("_name"), "seq", "at", F.unix_millis("at").alias("_ms"), *item)
+    kinds = [pa.bool_() if isinstance(marked.schema[c].dataType, T.BooleanType) else pa.string() for c in item]
+    schema = pa.schema([("_place", pa.int64()), ("seq", pa.int64()), ("_ms", pa.int64()), *zip(item, kinds, strict=True)])
+    named = T.StructType([T.StructField(f.name, T.StringType() if f.name == session else f.dataType) for f in out.fields])
+
+    def text(values: list) -> str:
+        return json.dumps({c: v for c, v in zip(item, values, strict=True)}, separators=(",", ":"), ensure_ascii=False)
+
+    def answered(sessions: list, columns: list[np.ndarray], answers: dict) -> pd.DataFrame:
+        places, seq, _, *items = columns
+        names = np.array([s[0] for s in sessions], dtype=object)[places]
+        return pd.DataFrame({session: names, "seq": seq, **dict(zip(item, items, strict=True)), **answers}, columns=out.fieldNames())
 
     def run(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         watermark = state.getCurrentWatermarkMs()
         mark = watermark + back
-        held = json.loads(state.get[0]) if state.exists else {}
-        answers = []
+        sessions = json.loads(state.get[0]) if state.exists else []
+        known = len(sessions)
+        parts = [_unpacked(bytes(state.get[1])) if state.exists else [np.empty(0, np.int64)] * 3 + [np.empty(0, object)] * len(item)]
         if not state.hasTimedOut:
+            place = {s[0]: i for i, s in enumerate(sessions)}
+            last = np.array([s[2] if s[2] is not None else 0 for s in sessions])
+            passed = np.array([s[2] is not None for s in sessions], bool)
             for batch in batches:
-                columns = (batch[c].tolist() for c in ("_name", "seq", "_ms", "_item"))
-                for name, seq, at, body in zip(*columns, strict=True):
-                    one = held.get(name)
-                    if one is None:
-                        one = held[name] = [json.loads(first), None, None, []]
-                    if at <= mark or (one[1] is not None and seq <= one[1]):
-                        answers.append({**json.loads(name), "seq": seq, **json.loads(body), **late})
-                    else:
-                        one[3].append([seq, at, body])
-                        one[2] = max(at, one[2] or at)
-        kept, due = {}, None
-        for name, (fold, last, latest, waiting) in held.items():
-            waiting.sort()
-            done = 0
-            for seq, at, body in waiting:
-                if at > mark:
-                    break
-                answer, fold = step(fold, json.loads(body))
-                answers.append({**json.loads(name), "seq": seq, **json.loads(body), **answer})
-                last, done = seq, done + 1
-            waiting = waiting[done:]
-            turn = waiting[0][1] if waiting else (latest or 0) + idle_ms
-            if waiting or turn > mark:
-                kept[name] = (fold, last, latest, waiting)
+                places = np.array([place.setdefault(_plain(n), len(place)) for n in batch["_name"].tolist()], np.int64)
+                sessions += [[n, json.loads(first), None, None] for n in islice(place, len(sessions), None)]
+                columns = [places, batch["seq"].to_numpy(), batch["_ms"].to_numpy(), *(batch[c].astype(object).where(batch[c].notna(), None).to_numpy() for c in item)]
+                gone = columns[2] <= mark
+                if known:
+                    old = np.minimum(places, known - 1)
+                    gone |= (places < known) & passed[old] & (columns[1] <= last[old])
+                if gone.any():
+                    yield answered(sessions, [c[gone] for c in columns], late)
+                    columns = [c[~gone] for c in columns]
+                parts.append(columns)
+        columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+        places, seq, ms, *items = columns
+        order = np.lexsort((ms, seq, places))
+        same = np.diff(places[order]) == 0
+        if (same & (np.diff(seq[order]) == 0) & (np.diff(ms[order]) == 0)).any():
+            order = np.array(sorted(order.tolist(), key=lambda i: (places[i], seq[i], ms[i], text([c[i] for c in items]))))
+        places, seq, ms, *items = columns = [c[order] for c in columns]
+        heads = _starts(places)
+        if len(heads):
+            for i, at in zip(places[heads].tolist(), np.fmax.reduceat(ms, heads).tolist(), strict=True):
+                if at == at:  # not where no call has a time
+                    sessions[i][3] = int(at) if sessions[i][3] is None else max(int(at), sessions[i][3])
+        # A call is ready unless it or one before it in its session lies beyond the mark.
+        beyond = np.cumsum(ms > mark)
+        before = np.repeat((beyond - (ms > mark))[heads], np.diff(heads, append=len(places)))
+        ready = beyond == before
+        if ready.any():
+            done = [c[ready] for c in columns]
+            answers, current, fold = [], None, None
+            for i, *values in zip(*(c.tolist() for c in (done[0], *done[3:])), strict=True):
+                if i != current:
+                    if current is not None:
+                        sessions[current][1] = fold
+                    current, fold = i, sessions[i][1]
+                answer, fold = step(fold, *values)
+                answers.append(answer)
+            sessions[current][1] = fold
+            ends = np.append(_starts(done[0])[1:], len(done[0])) - 1
+            for i, number in zip(done[0][ends].tolist(), done[1][ends].tolist(), strict=True):
+                sessions[i][2] = number
+            yield answered(sessions, done, dict(zip(late, zip(*answers, strict=True), strict=True)))
+        places, seq, ms, *items = columns = [c[~ready] for c in columns]
+        heads = _starts(places)
+        turns = dict(zip(places[heads].tolist(), ms[heads].tolist(), strict=True))
+        kept, moved, due = [], np.zeros(len(sessions), np.int64), None
+        for i, one in enumerate(sessions):
+            turn = turns.get(i, (one[3] or 0) + idle_ms)
+            if turn > mark:
+                moved[i] = len(kept)
+                kept.append(one)
                 due = turn if due is None else min(turn, due)
         if kept:
-            state.update((json.dumps(kept),))
+            state.update((json.dumps(kept), _packed([moved[places], *columns[1:]], schema)))
             # Spark calls again once its watermark is beyond this time, so as soon as the mark has reached the turn.
-            state.setTimeoutTimestamp(max(due - back - 1, watermark, 1))
+            state.setTimeoutTimestamp(max(int(due) - back - 1, watermark, 1))
         elif state.exists:
             state.remove()
-        yield pd.DataFrame(answers, columns=out.fieldNames(), dtype=object)
 
-    return rows.groupBy("_group").applyInPandasWithState(run, out, HELD, "append", GroupStateTimeout.EventTimeTimeout)
+    found = rows.groupBy("_group").applyInPandasWithState(run, named, HELD, "append", GroupStateTimeout.EventTimeTimeout)
+    return found.select(*(F.col(f.name).cast(f.dataType) for f in out.fields))
 
 
 ANSWERS = _fields(session_id=T.LongType(), seq=T.LongType(), answer=T.StringType())
 
 
-def _retry(fold: list, call: dict) -> tuple[dict, list]:
+def _retry(fold: list, key: str | None, finishes: bool | None) -> tuple[tuple, list]:
     owner, finished = fold
-    key = call["key"]
     owner = owner if owner is not None else key
     mine = owner is None or key == owner
     if finished:
-        return {"answer": "replay" if key is not None and key == owner else "finished"}, [owner, True]
-    return {"answer": "proceed" if mine else "busy"}, [owner, bool(mine and call["finishes"])]
+        return ("replay" if key is not None and key == owner else "finished",), [owner, True]
+    return ("proceed" if mine else "busy",), [owner, bool(mine and finishes)]
 
 
 def retries(calls: DataFrame, delay_ms: int = 0, idle_ms: int = IDLE_MS) -> DataFrame:
@@ -184,9 +251,9 @@ def retries(calls: DataFrame, delay_ms: int = 0, idle_ms: int = IDLE_MS) -> Data
 STEPS = _fields(session_id=T.LongType(), seq=T.LongType(), action=T.StringType(), state=T.StringType(), answer=T.StringType())
 
 
-def _step(state: str, call: dict) -> tuple[dict, str]:
-    answer, then = logs.session_step(state, call["action"])
-    return {"state": state, "answer": answer}, then
+def _step(state: str, action: str) -> tuple[tuple, str]:
+    answer, then = logs.session_step(state, action)
+    return (state, answer), then
 
 
 def lifecycle(actions: DataFrame, delay_ms: int = 0, idle_ms: int = IDLE_MS) -> DataFrame:

@@ -150,6 +150,29 @@ def test_retries_share_state_rows(spark, tmp_path, monkeypatch):
     assert spark.read.format("statestore").load(check).count() <= 4
 
 
+def test_waiting_calls_are_packed(spark, tmp_path, monkeypatch):
+    """A call that waits costs the state some bytes, not its text, and so does the session that it waits in."""
+    monkeypatch.setattr(S, "GROUPS", 4, raising=False)
+    sent, check = calls(12, sessions=600), str(tmp_path / "check")
+    S.drained(S.retries(batched(spark, str(tmp_path / "in"), CALLS, [sent]), delay_ms=1_000_000_000), S.kept(str(tmp_path / "out"), "r"), checkpoint=check)
+    held = spark.read.format("statestore").load(check).select("value.groupState.*").collect()
+    assert 0 < sum(len(v) for row in held for v in row) < 20 * len(sent)
+
+
+def test_waiting_calls_come_back_whole(spark, tmp_path, monkeypatch):
+    """Nulls, numbers that no double holds, and calls of one number and time, which go by their items' text."""
+    monkeypatch.setattr(S, "GROUPS", 2, raising=False)
+    at = lambda n: datetime.datetime(2024, 5, 1) + datetime.timedelta(seconds=n)
+    big = 2**60 + 1
+    first = [(big, 6, at(3), None, False), (big, 6, at(3), "a", True), (None, big + 1, at(2), "b", True), (big + 1, 1, at(9), None, True)]
+    second = [(None, big, at(1), "a", False), (big, 5, at(3), None, None), (big + 1, 2, at(9), "é", None), (big, 7, at(8), "a", None)]
+    stream = batched(spark, str(tmp_path / "in"), CALLS, [first, second, [(7, 0, at(5000), None, False)]])
+    S.drained(S.retries(stream, delay_ms=100_000), S.kept(str(tmp_path / "out"), "r"))
+    got = rows(S.stored(spark, str(tmp_path / "out")).filter("session_id is distinct from 7").fillna(-1, "session_id"), "session_id", "seq", "answer")
+    want = [(-1, big, "proceed"), (-1, big + 1, "busy"), (big, 5, "proceed"), (big, 6, "finished"), (big, 6, "proceed"), (big, 7, "replay"), (big + 1, 1, "proceed"), (big + 1, 2, "replay")]
+    assert got == want
+
+
 def test_update_mode_writes_what_changed(spark, tmp_path):
     path, schema = str(tmp_path / "t"), "split long, status string, reward long"
     batches = [[(k, "ok", k) for k in range(40)], [(3, "error", None)], [(3, "ok", 5), (50, "invalid", None)], [(4, "ok", 1)], [(50, "ok", 2)]]
